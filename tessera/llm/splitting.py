@@ -84,18 +84,18 @@ def _positive(limit: int, overlap: int) -> None:
         raise ValueError("the limit must be at least 1, the overlap at least 0 and below the limit")
 
 
-def valid_documents(raw: DataFrame) -> DataFrame:
-    """(doc_id, content): of the rows of each doc_id the one with the latest updated_at (then the latest loaded_at).
+def valid_documents(raw: DataFrame, *more: str) -> DataFrame:
+    """(doc_id, content, *more): of the rows of each doc_id the one with the latest updated_at (then loaded_at).
 
     Rows with null doc_id are left out; a null updated_at is oldest. Repeated rows count once.
     """
     latest = Window.partitionBy("doc_id").orderBy(F.desc("updated_at"), F.desc("loaded_at"), F.desc("content"))
     return (
         raw.where(F.col("doc_id").isNotNull())
-        .select("doc_id", "updated_at", "loaded_at", "content")
+        .select("doc_id", "updated_at", "loaded_at", "content", *more)
         .withColumn("rank", F.row_number().over(latest))
         .where("rank = 1")
-        .select("doc_id", "content")
+        .select("doc_id", "content", *more)
     )
 
 
