@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..runtime import table as t
-from . import packing, splitting, terms, tokens, vectors
+from . import abuse, language, packing, splitting, terms, tokens, vectors
 
 
 def p1_found(spark, d):
@@ -33,6 +33,19 @@ def p4_terms(spark, d):
     return terms.term_frequencies(t(spark, d, "bm25_term_frequencies"))
 
 
+def p4_ngrams(spark, d):
+    """Runs of up to three terms in the renderings of the valid facts, with their counts and marks."""
+    return terms.content_ngrams(t(spark, d, "agent_facts"))
+
+
+def p5_found(spark, d):
+    return language.mislabelled(t(spark, d, "documents_raw"), t(spark, d, "label_aliases"))
+
+
+def p5_segments(spark, d):
+    return language.language_segments(t(spark, d, "documents_raw"), t(spark, d, "label_aliases"))
+
+
 def p6_found(spark, d):
     return splitting.faulty_pieces(t(spark, d, "documents_raw"), t(spark, d, "chunks_raw"))
 
@@ -53,4 +66,16 @@ def p9_fill(spark, d):
     return packing.container_fill(packing.fill_containers(t(spark, d, "documents")))
 
 
+def p10_found(spark, d):
+    return abuse.abusive_documents(t(spark, d, "documents"))
+
+
+def p10_scores(spark, d):
+    return abuse.score_documents(t(spark, d, "documents"))
+
+
+def p10_sources(spark, d):
+    return abuse.rates_by_source(t(spark, d, "documents"))
+
+
 QUERIES = {n: f for n, f in list(globals().items()) if n[:1] == "p" and n[1:2].isdigit()}

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -104,8 +104,6 @@ def adjust_fdr(tests: DataFrame, log_p: str, buckets: int = 256) -> DataFrame:
     for r in sorted(dist.groupBy("bucket").agg(F.sum("n").alias("n")).collect()):
         count[r["bucket"]] = before
         before += r["n"]
-    from pyspark.sql import Window
-
     up = Window.partitionBy("bucket").orderBy("log_p").rowsBetween(Window.unboundedPreceding, 0)
     down = Window.partitionBy("bucket").orderBy(F.desc("log_p")).rowsBetween(Window.unboundedPreceding, 0)
     if not count:
@@ -276,3 +274,28 @@ def term_frequencies(rows: DataFrame, rare: int = 1, common: float = 0.25) -> Da
     return counted.select(
         F.col("ngram")[0].alias("term_text"), "nentry", "ndoc", mark(F.col("ndoc"), records, rare, common).alias("mark")
     )
+
+
+def content_ngrams(facts: DataFrame, sigma: int = 3, rare: int = 1, common: float = 0.25) -> DataFrame:
+    """(ngram, nentry, ndoc, mark) of the runs of up to ``sigma`` terms in the contents of the valid facts.
+
+    The highest version of an id is valid (then the latest updated_at and the lowest doc_id). Terms are parted by
+    semicolons and cleaned like clean_term(); blank ones are left out. Runs are joined by '; '. Facts with null id,
+    doc_id or content have no terms; marks are those of term_frequencies().
+    """
+    latest = Window.partitionBy("id").orderBy(F.desc("version"), F.desc("updated_at"), "doc_id")
+    valid = (
+        facts.where(F.col("id").isNotNull() & F.col("doc_id").isNotNull())
+        .select("id", "version", "updated_at", "doc_id", "content")
+        .withColumn("rank", F.row_number().over(latest))
+        .where("rank = 1 and content is not null")
+        .select("doc_id", F.split(clean_term(F.col("content")), r"\s*;\s*").alias("tokens"))
+        .select("doc_id", F.filter("tokens", lambda x: x != "").alias("tokens"))
+        .where(F.size("tokens") > 0)
+    )
+    valid = materialize(valid, "contents")
+    records = valid.select("doc_id").distinct().count()
+    counted = ngram_counts(valid.withColumn("weight", F.lit(1)), sigma)
+    return counted.select(
+        F.array_join("ngram", "; ").alias("ngram"), "nentry", "ndoc", mark(F.col("ndoc"), records, rare, common).alias("mark")
+    )
