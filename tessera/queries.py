@@ -1,118 +1,8 @@
-"""Registered queries of the core and their SQL for DuckDB."""
+"""All registered queries of the core, with their SQL for DuckDB."""
 
 from __future__ import annotations
 
-from .operators import drift, references
-from .runtime import table as t
+from .plans import catalogue, facets  # noqa: F401  (importing registers them)
+from .plans.registry import QUERIES, SQL
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register the function under its name, with its SQL where there is one."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-_LISTS = r"""
-kinds AS (SELECT DISTINCT lower(trim(alias)) AS alias, canonical FROM label_aliases WHERE alias_kind = 'data_type'),
-applied AS (SELECT id AS migration_id, min(applied_at) AS applied_at FROM mindbrain_schema_migrations GROUP BY id),
-cols AS (
-  SELECT table_id, migration_id, column_semantic_id, column_name AS name, lower(trim(column_name)) AS folded, data_type
-  FROM column_semantics
-  QUALIFY row_number() OVER (PARTITION BY table_id, migration_id, column_semantic_id
-                             ORDER BY updated_at DESC, column_name DESC, data_type DESC) = 1
-), files AS (
-  SELECT table_id, migration_id, row_number() OVER (PARTITION BY table_id ORDER BY applied_at, migration_id) AS seq
-  FROM (SELECT DISTINCT table_id, migration_id FROM cols) JOIN applied USING (migration_id)
-), lists AS (
-  SELECT c.table_id, c.migration_id, f.seq, c.column_semantic_id, c.name, c.folded,
-         coalesce(k.canonical, lower(trim(c.data_type))) AS type
-  FROM cols c JOIN files f ON f.table_id = c.table_id AND f.migration_id = c.migration_id
-  LEFT JOIN kinds k ON k.alias = lower(trim(c.data_type))
-), steps AS (
-  SELECT *, lag(seq) OVER w AS pseq, lag(folded) OVER w AS pfolded, lag(type) OVER w AS ptype, lead(seq) OVER w AS nseq
-  FROM lists WINDOW w AS (PARTITION BY table_id, column_semantic_id ORDER BY seq)
-), found AS (
-  SELECT table_id, migration_id, column_semantic_id, 'added' AS change FROM steps WHERE seq > 1 AND (pseq IS NULL OR pseq < seq - 1)
-  UNION ALL SELECT table_id, migration_id, column_semantic_id, 'renamed' FROM steps WHERE pseq = seq - 1 AND pfolded <> folded
-  UNION ALL SELECT table_id, migration_id, column_semantic_id, 'retyped' FROM steps WHERE pseq = seq - 1 AND ptype <> type
-  UNION ALL SELECT s.table_id, f.migration_id, s.column_semantic_id, 'removed'
-            FROM steps s JOIN files f ON f.table_id = s.table_id AND f.seq = s.seq + 1
-            WHERE s.nseq IS NULL OR s.nseq > s.seq + 1
-)"""
-
-
-@query(f"WITH {_LISTS} SELECT * FROM found")
-def p2_found(spark, d):
-    """Added, removed, renamed and retyped columns of each file against the table's file before it."""
-    report = drift.drift_report(t(spark, d, "column_semantics"), t(spark, d, "mindbrain_schema_migrations"), t(spark, d, "label_aliases"))
-    return report.select("table_id", "migration_id", "column_semantic_id", "change")
-
-
-@query()
-def p2_report(spark, d):
-    return drift.drift_report(t(spark, d, "column_semantics"), t(spark, d, "mindbrain_schema_migrations"), t(spark, d, "label_aliases"))
-
-
-@query()
-def p2_schema(spark, d):
-    return drift.unified_schema(t(spark, d, "column_semantics"), t(spark, d, "mindbrain_schema_migrations"), t(spark, d, "label_aliases"))
-
-
-@query()
-def p2_table(spark, d):
-    """The records of all files as one typed table."""
-    return drift.unified_records(
-        t(spark, d, "import_records"), t(spark, d, "column_semantics"), t(spark, d, "mindbrain_schema_migrations"), t(spark, d, "label_aliases")
-    )
-
-
-_REFS = r"""
-rel AS (
-  SELECT * FROM relation_semantics
-  QUALIFY row_number() OVER (PARTITION BY relation_semantic_id ORDER BY ingested_at DESC, updated_at DESC, to_table, source_table_id, target_table_id) = 1
-), tab AS (
-  SELECT DISTINCT table_id, workspace_id, lower(trim(table_schema)) AS s, lower(trim(table_name)) AS n, registered_at, deleted_at
-  FROM table_semantics
-), refs AS (
-  SELECT r.relation_semantic_id AS id, 'source_table_id' AS f, r.updated_at AS u, t.registered_at AS b, t.deleted_at AS e, t.table_id AS k
-  FROM rel r LEFT JOIN tab t ON t.workspace_id = r.workspace_id AND t.table_id = r.source_table_id WHERE r.source_table_id IS NOT NULL
-  UNION ALL
-  SELECT r.relation_semantic_id, 'target_table_id', r.updated_at, t.registered_at, t.deleted_at, t.table_id
-  FROM rel r LEFT JOIN tab t ON t.workspace_id = r.workspace_id AND t.table_id = r.target_table_id WHERE r.target_table_id IS NOT NULL
-  UNION ALL
-  SELECT r.relation_semantic_id, 'to_table', r.updated_at, t.registered_at, t.deleted_at, t.table_id
-  FROM rel r LEFT JOIN tab t ON t.workspace_id = r.workspace_id AND t.s = lower(trim(r.to_schema)) AND t.n = lower(trim(r.to_table))
-  WHERE trim(r.to_table) <> ''
-), judged AS (
-  SELECT id AS relation_semantic_id, f AS ref_field,
-         CASE WHEN bool_and(k IS NULL) THEN 'missing'
-              WHEN bool_or(coalesce(b <= u, true) AND NOT coalesce(e <= u, false)) THEN NULL
-              WHEN bool_or(coalesce(e <= u, false)) THEN 'deleted' ELSE 'late' END AS kind
-  FROM refs GROUP BY id, f
-)"""
-
-
-@query(f"WITH {_REFS} SELECT relation_semantic_id, ref_field, kind FROM judged WHERE kind IS NOT NULL")
-def p7_found(spark, d):
-    """References to tables that are missing, deleted or registered later: the cascade's direct orphans (level 0)."""
-    found = references.orphan_cascade(t(spark, d, "relation_semantics"), t(spark, d, "table_semantics"))
-    return found.where("level = 0").select("relation_semantic_id", "ref_field", "kind")
-
-
-@query()
-def p7_cascade(spark, d):
-    return references.orphan_cascade(t(spark, d, "relation_semantics"), t(spark, d, "table_semantics"))
-
-
-@query()
-def p7_report(spark, d):
-    return references.orphan_report(t(spark, d, "relation_semantics"), t(spark, d, "table_semantics"))
+__all__ = ["QUERIES", "SQL"]
