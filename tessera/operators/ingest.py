@@ -269,9 +269,9 @@ def settle(messages: DataFrame, ids: list[int], how: str) -> DataFrame:
 
 
 def send(messages: DataFrame, queue: str, texts: DataFrame, now: int) -> DataFrame:
-    """The queue with a message for each row of ``texts`` (message), numbered on from the greatest msg_id in order."""
+    """The queue with a message for each row of ``texts`` (message); ids are unique and above the greatest so far."""
     top = messages.agg(F.coalesce(F.max("msg_id"), F.lit(0))).first()[0]
-    n = F.row_number().over(Window.orderBy("message")) + top
+    n = F.monotonically_increasing_id() + (top + 1)
     new = texts.select(
         n.cast("long").alias("msg_id"), F.lit(queue).alias("queue_name"), F.lit(0).alias("read_ct"), F.lit(now).cast("long").alias("enqueued_at_unix"),
         F.lit(None).cast("long").alias("vt_until_unix"), F.lit(0).alias("archived"), F.lit(0).alias("deleted"), "message",
