@@ -187,7 +187,9 @@ def similar_classes(
     reach: float = 1.1,
     seed: int = 7,
 ) -> DataFrame:
-    """(a, b, cosine): of each point the up to ``k`` nearest other points with cosine >= ``min_similarity``.
+    """(a, b, cosine): of each point the up to ``k`` nearest other points with cosine >= ``min_similarity``, ties by the lowest b.
+
+    Cosines are rounded to six decimals, so that copies of any length are equal whatever their rounding.
 
     ``points`` has a (unique bigint) and vec (unit float32 bytes) and should be materialised. Two trees, fitted on
     about ``sample_rows`` of the points, route every point. In the first round each query meets its own leaves; in the
@@ -236,7 +238,7 @@ def similar_classes(
         if not len(own) or not len(asked):
             return none
         q, d, cos = collisions(_matrix(own["vec"], dim), _matrix(asked["vec"], dim), k, radius, seed + 1)
-        out = pd.DataFrame({"a": asked["a"].to_numpy()[q], "b": own["a"].to_numpy()[d], "cosine": cos})
+        out = pd.DataFrame({"a": asked["a"].to_numpy()[q], "b": own["a"].to_numpy()[d], "cosine": np.round(cos, 6)})
         out = out[out["a"] != out["b"]]
         if out.empty:
             return none
@@ -291,7 +293,7 @@ def similar_facts(facts: DataFrame, k: int = 5, min_similarity: float = 0.95, di
     listed = listed.select(
         "key",
         "size",
-        F.concat(F.transform("ids", lambda x: pair(F.lit(-1.0), x)), F.array_sort(F.coalesce(beside, none))).alias("cands"),
+        F.array_sort(F.concat(F.transform("ids", lambda x: pair(F.lit(-1.0), x)), F.coalesce(beside, none))).alias("cands"),
     )
     listed = materialize(listed, "cands")
     total = units.count()
