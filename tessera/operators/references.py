@@ -102,32 +102,29 @@ def orphan_cascade(relations: DataFrame, tables: DataFrame, max_rounds: int = 10
 
     A record with an orphan reference is orphaned, and so is the table it stands in, its source table. References to an
     orphaned table are inherited orphans (kind 'inherited') one level further, and so on down the references until
-    a round finds no new one. Each round is a semi-join of the remaining references with the tables orphaned in
-    the round before; tables seen are removed by an anti-join, so cycles end. period is the month of updated_at.
+    a round finds no new one. The rounds run on the distinct (table referred to, table it stands in) pairs: each is a
+    semi-join of the pairs with the tables orphaned in the round before, and an anti-join removes tables seen, so
+    cycles end. One join at the end gives each reference its table's level. period is the month of updated_at.
     """
     refs = materialize(judged_references(relations, tables).withColumn("period", F.date_trunc("month", "updated_at")), "refs")
-    source = materialize(
-        refs.where((F.col("ref_field") == "source_table_id")).select("relation_semantic_id", F.col("found").alias("in_table")).where("in_table is not null"),
-        "source",
-    )
+    source = refs.where("ref_field = 'source_table_id' and found is not null").select("relation_semantic_id", F.col("found").alias("in_table"))
     out = ["relation_semantic_id", "ref_field", "kind", "level", "period"]
-    found = refs.where("kind is not null").withColumn("level", F.lit(0)).select(*out)
-    sound = refs.where("kind is null and ref_field != 'source_table_id'")
-    fresh = materialize(found.join(source, "relation_semantic_id").select(F.col("in_table").alias("t")).distinct(), "fresh")
-    seen = fresh
-    for level in range(1, max_rounds + 1):
+    direct = refs.where("kind is not null").withColumn("level", F.lit(0)).select(*out)
+    sound = refs.where("kind is null and ref_field != 'source_table_id' and found is not null")
+    pairs = materialize(sound.join(source, "relation_semantic_id").select(F.col("found").alias("t"), "in_table").distinct(), "pairs")
+    fresh = direct.join(source, "relation_semantic_id").select(F.col("in_table").alias("t")).distinct()
+    levels = None
+    for level in range(max_rounds):
+        fresh = materialize(fresh.select("t", F.lit(level + 1).alias("level")), "fresh")
         if fresh.isEmpty():
             break
-        hit = materialize(
-            sound.join(fresh, sound["found"] == fresh["t"], "left_semi")
-            .select("relation_semantic_id", "ref_field", F.lit("inherited").alias("kind"), F.lit(level).alias("level"), "period"),
-            "hit",
-        )
-        found = found.unionByName(hit)
-        reached = hit.join(source, "relation_semantic_id").select(F.col("in_table").alias("t")).distinct()
-        fresh = materialize(reached.join(seen, "t", "left_anti"), "fresh")
-        seen = seen.unionByName(fresh)
-    return found
+        levels = fresh if levels is None else levels.unionByName(fresh)
+        reached = pairs.join(fresh.select("t"), "t", "left_semi").select(F.col("in_table").alias("t")).distinct()
+        fresh = reached.join(levels.select("t"), "t", "left_anti")
+    if levels is None:
+        return direct
+    inherited = sound.join(levels, F.col("found") == F.col("t")).select("relation_semantic_id", "ref_field", F.lit("inherited").alias("kind"), "level", "period")
+    return direct.unionByName(inherited)
 
 
 def orphan_report(relations: DataFrame, tables: DataFrame) -> DataFrame:
