@@ -122,6 +122,29 @@ def import_facts(rows: DataFrame, existing: DataFrame | None = None, mode: str =
     return kept.select(*cols).unionByName(new.select(*cols))
 
 
+def write_facts(facts: DataFrame, changes: DataFrame, now: int) -> DataFrame:
+    """``facts`` after ``changes`` (workspace_id, source_ref, schema_id, content, facets_json, seq): one row per source of a workspace.
+
+    A known source keeps its id and doc_id, its version rises by one; a new one gets fact_id(), version 1 and a doc_id
+    above all others. Of several changes of a source the last by seq counts. Rows with a null key are left out.
+    """
+    key, rest = ["workspace_id", "source_ref"], ["schema_id", "content", "facets_json"]
+    last = changes.where(F.col("workspace_id").isNotNull() & F.col("source_ref").isNotNull())
+    last = last.groupBy(*key).agg(F.max(F.struct("seq", *rest)).alias("r")).select(*key, *[F.col(f"r.{c}").alias(c) for c in rest])
+    known = facts.select(*key, F.col("id").alias("_id"), F.col("doc_id").alias("_doc"), F.col("version").alias("_v"))
+    top = facts.agg(F.coalesce(F.max("doc_id"), F.lit(0))).first()[0]
+    new = last.join(known, key, "left").select(
+        F.coalesce("_id", fact_id()).alias("id"),
+        *key,
+        *rest,
+        F.coalesce("_doc", F.monotonically_increasing_id() + (top + 1)).alias("doc_id"),
+        (F.coalesce("_v", F.lit(0)) + 1).cast("long").alias("version"),
+        F.lit(now).cast("long").alias("updated_at_unix"),
+    )
+    cols = new.columns
+    return facts.join(last.select(*key), key, "left_anti").select(*cols).unionByName(new)
+
+
 def invalid_facts(rows: DataFrame) -> DataFrame:
     """The rows whose key is null or whose facets are no JSON object."""
     kind = F.schema_of_variant(F.try_parse_json("facets_json"))
