@@ -11,6 +11,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .batches import by_size
 from .splitting import valid_documents
 from ..functions.text import fold_name
 from ..runtime import materialize
@@ -254,7 +255,7 @@ def language_segments(
     filters = fit(docs, languages, **options)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in by_size(batches, "content"):
             clauses = Clauses(b.column("content").to_pylist(), 4)
             hits, total = filters.hits(clauses)
             rows: list[tuple] = []

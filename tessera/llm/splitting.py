@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .batches import by_size
+
 # A token is a longest run of ASCII letters, ASCII digits and bytes of non-ASCII characters.
 _IS_TOKEN = np.array([i >= 0x80 or chr(i).isalnum() for i in range(256)])
 _NEWLINE, _STOP, _BLANK = (np.array([i in s for i in range(256)]) for s in (b"\n", b".!?", b" \t\r\n"))
@@ -135,7 +137,7 @@ def split_oversized(texts: DataFrame, limit: int = 256, overlap: int = 32) -> Da
     out = "chunk_index long, offset_start long, offset_end long, token_count long, content string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in by_size(batches, "content", 4 << 20):
             bounds = Boundaries(b.column("content").to_pylist())
             first, behind = cut(bounds, limit, overlap)
             doc = np.searchsorted(bounds.first, first, "right") - 1
@@ -240,7 +242,7 @@ def faulty_pieces(raw: DataFrame, chunks: DataFrame, limit: int = 256, overlap:
     docs = docs.where(F.col("pieces").isNotNull() | (F.octet_length("content") > 2 * limit))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_size(batches, "content", 4 << 20):
             bounds = Boundaries(batch.column("content").to_pylist())
             lists = batch.column("pieces")
             doc = np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
