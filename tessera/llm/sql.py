@@ -24,4 +24,14 @@ SQL = {
 SELECT doc_id, term AS term_text FROM pairs JOIN stats USING (term) WHERE freq >= 4 AND ndoc BETWEEN 2 AND 6""",
     "p4_found": f"WITH {_PAIRS} SELECT term AS term_text, mark FROM stats WHERE mark IS NOT NULL",
     "p4_terms": f"WITH {_PAIRS} SELECT term AS term_text, nentry, ndoc, mark FROM stats",
+    "p4_ngrams": r"""WITH valid AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(nfc_normalize(lower(regexp_replace(translate(content, chr(173) || chr(8203) || chr(8204) || chr(8205) || chr(8288) || chr(65279), ''),
+         '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g'))), '\s*;\s*'), lambda x: x <> '') AS t
+  FROM agent_facts WHERE id IS NOT NULL AND doc_id IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY id ORDER BY version DESC, updated_at DESC, doc_id) = 1
+), pos AS (SELECT doc_id, t, unnest(range(1, len(t) + 1)) AS i FROM valid WHERE len(t) > 0
+), grams AS (SELECT doc_id, array_to_string(t[i : i + n - 1], '; ') AS ngram FROM pos, (SELECT unnest([1, 2, 3]) AS n) WHERE i + n - 1 <= len(t))
+SELECT ngram, count(*) AS nentry, count(DISTINCT doc_id) AS ndoc,
+       CASE WHEN count(DISTINCT doc_id) <= 1 THEN 'rare' WHEN count(DISTINCT doc_id) >= 0.25 * (SELECT count(DISTINCT doc_id) FROM pos) THEN 'common' END AS mark
+FROM grams GROUP BY ngram""",
 }
