@@ -23,7 +23,7 @@ cols AS (
   FROM cols c JOIN files f ON f.table_id = c.table_id AND f.migration_id = c.migration_id
   LEFT JOIN kinds k ON k.alias = lower(trim(c.data_type))
 ), steps AS (
-  SELECT *, lag(seq) OVER w AS pseq, lag(folded) OVER w AS pfolded, lag(type) OVER w AS ptype, lead(seq) OVER w AS nseq
+  SELECT *, lag(seq) OVER w AS pseq, lag(folded) OVER w AS pfolded, lag(name) OVER w AS pname, lag(type) OVER w AS ptype, lead(seq) OVER w AS nseq
   FROM lists WINDOW w AS (PARTITION BY table_id, column_semantic_id ORDER BY seq)
 ), found AS (
   SELECT table_id, migration_id, column_semantic_id, 'added' AS change FROM steps WHERE seq > 1 AND (pseq IS NULL OR pseq < seq - 1)
@@ -42,12 +42,25 @@ def p2_found(spark, d):
     return report.select("table_id", "migration_id", "column_semantic_id", "change")
 
 
-@query()
+_REPORT = """
+  SELECT table_id, migration_id, column_semantic_id, 'added' AS change, NULL AS before, name AS after FROM steps WHERE seq > 1 AND (pseq IS NULL OR pseq < seq - 1)
+  UNION ALL SELECT table_id, migration_id, column_semantic_id, 'renamed', pname, name FROM steps WHERE pseq = seq - 1 AND pfolded <> folded
+  UNION ALL SELECT table_id, migration_id, column_semantic_id, 'retyped', ptype, type FROM steps WHERE pseq = seq - 1 AND ptype <> type
+  UNION ALL SELECT s.table_id, f.migration_id, s.column_semantic_id, 'removed', s.name, NULL
+            FROM steps s JOIN files f ON f.table_id = s.table_id AND f.seq = s.seq + 1 WHERE s.nseq IS NULL OR s.nseq > s.seq + 1"""
+
+
+@query(f"WITH {_LISTS} {_REPORT}")
 def p2_report(spark, d):
     return drift.drift_report(t(spark, d, "column_semantics"), t(spark, d, "mindbrain_schema_migrations"), t(spark, d, "label_aliases"))
 
 
-@query()
+@query(f"""WITH {_LISTS}, kind AS (SELECT table_id, column_semantic_id, type, min(seq) AS s, arg_min(migration_id, seq) AS since FROM lists GROUP BY ALL),
+fused AS (SELECT table_id, column_semantic_id, string_agg(type || ' since ' || since, '; ' ORDER BY s) AS alternatives, count(*) AS n, min(type) AS one,
+  bool_and(type IN ('bigint', 'integer')) AS whole, bool_and(type IN ('bigint', 'integer', 'double', 'numeric')) AS number FROM kind GROUP BY ALL),
+last AS (SELECT table_id, column_semantic_id, arg_max(name, seq) AS name FROM lists GROUP BY ALL)
+SELECT table_id, column_semantic_id, name, CASE WHEN n = 1 THEN one WHEN whole THEN 'bigint' WHEN number THEN 'double' ELSE 'text' END AS type, alternatives, n > 1 AS conflicting
+FROM fused JOIN last USING (table_id, column_semantic_id)""")
 def p2_schema(spark, d):
     return drift.unified_schema(t(spark, d, "column_semantics"), t(spark, d, "mindbrain_schema_migrations"), t(spark, d, "label_aliases"))
 
@@ -79,7 +92,7 @@ rel AS (
   WHERE trim(r.to_table) <> ''
 ), judged AS (
   SELECT id AS relation_semantic_id, f AS ref_field,
-         CASE WHEN bool_and(k IS NULL) THEN 'missing'
+         min(k) AS found, any_value(u) AS u, CASE WHEN bool_and(k IS NULL) THEN 'missing'
               WHEN bool_or(coalesce(b <= u, true) AND NOT coalesce(e <= u, false)) THEN NULL
               WHEN bool_or(coalesce(e <= u, false)) THEN 'deleted' ELSE 'late' END AS kind
   FROM refs GROUP BY id, f
@@ -93,11 +106,20 @@ def p7_found(spark, d):
     return found.where("level = 0").select("relation_semantic_id", "ref_field", "kind")
 
 
-@query()
+_CASCADE = """direct AS (SELECT relation_semantic_id AS id, ref_field, kind, 0 AS level, date_trunc('month', u) AS period FROM judged WHERE kind IS NOT NULL),
+src AS (SELECT relation_semantic_id AS id, found AS t FROM judged WHERE ref_field = 'source_table_id' AND found IS NOT NULL),
+sound AS (SELECT relation_semantic_id AS id, ref_field, found, date_trunc('month', u) AS period FROM judged WHERE kind IS NULL AND ref_field <> 'source_table_id' AND found IS NOT NULL),
+hop AS (SELECT DISTINCT found AS a, t AS b FROM sound JOIN src USING (id)),
+lv AS (SELECT t, 1 AS level FROM direct JOIN src USING (id) UNION SELECT b, level + 1 FROM lv JOIN hop ON a = t WHERE level < 40),
+least AS (SELECT t, min(level) AS level FROM lv GROUP BY t),
+cascade AS (SELECT id AS relation_semantic_id, ref_field, kind, level, period FROM direct UNION ALL SELECT id, ref_field, 'inherited', level, period FROM sound JOIN least ON t = found)"""
+
+
+@query(f"WITH RECURSIVE {_REFS}, {_CASCADE} SELECT * FROM cascade")
 def p7_cascade(spark, d):
     return references.orphan_cascade(t(spark, d, "relation_semantics"), t(spark, d, "table_semantics"))
 
 
-@query()
+@query(f"WITH RECURSIVE {_REFS}, {_CASCADE} SELECT ref_field, period, kind, level, count(*) AS orphans FROM cascade GROUP BY ALL")
 def p7_report(spark, d):
     return references.orphan_report(t(spark, d, "relation_semantics"), t(spark, d, "table_semantics"))

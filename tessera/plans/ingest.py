@@ -81,7 +81,15 @@ def ingest_profile(spark, d):
     return ing.profile(t(spark, d, "documents").select("doc_id", "text", "lang", "source")).drop("n_distinct")
 
 
-@query()
+@query("""SELECT 'relation_semantics' AS "table", 'missing_column' AS problem, 'owner' AS detail, 1 AS n
+UNION ALL SELECT * FROM (SELECT 'relation_semantics', 'null_in_required', unnest(['relation_semantic_id', 'source_table_id', 'to_table']),
+  unnest([count(*) FILTER (relation_semantic_id IS NULL), count(*) FILTER (source_table_id IS NULL), count(*) FILTER (to_table IS NULL)]) AS n FROM relation_semantics) WHERE n > 0
+UNION ALL SELECT * FROM (SELECT 'column_semantics', 'null_in_required', unnest(['table_id', 'column_name']),
+  unnest([count(*) FILTER (table_id IS NULL), count(*) FILTER (column_name IS NULL)]) AS n FROM column_semantics) WHERE n > 0
+UNION ALL SELECT 'relation_semantics', 'unknown_reference', 'target_table_id -> table_semantics.table_id', count(*) FROM relation_semantics
+  WHERE target_table_id IS NOT NULL AND target_table_id NOT IN (SELECT table_id FROM table_semantics) HAVING count(*) > 0
+UNION ALL SELECT 'column_semantics', 'unknown_reference', 'table_id -> table_semantics.table_id', count(*) FROM column_semantics
+  WHERE table_id NOT IN (SELECT table_id FROM table_semantics) HAVING count(*) > 0""")
 def ingest_validate(spark, d):
     """Required columns and references of the catalogue."""
     tables = {n: t(spark, d, n) for n in ("table_semantics", "relation_semantics", "column_semantics")}
@@ -94,7 +102,8 @@ def ingest_workspace_model(spark, d):
     return ing.workspace_model(t(spark, d, "table_semantics"), t(spark, d, "column_semantics"), t(spark, d, "relation_semantics"))
 
 
-@query()
+@query("""WITH c AS (SELECT table_schema, table_name, column_semantic_id AS o, arg_max(column_name, updated_at) AS n, arg_max(data_type, updated_at) AS k FROM column_semantics GROUP BY ALL)
+SELECT table_schema, table_name, 'CREATE TABLE `' || table_schema || '`.`' || table_name || '` (' || string_agg('`' || n || '` ' || k, ', ' ORDER BY o) || ')' AS ddl FROM c GROUP BY table_schema, table_name""")
 def ingest_ddl(spark, d):
     """A CREATE TABLE for each table of the catalogue."""
     cols = t(spark, d, "column_semantics").groupBy("table_schema", "table_name", F.col("column_semantic_id").alias("ordinal")).agg(F.max_by("column_name", "updated_at").alias("column_name"), F.max_by("data_type", "updated_at").alias("data_type"))

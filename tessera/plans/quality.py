@@ -88,7 +88,11 @@ def quality_evidence(spark, d):
     return qu.evidence_gaps(entities(spark, d).where("entity_type != 'part'"), relations(spark, d).where("relation_type = 'supplies'"), links, props)
 
 
-@query()
+@query("""WITH RECURSIVE pairs AS (SELECT DISTINCT source_table_id AS a, target_table_id AS b FROM relation_semantics WHERE source_table_id <> target_table_id),
+moves AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
+reach AS (SELECT a AS node, a AS root FROM moves UNION SELECT m.b, r.root FROM reach r JOIN moves m ON m.a = r.node WHERE r.root < m.b),
+comp AS (SELECT node, min(root) AS c FROM reach GROUP BY node)
+SELECT 'small_component' AS issue_type, 'low' AS severity, CAST(c AS VARCHAR) AS subject, CAST(count(*) AS VARCHAR) AS detail FROM comp GROUP BY c HAVING count(*) BETWEEN 2 AND 3""")
 def quality_small_components(spark, d):
     """Small groups of tables that refer only to one another."""
     rel = t(spark, d, "relation_semantics").where("source_table_id is not null and target_table_id is not null")
