@@ -60,6 +60,10 @@ class Index:
         """(term, ndoc, nentry)"""
         return self.postings.groupBy("term").agg(F.count("*").alias("ndoc"), F.sum("tf").alias("nentry"))
 
+    def lookup(self, words: list[str]) -> DataFrame:
+        """The postings of some terms; over a stored table the filter reaches the scan."""
+        return self.postings.where(F.col("term").isin(*words) if words else F.lit(False))
+
     def collection(self) -> DataFrame:
         """(total_documents, avg_document_length, total_terms, unique_terms): one row."""
         docs = self.documents.agg(
@@ -68,6 +72,47 @@ class Index:
         return docs.withColumn("unique_terms", self.postings.agg(F.count_distinct("term")).scalar())
 
 
+class StoredIndex(Index):
+    """An index in a folder: postings in folders by a hash of the term, sorted by term within their files; documents; terms.
+
+    A search for given terms reads only their folders, and there only the row groups whose range of terms fits.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+        super().__init__(spark.read.parquet(f"{self.folder}/postings").drop("bucket"))
+        self.buckets = spark.read.parquet(f"{self.folder}/meta").first()["buckets"]
+
+    @classmethod
+    def write(cls, index: Index, folder: str, buckets: int = 64) -> StoredIndex:
+        """Store an index; a bucket of a hot term is split over several files by the hash of the document."""
+        spark = index.postings.sparkSession
+        kept = index.postings.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+        kept = kept.repartition("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(8))).sortWithinPartitions("bucket", "term", "doc_id")
+        kept.write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
+        base = Index(spark.read.parquet(f"{folder}/postings"))
+        base.documents.write.mode("overwrite").parquet(f"{folder}/documents")
+        base.terms.write.mode("overwrite").parquet(f"{folder}/terms")
+        spark.range(1).select(F.lit(buckets).alias("buckets")).write.mode("overwrite").parquet(f"{folder}/meta")
+        return cls(spark, folder)
+
+    @property
+    def documents(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/documents")
+
+    @property
+    def terms(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/terms")
+
+    def lookup(self, words: list[str]) -> DataFrame:
+        rows = self.spark.read.parquet(f"{self.folder}/postings")
+        if not words:
+            return rows.drop("bucket").limit(0)
+        hashed = self.spark.createDataFrame([(w,) for w in words], "w string").select(F.pmod(F.xxhash64("w"), F.lit(self.buckets)).alias("b"))
+        wanted = sorted({r["b"] for r in hashed.collect()})  # at most one per query term
+        return rows.where(F.col("bucket").isin(*wanted) & F.col("term").isin(*words)).drop("bucket")
+
+
 def build_index(documents: DataFrame, doc: str = "doc_id", text: str = "text", stopwords: DataFrame | None = None) -> Index:
     """Postings of all documents with at least one token; ``stopwords`` (word) removes words by an anti-join.
 
@@ -99,6 +144,14 @@ def query_tokens(spark: SparkSession, text: str) -> list[str]:
     return spark.range(1).select(tokens(F.lit(text)).alias("t")).first()["t"]
 
 
+def _exact(index: Index, text: str) -> tuple[DataFrame, DataFrame]:
+    """(postings, matches) of a query's own tokens: known beforehand, so only their postings are read."""
+    counts: dict[str, float] = {}
+    for q in query_tokens(index.postings.sparkSession, text):
+        counts[q] = counts.get(q, 0.0) + 1
+    return index.lookup(list(counts)), F.broadcast(_query(index.postings.sparkSession, list(counts.items())))
+
+
 def _query(spark: SparkSession, weights: list[tuple[str, float]]) -> DataFrame:
     return spark.createDataFrame(weights or [("", 0.0)], "term string, qtf double").where("qtf > 0")
 
@@ -115,7 +168,7 @@ def term_matches(index: Index, text: str, prefix: bool = False, fuzzy: float | N
         counts[q] = counts.get(q, 0.0) + 1
     if not prefix and fuzzy is None:
         return _query(index.postings.sparkSession, list(counts.items()))
-    vocabulary = index.postings.select("term").distinct()
+    vocabulary = index.terms.select("term")
     hits = F.lit(0.0)
     for q, n in counts.items():
         hit = F.col("term").startswith(q) if prefix else F.lit(False)
@@ -137,15 +190,18 @@ def trigram_similarity(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))
 
 
-def term_scores(index: Index, matched: DataFrame, variant: str = "default", k1: float = K1, b: float = B) -> DataFrame:
+def term_scores(
+    index: Index, matched: DataFrame, variant: str = "default", k1: float = K1, b: float = B, postings: DataFrame | None = None
+) -> DataFrame:
     """(doc_id, term, tf, qtf, ndoc, idf, doc_length, score): the share of each matched term in each document's score.
 
     idf = ln((N + 1) / (ndoc + 0.5)), or the FTS5 form ln((N - ndoc + 0.5) / (ndoc + 0.5)), at least 1e-6; the share is
-    qtf * idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / average length)).
+    qtf * idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / average length)). ``postings`` may be those of the
+    matched terms, where they are known.
     """
     stats = index.documents.agg(F.count("*").alias("n"), F.avg("doc_length").alias("avgdl")).first()
     n, avgdl = stats["n"], stats["avgdl"] or 1.0
-    hit = materialize(index.postings.join(matched, "term"), "hits")
+    hit = materialize((index.postings if postings is None else postings).join(matched, "term"), "hits")
     ndoc = hit.groupBy("term").agg(F.count("*").alias("ndoc"))
     lengths = index.documents.select("doc_id", "doc_length").join(hit.select("doc_id").distinct(), "doc_id", "left_semi")
     scored = hit.join(ndoc, "term").join(lengths, "doc_id").withColumn("idf", idf(F.lit(float(n)), F.col("ndoc"), variant))
@@ -170,7 +226,11 @@ def bm25_search(
 
     Repeated query tokens count as often as they occur. A query without tokens finds nothing.
     """
-    shares = term_scores(index, term_matches(index, text, prefix, fuzzy), variant, k1, b)
+    if prefix or fuzzy is not None:
+        shares = term_scores(index, term_matches(index, text, prefix, fuzzy), variant, k1, b)
+    else:
+        postings, matched = _exact(index, text)
+        shares = term_scores(index, matched, variant, k1, b, postings)
     found = shares.groupBy("doc_id").agg(F.sum("score").alias("score"))
     if min_score is not None:
         found = found.where(F.col("score") >= min_score)
@@ -182,11 +242,14 @@ def bm25_search(
 
 def bm25_explain(index: Index, text: str, doc_id: int, **options) -> DataFrame:
     """term_scores() of one document."""
-    return term_scores(index, term_matches(index, text), **options).where(F.col("doc_id") == doc_id)
+    postings, matched = _exact(index, text)
+    return term_scores(index, matched, postings=postings, **options).where(F.col("doc_id") == doc_id)
 
 
 def matching_documents(index: Index, text: str, prefix: bool = False, fuzzy: float | None = None) -> DataFrame:
     """(doc_id) of the documents that hold any matched term."""
+    if not prefix and fuzzy is None:
+        return _exact(index, text)[0].select("doc_id").distinct()
     return index.postings.join(term_matches(index, text, prefix, fuzzy), "term", "left_semi").select("doc_id").distinct()
 
 

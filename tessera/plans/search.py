@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import facets as fa
 from ..operators import search as se
-from ..runtime import materialize
+from ..runtime import materialize, new_folder
 from ..runtime import table as t
 from .facets import ASSIGNED, document_facets
 from .registry import query
@@ -76,6 +76,13 @@ def search_bm25_all(spark, d):
     return se.bm25_search(index(spark, d), TEXT, None).withColumn("score", F.round("score", 6))
 
 
+@query(f"WITH {_scores(_EXACT)} SELECT doc_id, round(score, 6) AS score FROM bm")
+def search_stored_index(spark, d):
+    """The same from an index stored by term, of which only the folders of the query's terms are read."""
+    stored = se.StoredIndex.write(se.build_index(t(spark, d, "documents")), new_folder(spark, "index"), 16)
+    return se.bm25_search(stored, TEXT, None).withColumn("score", F.round("score", 6))
+
+
 @query(f"WITH {_scores(_EXACT, 'greatest(ln((n - ndoc + 0.5) / (ndoc + 0.5)), 1e-6)')} SELECT doc_id, round(score, 6) AS score FROM bm")
 def search_bm25_fts5(spark, d):
     """The same with the FTS5 form of idf."""

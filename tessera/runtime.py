@@ -52,6 +52,13 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def new_folder(spark: SparkSession, label: str = "t") -> str:
+    """A new place in the shared folder; release() removes it."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def materialize(df: DataFrame, label: str = "t") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -59,9 +66,8 @@ def materialize(df: DataFrame, label: str = "t") -> DataFrame:
     pruning and gives the planner a true size. Column names must be unique.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = new_folder(spark, label)
     df.write.parquet(path)
-    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -69,3 +69,14 @@ def test_hybrid_golden(spark):
     assert [r["doc_id"] for r in out] == [2, 1, 3]
     for r in out:
         assert r["combined"] == pytest.approx(0.15 * r["bm25_score"] + 0.85 * r["vector_score"])
+
+
+def test_stored_index(spark, index, rows, tmp_path):
+    stored = se.StoredIndex.write(index, str(tmp_path / "index"), 4)
+    assert rows(stored.postings) == rows(index.postings) and rows(stored.documents) == rows(index.documents) and rows(stored.terms) == rows(index.terms)
+    for text in ("vector graph graph", "nothing", ""):
+        assert rows(se.bm25_search(stored, text, None)) == rows(se.bm25_search(index, text, None))
+    assert rows(se.matching_documents(stored, "vect", prefix=True)) == {(1,), (2,)}
+    plan = stored.lookup(["graph"])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [bucket" in plan.replace("isnotnull(bucket#", "bucket#") or "PartitionFilters: [" in plan
+    assert "In(term, [graph])" in plan or "EqualTo(term,graph)" in plan
