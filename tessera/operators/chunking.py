@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import spread
+
 Span = tuple[int, int]
 TOKEN = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 PARAGRAPH = re.compile(rb"\n[ \t\r]*\n")
@@ -190,7 +192,7 @@ def chunk(
             yield pa.RecordBatch.from_arrays(arrays, names=[key, *names])
 
     schema = f"`{key}` {kind}, chunk_index int, offset_start long, offset_end long, token_count long, parent_chunk_index int, content string"
-    return texts.select(key, text).mapInArrow(run, schema).withColumn("strategy", F.lit(strategy))
+    return spread(texts.select(key, text)).mapInArrow(run, schema).withColumn("strategy", F.lit(strategy))
 
 
 def source_facets(chunks: DataFrame, key: str, path: str) -> DataFrame:

@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import materialize
+from ..runtime import materialize, spread
 
 # A word character is an ASCII letter or digit or any character beyond ASCII.
 TOKEN_PATTERN = r"([0-9A-Za-z\u0080-\x{10FFFF}]+)"
@@ -118,7 +118,8 @@ def build_index(documents: DataFrame, doc: str = "doc_id", text: str = "text", s
 
     Null documents and texts have no postings. Rows of one doc_id are taken together.
     """
-    rows = documents.where(F.col(doc).isNotNull()).select(F.col(doc).alias("doc_id"), F.explode(tokens(F.col(text))).alias("term"))
+    rows = spread(documents.where(F.col(doc).isNotNull()).select(doc, text))
+    rows = rows.select(F.col(doc).alias("doc_id"), F.explode(tokens(F.col(text))).alias("term"))
     if stopwords is not None:
         rows = rows.join(stopwords.select(F.col("word").alias("term")).distinct(), "term", "left_anti")
     return Index(rows.groupBy("doc_id", "term").agg(F.count("*").alias("tf")))

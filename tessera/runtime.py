@@ -88,6 +88,15 @@ def _release_all() -> None:
         release(spark)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many partitions as there are cores, for work that is heavy per row.
+
+    Inputs that come in enough parts, as all large ones do, stay as they are; few small files are dealt out evenly.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def keyed_join(left: DataFrame, right: DataFrame, key: str, weight: str, total: int) -> DataFrame:
     """Inner join of ``left`` with ``right`` (unique ``key``), safe for keys that hold a large share of ``left``.
 
