@@ -11,7 +11,8 @@ from pyspark.sql import types as T
 
 # Soft hyphen, zero-width space/non-joiner/joiner, word joiner, byte-order mark.
 INVISIBLE = "­​‌‍⁠﻿"
-EDGE_BLANKS = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
+# ASCII white space and all characters of Unicode's separator categories.
+BLANKS = "\t\n\x0b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 # Below U+0300 every character is its own canonical composition.
 MAY_COMPOSE = "[^\\u0000-\\u02FF]"
 
@@ -29,7 +30,7 @@ def nfc(c: Column) -> Column:
 
 def strip_blanks(c: Column) -> Column:
     """Without leading and trailing white space of any kind."""
-    return F.regexp_replace(c, EDGE_BLANKS, "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def fold_name(c: Column) -> Column:
