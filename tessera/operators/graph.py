@@ -404,3 +404,64 @@ def components(relations: DataFrame, max_rounds: int = 50) -> DataFrame:
         edges = fresh
     roots = edges.groupBy(F.col("v").alias("node")).agg(F.min("u").alias("root"))
     return nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("component"))
+
+
+# --- look-ups and changes ----------------------------------------------------------------------------------------
+
+
+def find_relations(
+    relations: DataFrame, source: int | None = None, target: int | None = None, relation_type: str | None = None, include_deprecated: bool = False
+) -> DataFrame:
+    """The live relations with the given ends and type; what isn't given isn't asked."""
+    out = relations if include_deprecated else relations.where(F.col("deprecated_at").isNull())
+    for column, value in (("source_id", source), ("target_id", target), ("relation_type", relation_type)):
+        if value is not None:
+            out = out.where(F.col(column) == value)
+    return out
+
+
+def find_relations_by_names(entities: DataFrame, relations: DataFrame, source: str, target: str | None = None, relation_type: str | None = None) -> DataFrame:
+    """find_relations() for live entities of the given names; every entity of a name counts."""
+    named = lambda n, c: entities.where(F.col("deprecated_at").isNull() & (F.col("name") == n)).select(F.col("entity_id").alias(c))
+    out = find_relations(relations, relation_type=relation_type).join(named(source, "source_id"), "source_id", "left_semi")
+    return out if target is None else out.join(named(target, "target_id"), "target_id", "left_semi")
+
+
+def entity_documents(links: DataFrame, entities: DataFrame, table_id: int | None = None) -> DataFrame:
+    """The links (entity_id, doc_id, table_id, role, confidence) of the given entities (entity_id), once per key with the
+    greatest confidence, of one table if it is given."""
+    rows = links if table_id is None else links.where(F.col("table_id") == table_id)
+    rows = rows.join(entities.select("entity_id"), "entity_id", "left_semi")
+    return rows.groupBy("entity_id", "doc_id", "table_id", "role").agg(F.max("confidence").alias("confidence"))
+
+
+def project_properties(properties: DataFrame, relations: DataFrame) -> DataFrame:
+    """The properties whose relation exists, once per relation and key (the greatest row counts)."""
+    key = ["relation_id", "property_key"]
+    rest = [c for c in properties.columns if c not in key]
+    kept = properties.join(relations.select("relation_id"), "relation_id", "left_semi")
+    one = kept.groupBy(*key).agg(F.max(F.struct(*rest)).alias("r"))
+    return one.select(*key, *[F.col(f"r.{c}").alias(c) for c in rest])
+
+
+def property_sums(properties: DataFrame, relations: DataFrame, key: str) -> DataFrame:
+    """(target_id, relation_type, n, total): a numeric property summed over the live relations into each target."""
+    p = properties.where(F.col("property_key") == key).select("relation_id", F.coalesce("value_number", F.col("value_integer").cast("double")).alias("v"))
+    return filter_edges(relations).join(p, "relation_id").groupBy("target_id", "relation_type").agg(F.count("v").alias("n"), F.sum("v").alias("total"))
+
+
+def deprecate(rows: DataFrame, key: str, ids: list[int], at: int) -> DataFrame:
+    """``rows`` with those of the given ids deprecated at a time; what is deprecated already keeps its time."""
+    hit = F.col(key).isin(*ids) if ids else F.lit(False)
+    return rows.withColumn("deprecated_at", F.coalesce("deprecated_at", F.when(hit, F.lit(at).cast("long"))))
+
+
+def remove_entities(entities: DataFrame, relations: DataFrame, prefix: str) -> tuple[DataFrame, DataFrame]:
+    """Entities without those whose name begins with ``prefix``, and relations without those at them."""
+    if not prefix:
+        raise ValueError("an empty prefix would remove everything")
+    gone = entities.where(F.startswith("name", F.lit(prefix))).select("entity_id")
+    kept = relations.join(gone.withColumnRenamed("entity_id", "source_id"), "source_id", "left_anti").join(
+        gone.withColumnRenamed("entity_id", "target_id"), "target_id", "left_anti"
+    )
+    return entities.join(gone, "entity_id", "left_anti"), kept.select(*relations.columns)

@@ -357,3 +357,57 @@ HOPS 1..3
 PROJECT x.entity_id, x.name
 LIMIT 100"""
     return gpq.execute(gpq.parse(text), entities(spark, d), relations(spark, d))
+
+
+# --- look-ups ----------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {ENTITIES}, {RELATIONS}, {LIVE} SELECT relation_id, target_id FROM live
+WHERE relation_type = 'supplies' AND source_id IN (SELECT entity_id FROM ent WHERE deprecated_at IS NULL AND name = (SELECT s_name FROM supplier WHERE s_suppkey = 3))""")
+def graph_relations_by_name(spark, d):
+    """What a named supplier supplies."""
+    name = t(spark, d, "supplier").where("s_suppkey = 3").first()["s_name"]
+    return g.find_relations_by_names(entities(spark, d), relations(spark, d), name, None, "supplies").select("relation_id", "target_id")
+
+
+@query(f"""SELECT 3 * {KIND} + o_custkey AS entity_id, o_orderkey AS doc_id, 1 AS table_id, o_orderpriority AS role, max(CASE WHEN o_orderstatus = 'F' THEN 0.9 ELSE 0.5 END) AS confidence
+FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') GROUP BY ALL""")
+def graph_entity_documents(spark, d):
+    """The orders of the customers of a segment as their documents."""
+    links = t(spark, d, "orders").select(
+        (F.lit(3 * KIND) + F.col("o_custkey")).alias("entity_id"), F.col("o_orderkey").alias("doc_id"), F.lit(1).alias("table_id"), F.col("o_orderpriority").alias("role"),
+        F.when(F.col("o_orderstatus") == "F", 0.9).otherwise(0.5).alias("confidence"),
+    )
+    wanted = t(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select((F.lit(3 * KIND) + F.col("c_custkey")).alias("entity_id"))
+    return g.entity_documents(links, wanted, 1)
+
+
+@query(f"""WITH {RELATIONS}, {LIVE}, {PROPERTIES} SELECT target_id, relation_type, count(value_number) AS n, sum(value_number) AS total
+FROM live JOIN prop USING (relation_id) WHERE property_key = 'quantity' GROUP BY ALL""")
+def graph_property_sums(spark, d):
+    """The quantity of each part over its suppliers."""
+    return g.property_sums(properties(spark, d), relations(spark, d), "quantity")
+
+
+@query(f"""WITH {RELATIONS}, {PROPERTIES} SELECT relation_id, property_key, value_text, value_number FROM prop WHERE relation_id IN (SELECT relation_id FROM rel WHERE confidence >= 0.5)""")
+def graph_project_properties(spark, d):
+    """Properties of the relations that exist in a derived graph."""
+    kept = relations(spark, d).where("confidence >= 0.5")
+    return g.project_properties(properties(spark, d), kept).select("relation_id", "property_key", "value_text", "value_number")
+
+
+@query("""SELECT DISTINCT lower(trim(column_name)) AS term, table_id AS entity_id, 0.5 AS confidence FROM column_semantics
+WHERE lower(trim(column_name)) IN ('status', 'amount', 'owner_name') AND table_id IN (SELECT table_id FROM table_semantics WHERE deleted_at IS NULL)""")
+def graph_resolve_terms(spark, d):
+    """Tables by exact aliases: the names of their columns."""
+    named = t(spark, d, "column_semantics").select(F.lower(F.trim("column_name")).alias("term"), F.col("table_id").alias("entity_id"), F.lit(0.5).alias("confidence")).distinct()
+    tables = t(spark, d, "table_semantics").select(F.col("table_id").alias("entity_id"), F.col("deleted_at").alias("deprecated_at"))
+    return g.resolve_terms(named, tables, ["status", "amount", "owner_name"], 0.4)
+
+
+@query(f"""WITH {ENTITIES}, {RELATIONS}, {LIVE} SELECT relation_id FROM live WHERE source_id NOT IN (SELECT entity_id FROM ent WHERE starts_with(name, 'Supplier#00000000'))
+AND target_id NOT IN (SELECT entity_id FROM ent WHERE starts_with(name, 'Supplier#00000000')) AND relation_type IN ('based_in', 'supplies')""")
+def graph_cleanup(spark, d):
+    """The supplies that are left when the entities of a name's prefix are removed."""
+    _, kept = g.remove_entities(entities(spark, d), relations(spark, d), "Supplier#00000000")
+    return kept.where("relation_type in ('based_in', 'supplies') and deprecated_at is null").select("relation_id")

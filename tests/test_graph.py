@@ -129,3 +129,24 @@ def test_pattern_language(ents, rels):
 def test_pattern_errors(text):
     with pytest.raises(ValueError):
         gpq.parse(text)
+
+
+def test_lookups_and_changes(spark, ents, rels, rows):
+    ids = lambda df: {r["relation_id"] for r in df.collect()}
+    assert ids(g.find_relations(rels, source=1, relation_type="knows")) == {10, 15}
+    assert ids(g.find_relations(rels, source=2, include_deprecated=True)) == {12, 14}
+    assert ids(g.find_relations_by_names(ents, rels, "Alice", "Bob")) == {10}
+    links = spark.createDataFrame([(1, 7, 1, "r", 0.2), (1, 7, 1, "r", 0.8), (2, 7, 1, "r", 0.5), (1, 8, 2, "r", 0.5)], "entity_id long, doc_id long, table_id long, role string, confidence double")
+    assert rows(g.entity_documents(links, seed(spark, 1).toDF("entity_id"), 1)) == {(1, 7, 1, "r", 0.8)}
+    props = spark.createDataFrame([(10, "k", 1.0, None), (10, "k", 2.0, None), (99, "k", 1.0, None), (12, "k", None, 5)], "relation_id long, property_key string, value_number double, value_integer long")
+    assert rows(g.project_properties(props, rels)) == {(10, "k", 2.0, None), (12, "k", None, 5)}
+    assert rows(g.property_sums(g.project_properties(props, rels), rels, "k")) == {(2, "knows", 1, 2.0), (4, "writes_about", 1, 5.0)}
+    dead = {r["relation_id"]: r["deprecated_at"] for r in g.deprecate(rels, "relation_id", [10, 14], 7).collect()}
+    assert dead[10] == 7 and dead[14] == 1 and dead[11] is None
+    e, r = g.remove_entities(ents, rels, "Al")
+    assert {x["entity_id"] for x in e.collect()} == {2, 3, 4, 5} and ids(r) == {12, 13, 14}
+    with pytest.raises(ValueError):
+        g.remove_entities(ents, rels, "")
+    aliases = spark.createDataFrame([("pg", 3, 0.9), ("pg", 5, 0.9), ("pg", 4, 0.1)], "term string, entity_id long, confidence double")
+    assert rows(g.resolve_terms(aliases, ents, ["pg"], 0.5)) == {("pg", 3, 0.9)}
+    assert rows(g.resolve_terms(aliases, ents, [])) == set()
