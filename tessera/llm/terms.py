@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import clean_term, strip_blanks
-from ..runtime import HOT_SHARE, keyed_join, materialize
+from ..functions.text import INVISIBLE, clean_term, strip_blanks
+from ..runtime import HOT_SHARE, keyed_join, materialize, spread
 
 
 def term_records(rows: DataFrame) -> DataFrame:
@@ -24,11 +24,10 @@ def term_records(rows: DataFrame) -> DataFrame:
     invisible characters are blank. Other columns of the input are ignored. An empty input gives no rows.
     """
     rows = rows.select("doc_id", "term_text", F.col("freq").cast("long").alias("freq"), "indexed_at")
-    rows = rows.where(
-        F.col("doc_id").isNotNull() & (strip_blanks(F.col("term_text")) != "") & (F.col("freq") >= 1)
-    ).withColumn("term", clean_term(F.col("term_text")))
+    visible = strip_blanks(F.translate(F.col("term_text"), INVISIBLE, ""))
+    rows = spread(rows.where(F.col("doc_id").isNotNull() & (visible != "") & (F.col("freq") >= 1)))
     # One shuffle serves both aggregations, as either groups within (doc_id, term).
-    rows = rows.where(F.col("term") != "").repartition("doc_id", "term")
+    rows = rows.withColumn("term", clean_term(F.col("term_text"))).repartition("doc_id", "term")
     latest = rows.groupBy("doc_id", "term", "term_text").agg(F.max(F.struct("indexed_at", "freq")).alias("last"))
     return latest.groupBy("doc_id", "term").agg(F.sum("last.freq").alias("freq"))
 
