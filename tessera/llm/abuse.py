@@ -11,6 +11,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import spread
+
 # The lexicon. Insults that stand alone weigh 1; words with a literal sense and cues weigh less and
 # count together with others near by. Entries are written as folded text has them (lower case, no accents).
 LEXICON = {
@@ -210,7 +212,7 @@ def score_documents(documents: DataFrame) -> DataFrame:
                 names=["doc_id", "source", "peak", "density", "hits"],
             )
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text").mapInArrow(
+    return spread(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text")).mapInArrow(
         run, "doc_id long, source string, peak double, density double, hits long"
     )
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .batches import by_size
 from .splitting import valid_documents
 from ..functions.text import fold_name
-from ..runtime import materialize
+from ..runtime import materialize, spread
 
 LANGUAGES = ("en", "fr", "nl", "de", "es", "pt")
 
@@ -287,7 +287,7 @@ def language_segments(
                 names=["doc_id", "label", "segment", "offset_start", "offset_end", "language", "confidence", "words"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "label", "content").mapInArrow(
+    return spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "label", "content")).mapInArrow(
         run,
         "doc_id long, label string, segment int, offset_start long, offset_end long, language string, confidence double, words long",
     )

@@ -10,6 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import spread
 from .tokens import TOKENIZERS, encode, encoding, rank_file
 
 ASSIGNED = "doc_id long, part int, start_token long, n_tokens long, container_id long"
@@ -110,7 +111,7 @@ def fill_containers(
         if rows:
             yield packed()
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ASSIGNED)
+    return spread(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, ASSIGNED)
 
 
 def container_fill(assigned: DataFrame, capacity: int = 2048) -> DataFrame:

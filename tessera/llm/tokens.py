@@ -11,6 +11,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import spread
+
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
 # Fixed value: the pre-splitting pattern of the 50k byte-level vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
@@ -89,7 +91,7 @@ def encode_documents(documents: DataFrame, name: str = "byte_bpe_50k", folder: s
             ids = pa.array([encode(enc, t) for t in b.column("text").to_pylist()], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), ids], names=["doc_id", "ids"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
+    return spread(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(
         run, "doc_id long, ids array<int>"
     )
 
@@ -104,7 +106,7 @@ def token_counts(documents: DataFrame, name: str = "byte_bpe_50k", folder: str =
             n = pa.array([len(encode(enc, t)) for t in b.column("text").to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), n], names=["doc_id", "n_tokens"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
+    return spread(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(
         run, "doc_id long, n_tokens long"
     )
 
