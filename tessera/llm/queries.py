@@ -7,9 +7,9 @@ from . import abuse, language, packing, splitting, terms, tokens, vectors
 
 
 def p1_found(spark, d):
-    """Pairs with at least 4 occurrences of a term that 2 to 6 records hold, of the enriched terms of each record."""
+    """Pairs with at least 4 occurrences of a term that 2 to 6 records hold; the score is a value only and drops none."""
     scored = terms.distinctive_terms(t(spark, d, "bm25_term_frequencies"))
-    return scored.where("score > 0 and freq >= 4 and ndoc between 2 and 6").select("doc_id", "term_text")
+    return scored.where("freq >= 4 and ndoc between 2 and 6").select("doc_id", "term_text")
 
 
 def p1_terms(spark, d):

@@ -6,7 +6,7 @@ from itertools import product
 import numpy as np
 import pytest
 
-from tessera.llm import terms
+from tessera.llm import queries, terms
 
 T0 = datetime(2024, 1, 1)
 S = "doc_id long, term_text string, freq int, indexed_at timestamp, term string, ndoc string"
@@ -131,3 +131,13 @@ def test_content_ngrams(spark, rows):
     got = rows(terms.content_ngrams(facts, 2))
     assert ("a", 2, 1, "rare") in got and ("b", 2, 2, "common") in got and ("a; b", 1, 1, "rare") in got and ("b; a", 1, 1, "rare") in got
     assert not any("old" in r[0] for r in got)
+
+
+def test_found_keeps_pairs_without_a_score(spark, rows, tmp_path):
+    data = [(1, "even", 4, 1), (2, "even", 4, 1), (3, "once", 9, 1), (1, "few", 3, 1), (2, "few", 1, 1)]
+    frame(spark, data).write.parquet(f"{tmp_path}/bm25_term_frequencies.parquet")
+    frame(spark, [(d, "even", 4, 1) for d in (1, 2)]).write.parquet(f"{tmp_path}/all/bm25_term_frequencies.parquet")
+    scored = terms.distinctive_terms(spark.read.parquet(f"{tmp_path}/all/bm25_term_frequencies.parquet"))
+    assert rows(scored.select("score")) == {(0.0,)}
+    assert rows(queries.p1_found(spark, f"{tmp_path}/all")) == {(1, "even"), (2, "even")}
+    assert rows(queries.p1_found(spark, str(tmp_path))) == {(1, "even"), (2, "even")}
