@@ -259,20 +259,44 @@ def exclusive_conflicts(relations: DataFrame, types: list[str]) -> DataFrame:
 def overlap_conflicts(relations: DataFrame, types: list[str]) -> DataFrame:
     """(relation_id, other_id): relations of one source and type, to different targets, whose times overlap (null is open).
 
-    Found by a sweep: within a source and type, by begin, a relation conflicts with the one of latest end before it if
-    that lasts beyond its begin. Each conflicting relation comes once, with that one, so a source with n overlapping
-    relations gives n - 1 rows, not n * n.
+    Found by a sweep: within a source and type, by begin, a relation conflicts with the one of latest end among those
+    before it with a different target, if that lasts beyond its begin. Each relation that overlaps one before it comes
+    once, with that one, so a source with n overlapping relations gives n - 1 rows, not n * n; overlap_pairs() has all.
+    Relations without a target take no part.
+
+    The sweep carries the latest end and the latest among the other targets: whenever two targets meet, the lesser of
+    the row and the latest before it stays a candidate for the second, whose target then never is that of the latest.
     """
     from pyspark.sql import Window
 
-    lo, hi = F.lit(-(2**62)), F.lit(2**62)
-    rows = filter_edges(relations).where(F.col("relation_type").isin(*types)).select(
-        "relation_id", "source_id", "relation_type", "target_id", F.coalesce("valid_from", lo).alias("b"), F.coalesce("valid_to", hi).alias("e")
-    )
     w = Window.partitionBy("source_id", "relation_type").orderBy("b", "relation_id").rowsBetween(Window.unboundedPreceding, -1)
-    last = rows.withColumn("before", F.max(F.struct("e", "relation_id", "target_id")).over(w))
-    bad = last.where((F.col("before.e") >= F.col("b")) & (F.col("before.target_id") != F.col("target_id")))
-    return bad.select("relation_id", F.col("before.relation_id").alias("other_id"))
+    own = F.struct("e", "relation_id", "target_id")
+    last = _spans(relations, types).withColumn("before", F.max(own).over(w))
+    differs = F.col("before.target_id") != F.col("target_id")
+    second = F.max(F.when(differs, F.least(own, F.col("before")))).over(w)
+    last = last.withColumn("other", F.when(differs, F.col("before")).otherwise(second))
+    return last.where(F.col("other.e") >= F.col("b")).select("relation_id", F.col("other.relation_id").alias("other_id"))
+
+
+def overlap_pairs(relations: DataFrame, types: list[str]) -> DataFrame:
+    """(relation_id, other_id, kind): every pair of relations of one source and type whose times overlap (null is open).
+
+    kind is 'same_target' or 'different_target'; relation_id is the lesser id. A source with n overlapping relations
+    gives n * (n - 1) / 2 rows.
+    """
+    rows = _spans(relations, types)
+    other = rows.select("source_id", "relation_type", *[F.col(c).alias(f"o_{c}") for c in ("relation_id", "target_id", "b", "e")])
+    both = rows.join(other, ["source_id", "relation_type"])
+    both = both.where((F.col("relation_id") < F.col("o_relation_id")) & (F.col("b") <= F.col("o_e")) & (F.col("o_b") <= F.col("e")))
+    kind = F.when(F.col("target_id") == F.col("o_target_id"), "same_target").otherwise("different_target")
+    return both.select("relation_id", F.col("o_relation_id").alias("other_id"), kind.alias("kind"))
+
+
+def _spans(relations: DataFrame, types: list[str]) -> DataFrame:
+    """The live relations of the types that have a target, with begin b and end e."""
+    lo, hi = F.lit(-(2**62)), F.lit(2**62)
+    live = filter_edges(relations).where(F.col("relation_type").isin(*types) & F.col("target_id").isNotNull())
+    return live.select("relation_id", "source_id", "relation_type", "target_id", F.coalesce("valid_from", lo).alias("b"), F.coalesce("valid_to", hi).alias("e"))
 
 
 def redundant_relations(relations: DataFrame) -> DataFrame:

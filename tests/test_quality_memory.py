@@ -63,6 +63,27 @@ def test_conflicts(rels, rows):
     assert rows(qu.overlap_conflicts(rels, ["owns"])) == {(12, 11)}
 
 
+def test_overlaps_behind_a_longer_relation(spark, rows):
+    import random
+
+    few = [(1, "owns", 9, 1, 0, 100, 0.9, None), (2, "owns", 9, 2, 0, 50, 0.9, None), (3, "owns", 9, 1, 10, 20, 0.9, None)]
+    df = spark.createDataFrame(few, R)
+    assert rows(qu.overlap_conflicts(df, ["owns"])) == {(2, 1), (3, 2)}
+    assert rows(qu.overlap_pairs(df, ["owns"])) == {(1, 2, "different_target"), (1, 3, "same_target"), (2, 3, "different_target")}
+    r = random.Random(5)
+    many = [(i, "owns", i % 12, r.randrange(3), b, b + r.randrange(30), 0.9, None) for i in range(240) for b in [r.randrange(60)]]
+    want, pairs = {}, set()
+    for x in many:
+        for y in many:
+            if x[2] == y[2] and x[0] != y[0] and x[4] <= y[5] and y[4] <= x[5]:
+                pairs.add((min(x[0], y[0]), max(x[0], y[0]), "same_target" if x[3] == y[3] else "different_target"))
+                if x[3] != y[3] and (y[4], y[0]) < (x[4], x[0]):
+                    want[x[0]] = max(want.get(x[0], (0, 0)), (y[5], y[0]))
+    df = spark.createDataFrame(many, R)
+    assert rows(qu.overlap_conflicts(df, ["owns"])) == {(a, b) for a, (_, b) in want.items()}
+    assert rows(qu.overlap_pairs(df, ["owns"])) == pairs
+
+
 def test_coverage_and_convergence(spark, rows):
     facts = spark.createDataFrame(
         [("w", "on", "c1", '{"node_id":"A"}'), ("w", "on", "B", "{}"), ("w", "on", "X", None), ("w", "other", "A", "{}")], "workspace_id string, schema_id string, content string, facets_json string"
