@@ -81,19 +81,41 @@ def compare_workspaces(types: DataFrame, a: str, b: str) -> DataFrame:
     return has.select("type_name", (F.lit("shared") if a == b else side).alias("side"))
 
 
-def entity_bridges(entities: DataFrame, a: str, b: str, threshold: float = 0.8, prefix: int = 3) -> DataFrame:
+def entity_bridges(entities: DataFrame, a: str, b: str, threshold: float = 0.8) -> DataFrame:
     """(id_a, id_b, similarity): entities of two workspaces of one type whose names are alike.
 
-    similarity = 1 - edit distance / greater length, ASCII letters in any case. Only names that share their first
-    ``prefix`` characters and whose lengths allow the threshold are compared, by an equi-join.
+    similarity = 1 - edit distance / greater length, ASCII letters in any case; null and empty names are like none.
+    No pair is lost: a name of length n takes at most d edits to any name within the threshold, so of its d + 1 pieces
+    one stays whole and stands in the other name, shifted by no more than the edits allow. Distinct names meet in an
+    equi-join on such pieces, at a threshold of 0.5 or less (where pieces could be empty) on the type alone.
     """
     name = F.translate(F.col("name"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    pick = lambda w, s: entities.where(F.col("workspace_id") == w).select("entity_type", F.substring(name, 1, prefix).alias("p"), F.col("entity_id").alias(f"id_{s}"), name.alias(f"n_{s}"))
-    both = pick(a, "a").join(pick(b, "b"), ["entity_type", "p"])
-    longest = F.greatest(F.length("n_a"), F.length("n_b"))
-    both = both.where(F.least(F.length("n_a"), F.length("n_b")) >= longest * threshold)
+    pick = lambda w, s: entities.where((F.col("workspace_id") == w) & (F.length("name") > 0)).select("entity_type", F.col("entity_id").alias(f"id_{s}"), name.alias(f"n_{s}"))
+    ids_a, ids_b = pick(a, "a"), pick(b, "b")
+    names_a, names_b = ids_a.select("entity_type", "n_a").distinct(), ids_b.select("entity_type", "n_b").distinct()
+    slack = 1e-9  # 0.2 * 5 is 1, also where the product is a little less
+    whole = lambda x: F.floor(x + slack).cast("int")
+    edits = lambda n: whole((1 - threshold) * n)
+    longest, shift = F.greatest(F.length("n_a"), F.length("n_b")), F.lit(0)
+    if threshold > 0.5:
+        pieces = lambda n: edits(whole(n / threshold)) + 1
+        n = F.length("n_a")
+        cut = lambda i: F.floor(i * n / pieces(n)).cast("int")
+        piece = lambda i: F.struct(cut(i).alias("at"), F.substring("n_a", cut(i) + 1, cut(i + 1) - cut(i)).alias("piece"))
+        names_a = names_a.select("entity_type", "n_a", F.inline(F.transform(F.sequence(F.lit(0), pieces(n) - 1), piece)).alias("at_a", "piece"))
+        n = F.length("n_b")
+        sizes = F.transform(F.sequence(F.ceil(n * threshold - slack).cast("int"), whole(n / threshold)), lambda m: m / pieces(m))
+        sizes = F.sequence(F.floor(F.array_min(sizes)).cast("int"), F.least(F.ceil(F.array_max(sizes)).cast("int"), n))
+        names_b = names_b.select("entity_type", "n_b", F.explode(sizes).alias("size"))
+        part = lambda i: F.struct(i.alias("at"), F.substring("n_b", i + 1, F.col("size")).alias("piece"))
+        names_b = names_b.select("entity_type", "n_b", F.inline(F.transform(F.sequence(F.lit(0), n - F.col("size")), part)).alias("at_b", "piece"))
+        shift = F.col("at_b") - F.col("at_a")
+    both = names_a.join(names_b, ["entity_type", "piece"] if threshold > 0.5 else "entity_type")
+    longer = F.length("n_b") - F.length("n_a")
+    both = both.where(F.abs(shift) + F.abs(longer - shift) <= edits(longest)).select("entity_type", "n_a", "n_b").distinct()
     score = 1 - F.levenshtein("n_a", "n_b") / longest
-    return both.select("id_a", "id_b", score.alias("similarity")).where(F.col("similarity") >= threshold)
+    alike = both.withColumn("similarity", score).where(F.col("similarity") >= threshold)
+    return alike.join(ids_a, ["entity_type", "n_a"]).join(ids_b, ["entity_type", "n_b"]).select("id_a", "id_b", "similarity")
 
 
 def coverage_by_types(entities: DataFrame, declared: DataFrame) -> DataFrame:

@@ -157,3 +157,31 @@ def test_profile_and_ontology(spark, rows):
     assert rows(on.compare_workspaces(kinds, "a", "b")) == {("x", "shared"), ("y", "only_a"), ("z", "only_b")}
     ents = spark.createDataFrame([("a", "t", 1, "Building one"), ("b", "t", 2, "building 0ne"), ("b", "u", 3, "building one")], "workspace_id string, entity_type string, entity_id long, name string")
     assert rows(on.entity_bridges(ents, "a", "b").select("id_a", "id_b")) == {(1, 2)}
+
+
+def test_bridges_lose_no_pair(spark, rows):
+    import random
+
+    r = random.Random(7)
+    words = ["customer_name", "xcustomer_name", "address_line", "adress_line", "ustomer_name", "customer_nam", "a", "ab", "A", "", None, "é" * 9 + "x", "é" * 10, "aaaaa", "aaaab", "baaaa"]
+    for w in [w for w in words if w and len(w) > 4] * 12:
+        for _ in range(r.randrange(1, 4)):
+            i = r.randrange(len(w) + 1)
+            w = w[:i] + r.choice(["", "a", "xy", "_"]) + w[i + r.randrange(2) :]
+        words.append(w)
+    data = [(side, "t", i, w) for side in "ab" for i, w in enumerate(words)]
+
+    def distance(x, y):
+        row = list(range(len(y) + 1))
+        for i, c in enumerate(x, 1):
+            last, row[0] = row[0], i
+            for j, e in enumerate(y, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (c != e))
+        return row[-1]
+
+    ents = spark.createDataFrame(data, "workspace_id string, entity_type string, entity_id long, name string")
+    score = {(i, j): 1 - distance(x.lower(), y.lower()) / max(len(x), len(y)) for i, x in enumerate(words) for j, y in enumerate(words) if x and y}
+    assert score[0, 1] >= 0.8 and score[2, 3] >= 0.8
+    for threshold in (0.8, 0.7, 0.4):
+        got = on.entity_bridges(ents, "a", "b", threshold).select("id_a", "id_b").collect()
+        assert len(got) == len(set(got)) and {tuple(x) for x in got} == {k for k, v in score.items() if v >= threshold}
