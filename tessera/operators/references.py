@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,14 +99,14 @@ def orphan_references(relations: DataFrame, tables: DataFrame) -> DataFrame:
     return judged_references(relations, tables).where(F.col("kind").isNotNull()).select("relation_semantic_id", "ref_field", "kind")
 
 
-def orphan_cascade(relations: DataFrame, tables: DataFrame, max_rounds: int = 100) -> DataFrame:
+def orphan_cascade(relations: DataFrame, tables: DataFrame) -> DataFrame:
     """(relation_semantic_id, ref_field, kind, level, period): direct orphans (level 0) and inherited ones (level >= 1).
 
     A record with an orphan reference is orphaned, and so is the table it stands in, its source table. References to an
     orphaned table are inherited orphans (kind 'inherited') one level further, and so on down the references until
-    a round finds no new one. The rounds run on the distinct (table referred to, table it stands in) pairs: each is a
+    a round finds no new one, however deep they go. The rounds run on the distinct (table referred to, table it stands in) pairs: each is a
     semi-join of the pairs with the tables orphaned in the round before, and an anti-join removes tables seen, so
-    cycles end. One join at the end gives each reference its table's level. period is the month of updated_at.
+    cycles end. The tables seen are written together every few rounds, which bounds the plan. One join at the end gives each reference its table's level. period is the month of updated_at.
     """
     refs = materialize(judged_references(relations, tables).withColumn("period", F.date_trunc("month", "updated_at")), "refs")
     source = refs.where("ref_field = 'source_table_id' and found is not null").select("relation_semantic_id", F.col("found").alias("in_table"))
@@ -114,11 +116,13 @@ def orphan_cascade(relations: DataFrame, tables: DataFrame, max_rounds: int = 10
     pairs = materialize(sound.join(source, "relation_semantic_id").select(F.col("found").alias("t"), "in_table").distinct(), "pairs")
     fresh = direct.join(source, "relation_semantic_id").select(F.col("in_table").alias("t")).distinct()
     levels = None
-    for level in range(max_rounds):
-        fresh = materialize(fresh.select("t", F.lit(level + 1).alias("level")), "fresh")
+    for level in count(1):
+        fresh = materialize(fresh.select("t", F.lit(level).alias("level")), "fresh")
         if fresh.isEmpty():
             break
         levels = fresh if levels is None else levels.unionByName(fresh)
+        if level % 16 == 0:
+            levels = materialize(levels.coalesce(levels.sparkSession.sparkContext.defaultParallelism), "levels")
         reached = pairs.join(fresh.select("t"), "t", "left_semi").select(F.col("in_table").alias("t")).distinct()
         fresh = reached.join(levels.select("t"), "t", "left_anti")
     if levels is None:

@@ -124,3 +124,11 @@ def test_orphans(spark, rows):
     assert re.orphan_references(rels.limit(0), tables).collect() == []
     assert all(r["kind"] == "missing" for r in re.orphan_references(rels, tables.limit(0)).collect())
     assert sum(r["orphans"] for r in re.orphan_report(rels, tables).where("level = 0").collect()) == len(direct)
+
+
+def test_cascade_deeper_than_a_hundred_levels(spark):
+    n = 104
+    tables = spark.createDataFrame([(i, "w", "s", f"t{i}", day(0), None, None) for i in range(n)], TAB).coalesce(1)
+    rels = spark.createDataFrame([relation(0, 0, n, None, 1)] + [relation(i, i, i - 1, None, 1) for i in range(1, n)], REL).coalesce(1)
+    levels = {(r["relation_semantic_id"], r["kind"], r["level"]) for r in re.orphan_cascade(rels, tables).collect()}
+    assert levels == {(0, "missing", 0)} | {(i, "inherited", i) for i in range(1, n)}
