@@ -170,9 +170,11 @@ def unified_records(records: DataFrame, columns: DataFrame, migrations: DataFram
     v_bigint, v_double, v_decimal, v_boolean, v_timestamp, v_text, canonical_type, status).
 
     Each record is read by its file's column list: a field belongs to the column whose name it has, but for case and
-    outer blanks, and gets a branch by that file's type (tag): the value converted to it; v_text always holds the
-    raw value, so that no value is lost, and name and canonical_type are those of the fused schema. status is 'ok',
-    'null', 'wrong type' (the branch can't hold the value), 'missing' (a listed column without a field), 'unlisted' (a
+    outer blanks, and gets a branch by that file's type (tag): the value converted to it; the branch of canonical_type
+    holds it as well, so that one branch gives the column in all files, where the value can be converted. v_text always
+    holds the raw value, so that no value is lost, and name and canonical_type are those of the fused schema. status is
+    'ok', 'null', 'wrong type' (the tag's branch can't hold the value: it stands in the branch that its text has, as
+    found_alternatives() lists), 'missing' (a listed column without a field), 'unlisted' (a
     field without a column) or 'unreadable' (payload null or no whole JSON object; one row, without a column). Exact
     copies of a record count once. Records of unknown files have only unlisted fields.
     """
@@ -233,15 +235,27 @@ def unified_records(records: DataFrame, columns: DataFrame, migrations: DataFram
     return _branches(cells)
 
 
+def found_alternatives(unified: DataFrame) -> DataFrame:
+    """(table_id, column_semantic_id, tag, type, n): the types that values of 'wrong type' have by their text, for the
+    table of unified_records(); they are alternatives of the column beside the declared ones of unified_schema()."""
+    found = F.lit("text")
+    for kind in ("timestamp", "boolean", "double", "bigint"):
+        found = F.when(F.col(f"v_{kind}").isNotNull(), kind).otherwise(found)
+    rows = unified.where("status = 'wrong type'").select("table_id", "column_semantic_id", "tag", found.alias("type"))
+    return rows.groupBy("table_id", "column_semantic_id", "tag", "type").agg(F.count("*").alias("n"))
+
+
 def _branches(cells: DataFrame) -> DataFrame:
-    raw, tag = F.col("raw"), F.col("tag")
+    raw, tag, canonical = F.col("raw"), F.col("tag"), F.col("canonical_type")
     number = _number(raw)
+    whole = F.when(raw.rlike(r"^\s*-?\d+\s*$"), raw.try_cast("bigint"))
+    truth = F.when(F.lower(raw).isin("true", "false", "t", "f", "yes", "no"), raw.try_cast("boolean"))
     cells = cells.withColumns(
         {
-            "v_bigint": F.when(tag.isin("bigint", "integer"), F.when(raw.rlike(r"^\s*-?\d+\s*$"), raw.try_cast("bigint"))),
+            "v_bigint": F.when(tag.isin("bigint", "integer"), whole),
             "v_double": F.when(tag == "double", number.try_cast("double")),
             "v_decimal": F.when(tag == "numeric", number.try_cast("decimal(38,6)")),
-            "v_boolean": F.when(tag == "boolean", F.when(F.lower(raw).isin("true", "false", "t", "f", "yes", "no"), raw.try_cast("boolean"))),
+            "v_boolean": F.when(tag == "boolean", truth),
             "v_timestamp": F.when(tag == "timestamp", _time(raw)),
             "v_text": raw,
         }
@@ -261,4 +275,18 @@ def _branches(cells: DataFrame) -> DataFrame:
         .when(held.isNull(), "wrong type")
         .otherwise("ok")
     )
-    return cells.withColumn("status", status).drop("here")
+    cells = cells.withColumn("status", status)
+    # A value its tag can't hold goes to the first of these branches that can, if only text can to no other.
+    misfit = F.col("status") == "wrong type"
+    real = F.when(number.rlike(r"^\s*[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?\s*$"), number.try_cast("double"))
+    is_whole, is_real, is_truth = whole.isNotNull(), real.isNotNull(), truth.isNotNull()
+    as_double = F.when(canonical == "double", number.try_cast("double"))
+    cells = cells.withColumns(
+        {
+            "v_bigint": F.coalesce("v_bigint", F.when(misfit, whole)),
+            "v_double": F.coalesce("v_double", as_double, F.when(misfit & ~is_whole, real)),
+            "v_boolean": F.coalesce("v_boolean", F.when(misfit & ~is_whole & ~is_real, truth)),
+            "v_timestamp": F.coalesce("v_timestamp", F.when(misfit & ~is_whole & ~is_real & ~is_truth, _time(raw))),
+        }
+    )
+    return cells.drop("here")

@@ -132,3 +132,30 @@ def test_cascade_deeper_than_a_hundred_levels(spark):
     rels = spark.createDataFrame([relation(0, 0, n, None, 1)] + [relation(i, i, i - 1, None, 1) for i in range(1, n)], REL).coalesce(1)
     levels = {(r["relation_semantic_id"], r["kind"], r["level"]) for r in re.orphan_cascade(rels, tables).collect()}
     assert levels == {(0, "missing", 0)} | {(i, "inherited", i) for i in range(1, n)}
+
+
+def test_records_have_their_canonical_branch(spark, migrations, rows):
+    aliases = spark.createDataFrame([("data_type", t, t) for t in ("integer", "numeric", "double", "boolean", "timestamp")], "alias_kind string, alias string, canonical string")
+    names = {1: "n", 2: "b", 3: "t"}
+    kinds = {"m1": ("integer", "boolean", "timestamp"), "m2": ("numeric", "boolean", "timestamp"), "m3": ("double", "boolean", "timestamp")}
+    c = columns(spark, [(1, m, i, names[i], k[i - 1], day(1)) for m, k in kinds.items() for i in names])
+    recs = [
+        (1, 1, "m1", '{"n": "5", "b": "yes", "t": "2024-01-02"}'),
+        (2, 1, "m2", '{"n": "2,5", "b": "7", "t": "x"}'),
+        (3, 1, "m3", '{"n": "1.5", "b": "02/01/2024", "t": "true"}'),
+        (4, 1, "m1", '{"n": "2.5", "b": null, "t": "-1e3"}'),
+        (5, 1, "m3", '{"n": "no", "b": "t", "t": "9"}'),
+    ]
+    out = dr.unified_records(spark.createDataFrame(recs, "record_id long, table_id long, migration_id string, payload string"), c, migrations, aliases)
+    numbers = {(r["record_id"], r["v_bigint"], r["v_double"], r["v_boolean"], r["status"]) for r in out.where("name = 'n'").collect()}
+    assert numbers == {(1, 5, 5.0, None, "ok"), (2, None, 2.5, None, "ok"), (3, None, 1.5, None, "ok"), (4, None, 2.5, None, "wrong type"), (5, None, None, False, "wrong type")}
+    others = {(r["record_id"], r["name"], r["v_bigint"], r["v_double"], r["v_boolean"], r["v_timestamp"], r["status"]) for r in out.where("name != 'n'").collect()}
+    assert others == {
+        (1, "b", None, None, True, None, "ok"), (1, "t", None, None, None, day(1), "ok"), (2, "b", 7, None, None, None, "wrong type"), (2, "t", None, None, None, None, "wrong type"),
+        (3, "b", None, None, None, day(1), "wrong type"), (3, "t", None, None, True, None, "wrong type"), (4, "b", None, None, None, None, "null"), (4, "t", None, -1000.0, None, None, "wrong type"),
+        (5, "b", None, None, True, None, "ok"), (5, "t", 9, None, None, None, "wrong type"),
+    }
+    assert rows(dr.found_alternatives(out)) == {
+        (1, 1, "integer", "double", 1), (1, 1, "double", "boolean", 1), (1, 2, "boolean", "bigint", 1), (1, 2, "boolean", "timestamp", 1),
+        (1, 3, "timestamp", "text", 1), (1, 3, "timestamp", "boolean", 1), (1, 3, "timestamp", "double", 1), (1, 3, "timestamp", "bigint", 1),
+    }
