@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -39,22 +40,38 @@ _CLASS = _classes()
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
-# What is no prose: code blocks, markup, statements and names with underscores, key=value fields, and quoted titles of up
-# to four words.
-_NO_PROSE = regex.compile(
-    r"""```.*?(?:```|\Z)|`[^`\n]*`|<[^<>\n]{1,200}>|[A-Za-z0-9+/]{40,}={0,2}|https?://\S+|\S+@\S+"""
-    r"""|\bselect\b[^\n;]{0,200}?_[^\n;]{0,200}?\bfrom\b[^\n;]{0,80}(?:\bwhere\b[^\n;]{0,80})?"""
-    r"""|(?:\w+\|)?[\w.]+=[^\s|]*|\w*_\w+"""
-    r"""|["“”„«»‘'(]\s*["“”„«»‘']?\s*\w+(?:[ '’.-]+\w+){0,3}\s*["“”»«’']\s*\)?(?!\w)""",
-    regex.DOTALL | regex.IGNORECASE,
-)
+# What is no prose, each with the signs without which it can't occur: code, markup, long codes, addresses, statements with
+# underscores, key=value fields, names with underscores, and quoted titles of up to four words. Every pattern is anchored
+# at a sign or at the begin of a word, so that a text is read in linear time.
+_TEST = r"[\w.]+\s*(?:[<>=!]+|like|in|is)\s*(?:'[^'\n]*'|[\w.()%-]+)"
+_NO_PROSE = [
+    ("`", re.compile(r"```.*?(?:```|\Z)|`[^`\n]*`", re.DOTALL)),
+    ("<", re.compile(r"<[^<>\n]+>")),
+    ("", re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40,}={0,2}")),
+    ("://", re.compile(r"https?://\S+", re.IGNORECASE)),
+    ("@", re.compile(r"(?<!\S)[^\s@]+@\S+")),
+    ("_", re.compile(rf"\bselect\b[^\n;]*?_[^\n;]*?\bfrom\b\s*[\w.]+(?:\s+where\s+{_TEST}(?:\s+(?:and|or)\s+{_TEST})*)?", re.IGNORECASE)),
+    ("=", re.compile(r"(?<![\w.])(?:\w+\|)?[\w.]+=[^\s|]*")),
+    ("_", re.compile(r"\b[^\W_]*_\w+")),
+]
+_QUOTED = regex.compile(r"""["“”„«»‘'(]\s*["“”„«»‘']?\s*\w+(?:[ '’.-]+\w+){0,3}\s*["“”»«’']\s*\)?(?!\w)""")
+_SINGLE = re.compile(r"(?<!\w)'|\(\s*'")
 
 
 def prose(text: str | None) -> str:
     """The text with everything that is no prose replaced by as many bars."""
     if not text:
         return ""
-    return _NO_PROSE.sub(lambda m: "|" * len(m[0]), text)
+    for sign, pattern in _NO_PROSE:
+        if sign in text:
+            text = pattern.sub(_bars, text)
+    if any(q in text for q in '"“”„«»‘') or ("'" in text and _SINGLE.search(text)):
+        text = _QUOTED.sub(_bars, text)
+    return text
+
+
+def _bars(m) -> str:
+    return "|" * len(m[0])
 
 
 class Clauses:
@@ -117,11 +134,13 @@ class Filters:
     """Bloom filters of all languages in one array: bit l of a slot is language l's, so a look-up returns all at once."""
 
     def __init__(self, grams: list[np.ndarray], bits: int = 20):
+        if len(grams) > 64:
+            raise ValueError("a slot holds at most 64 languages")
         self.bits = bits
-        self.slots = np.zeros(1 << bits, dtype=np.uint8)
+        self.slots = np.zeros(1 << bits, dtype=next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if 8 * t().itemsize >= len(grams)))
         for k, g in enumerate(grams):
             for s in self._places(g):
-                self.slots[np.unique(s)] |= np.uint8(1 << k)
+                self.slots[np.unique(s)] |= self.slots.dtype.type(1 << k)
         fill = np.array([((self.slots >> k) & 1).mean() for k in range(len(grams))])
         self.false = fill**2  # chance that both places of an n-gram are set by others
         self.languages = len(grams)
@@ -138,7 +157,7 @@ class Filters:
         total = np.bincount(clause, minlength=clauses.count).astype(float)
         hits = np.empty((clauses.count, self.languages))
         for k in range(self.languages):
-            raw = np.bincount(clause[(found >> np.uint8(k)) & np.uint8(1) == 1], minlength=clauses.count)
+            raw = np.bincount(clause[found & found.dtype.type(1 << k) != 0], minlength=clauses.count)
             hits[:, k] = np.maximum(0, raw - self.false[k] * total) / (1 - self.false[k])
         return hits, total
 
@@ -170,51 +189,72 @@ def train(texts: list[str], labels: list[int], languages: int, n: int = 4, round
     return filters
 
 
-def segments(clauses: Clauses, hits: np.ndarray, total: np.ndarray, switch: float = 6.0) -> Iterator[tuple]:
-    """(doc, start, end, language, confidence, words) of each run of clauses in one language, in order.
+def segments(clauses: Clauses, hits: np.ndarray, total: np.ndarray, switch: float = 6.0) -> tuple[np.ndarray, ...]:
+    """(doc, start, end, language, confidence, words) as arrays: each run of clauses in one language, in order.
 
     The clauses of a text are labelled by the path of most hits, each change of language costing ``switch`` hits, so
     that quoted titles and names don't part a text. confidence is the run's lead in hits over the second best
-    language, as a share of its n-grams. Texts without a hit have no segment.
+    language, as a share of its n-grams. Texts without a hit have no segment. Texts that no change can pay for are
+    labelled all at once.
     """
     if not clauses.count:
-        return
+        return tuple(np.zeros(0, dtype=t) for t in (int, int, int, int, float, int))
     first = np.flatnonzero(np.append(True, clauses.doc[1:] != clauses.doc[:-1]))
-    for lo, hi in zip(first, np.append(first[1:], clauses.count)):
-        h = hits[lo:hi]
-        if not h.any():
-            continue
-        whole = h.sum(axis=0)
-        top = int(whole.argmax())
-        if (h.max(axis=1) - h[:, top] < switch).all():
-            runs = [(0, hi - lo, top)]
-        else:
-            score, back = h[0].copy(), np.zeros((hi - lo, h.shape[1]), dtype=np.int64)
-            own = np.arange(h.shape[1])
-            for i in range(1, hi - lo):
-                best = int(score.argmax())
-                jump = score[best] - switch > score
-                back[i] = np.where(jump, best, own)
-                score = np.where(jump, score[best] - switch, score) + h[i]
-            path = [int(score.argmax())]
-            for i in range(hi - lo - 1, 0, -1):
-                path.append(int(back[i, path[-1]]))
-            path = path[::-1]
-            cuts = [0, *[i for i in range(1, len(path)) if path[i] != path[i - 1]], len(path)]
-            runs = [(a, b, path[a]) for a, b in zip(cuts, cuts[1:])]
-        for a, b, lang in runs:
-            s = h[a:b].sum(axis=0)
-            n = total[lo + a : lo + b].sum()
-            second = np.delete(s, lang).max() if len(s) > 1 else 0.0
-            conf = float(max(0.0, s[lang] - second) / n) if n else 0.0
-            yield (
-                int(clauses.doc[lo]),
-                int(clauses.start[lo + a]),
-                int(clauses.end[lo + b - 1]),
-                lang,
-                conf,
-                int(clauses.words[lo + a : lo + b].sum()),
-            )
+    size = np.diff(np.append(first, clauses.count))
+    whole = np.add.reduceat(hits, first, axis=0)
+    top = whole.argmax(axis=1)
+    gain = hits.max(axis=1) - hits[np.arange(clauses.count), np.repeat(top, size)]
+    single = np.maximum.reduceat(gain, first) < switch
+    some = whole.any(axis=1)
+    begin, lang = [first[single & some]], [top[single & some]]
+    for k in np.flatnonzero(~single):
+        at, of = _best_path(hits[first[k] : first[k] + size[k]], switch)
+        begin.append(first[k] + at)
+        lang.append(of)
+    a, lang = np.concatenate(begin), np.concatenate(lang)
+    order = np.argsort(a)
+    a, lang = a[order], lang[order]
+    stop = first[np.searchsorted(first, a, "right") - 1] + size[np.searchsorted(first, a, "right") - 1]
+    b = np.minimum(np.append(a[1:], clauses.count), stop)
+    runs = np.ravel(np.column_stack([a, b]))
+    summed = lambda x: np.add.reduceat(np.concatenate([x, np.zeros_like(x[:1])]), runs)[::2] if len(a) else x[:0]
+    score, n = summed(hits), summed(total)
+    own = score[np.arange(len(a)), lang]
+    score[np.arange(len(a)), lang] = 0 if score.shape[1] > 1 else own
+    lead = np.maximum(0, own - score.max(axis=1)) if len(a) else own
+    return clauses.doc[a], clauses.start[a], clauses.end[b - 1], lang, np.where(n > 0, lead / np.maximum(n, 1), 0.0), summed(clauses.words)
+
+
+def _best_path(h: np.ndarray, switch: float) -> tuple[np.ndarray, np.ndarray]:
+    """(first clause, language) of each run on the best path through the hits of one text's clauses."""
+    score, back = h[0].copy(), np.zeros(h.shape, dtype=np.int64)
+    own = np.arange(h.shape[1])
+    for i in range(1, len(h)):
+        best = int(score.argmax())
+        jump = score[best] - switch > score
+        back[i] = np.where(jump, best, own)
+        score = np.where(jump, score[best] - switch, score) + h[i]
+    path = np.zeros(len(h), dtype=np.int64)
+    path[-1] = score.argmax()
+    for i in range(len(h) - 1, 0, -1):
+        path[i - 1] = back[i, path[i]]
+    at = np.flatnonzero(np.append(True, path[1:] != path[:-1]))
+    return at, path[at]
+
+
+def _lasting(doc: np.ndarray, lang: np.ndarray, conf: np.ndarray, words: np.ndarray, least_words: int) -> np.ndarray:
+    """Which runs count: those with a clear lead and ``least_words`` words; in a text without one the run of the greatest
+    confidence times words (the first of equal ones)."""
+    if not len(doc):
+        return np.zeros(0, dtype=bool)
+    clear = conf >= 0.1
+    keep = clear & (words >= least_words)
+    bare = np.bincount(doc[keep], minlength=doc.max() + 1)[doc] == 0
+    order = np.lexsort((np.arange(len(doc)), -conf * words, doc))
+    first = order[np.append(True, doc[order][1:] != doc[order][:-1])]
+    best = np.zeros(len(doc), dtype=bool)
+    best[first] = True
+    return keep | (bare & best)
 
 
 def labelled(raw: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -253,34 +293,25 @@ def language_segments(
     """
     docs = materialize(labelled(raw, aliases), "labelled")
     filters = fit(docs, languages, **options)
+    names = np.array(languages, dtype=object)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in by_size(batches, "content"):
             clauses = Clauses(b.column("content").to_pylist(), 4)
             hits, total = filters.hits(clauses)
-            rows: list[tuple] = []
-            of_doc: list[tuple] = []
-
-            def close() -> None:
-                long = [x for x in of_doc if x[5] >= least_words and x[4] >= 0.1] or sorted(of_doc, key=lambda x: -x[4] * x[5])[:1]
-                rows.extend((x[0], k, *x[1:]) for k, x in enumerate(long))
-                of_doc.clear()
-
-            for x in segments(clauses, hits, total):
-                if of_doc and of_doc[0][0] != x[0]:
-                    close()
-                of_doc.append(x)
-            close()
-            doc, k, start, end, lang, conf, words = (list(c) for c in zip(*rows)) if rows else ([],) * 7
+            doc, start, end, lang, conf, words = segments(clauses, hits, total)
+            keep = _lasting(doc, lang, conf, words, least_words)
+            doc, start, end, lang, conf, words = (x[keep] for x in (doc, start, end, lang, conf, words))
+            segment = np.arange(len(doc)) - np.searchsorted(doc, doc)
             take = pa.array(doc, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column("doc_id").take(take),
                     b.column("label").take(take),
-                    pa.array(k, pa.int32()),
+                    pa.array(segment, pa.int32()),
                     pa.array(start, pa.int64()),
                     pa.array(end, pa.int64()),
-                    pa.array([languages[i] for i in lang], pa.string()),
+                    pa.array(names[lang], pa.string()),
                     pa.array(conf, pa.float64()),
                     pa.array(words, pa.int64()),
                 ],
