@@ -243,12 +243,14 @@ def _best_path(h: np.ndarray, switch: float) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _lasting(doc: np.ndarray, lang: np.ndarray, conf: np.ndarray, words: np.ndarray, least_words: int) -> np.ndarray:
-    """Which runs count: those with a clear lead and ``least_words`` words; in a text without one the run of the greatest
-    confidence times words (the first of equal ones)."""
+    """Which runs count: those with a clear lead whose language has ``least_words`` words in such runs of the text; in
+    a text without one the run of the greatest confidence times words (the first of equal ones)."""
     if not len(doc):
         return np.zeros(0, dtype=bool)
     clear = conf >= 0.1
-    keep = clear & (words >= least_words)
+    key = doc * (int(lang.max()) + 1) + lang
+    _, group = np.unique(key, return_inverse=True)
+    keep = clear & (np.bincount(group, words * clear)[group] >= least_words)
     bare = np.bincount(doc[keep], minlength=doc.max() + 1)[doc] == 0
     order = np.lexsort((np.arange(len(doc)), -conf * words, doc))
     first = order[np.append(True, doc[order][1:] != doc[order][:-1])]
@@ -265,7 +267,7 @@ def labelled(raw: DataFrame, aliases: DataFrame) -> DataFrame:
         .agg(F.min("canonical").alias("label"))
     )
     docs = valid_documents(raw, "language").withColumn("alias", fold_name(F.col("language")))
-    return docs.join(F.broadcast(known), "alias", "left").select("doc_id", "content", "label")
+    return docs.join(known, "alias", "left").select("doc_id", "content", "label")
 
 
 def fit(docs: DataFrame, languages: tuple[str, ...] = LANGUAGES, sample_rows: int = 4000, sample_chars: int = 20_000) -> Filters:
@@ -286,8 +288,8 @@ def language_segments(
     """(doc_id, label, segment, offset_start, offset_end, language, confidence, words): the languages of each valid row.
 
     label is the canonical form of the row's own label (null where it is missing or unknown); offsets are code points
-    of the content. Runs of fewer than ``least_words`` words (quoted titles, names) join the text around them and are
-    no segments of their own, unless the text holds nothing longer. Contents that are null, empty or without words of
+    of the content. A language counts with at least ``least_words`` words in all its runs of a clear lead together, else its
+    runs (headings, names) are no segments, unless the text holds nothing else. Contents that are null, empty or without words of
     a known language give no rows. Filters are fitted by fit() on a bounded sample; without labelled rows there is
     nothing to fit and no row comes out. One pass over the texts; the filters (1 MB) go with the task.
     """

@@ -236,6 +236,30 @@ def test_bloom_filters_have_no_false_negatives():
     assert abs((((f.slots[a] & f.slots[b]) >> 2) & 1).mean() - f.false[2]) < 0.002
 
 
+def test_filters_of_more_than_eight_languages():
+    rng = np.random.default_rng(9)
+    grams = [rng.integers(0, 2**63, 500).astype(np.uint64) for _ in range(12)]
+    f = language.Filters(grams)
+    a, b = f._places(grams[11])
+    assert (((f.slots[a] & f.slots[b]) >> 11) & 1).all()
+    with pytest.raises(ValueError):
+        language.Filters([grams[0]] * 65)
+
+
+def test_prose_keeps_length_and_drops_long_markup():
+    text = "Een zin. <a href='" + "x" * 300 + "'> en `select a_b from c where d = 1` a.b@c.de k=v snake_case \"Le petit titre\" slot"
+    cut = language.prose(text)
+    assert len(cut) == len(text) and language.prose(None) == ""
+    assert cut.replace("|", "").split() == ["Een", "zin.", "en", "slot"]
+    assert language.prose("select the best from all, it's his and nobody's") == "select the best from all, it's his and nobody's"
+
+
+def test_words_of_a_language_are_summed_over_its_runs():
+    doc, lang = np.array([0, 0, 0, 0, 1, 2, 2]), np.array([0, 1, 0, 1, 2, 0, 1])
+    conf, words = np.array([0.5, 0.5, 0.5, 0.5, 0.05, 0.5, 0.5]), np.array([9, 3, 9, 2, 7, 9, 4])
+    assert language._lasting(doc, lang, conf, words, 5).tolist() == [True, True, True, True, True, True, False]
+
+
 # --- abuse -------------------------------------------------------------------------------------------------------
 
 BAD = [
