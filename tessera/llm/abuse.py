@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import regex
@@ -12,87 +13,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import spread
-
-# The lexicon. Insults that stand alone weigh 1; words with a literal sense and cues weigh less and
-# count together with others near by. Entries are written as folded text has them (lower case, no accents).
-LEXICON = {
-    1.0: """
-        moron|dirtbag|dumbass|halfwit|scumbag|wanker|imbecile|asshole|jackass|bastard|cretin|dickhead|motherfucker|cunt|slut|whore
-        scraped off the pavement|thought twice before having you|crawl back into your hole|back to the swamp|leave on a stretcher
-        watch your back|break your fingers|break your bones|kick your teeth in|they all steal and stink|are vermin|go kill yourself
-        minable|abruti|arrache sa robe|salaud|connard|connasse|salope|encule|gens comme toi de respirer|fils de pute
-        mafkees|klootzak|sukkel|geen lucht mogen krijgen|kankerlijer|hoerenjong
-        mistkerl|vollidiot|drecksack|trottel|penner|schmarotzer|arschloch|hurensohn|gar nicht erst geboren|breche dir die knochen
-        desgraciado|cabron|gilipollas|hijo de puta|no deberia ni respirar|echarlos a patadas
-        canalha|filho da puta|nem devia ter nascido
-    """,
-    0.8: """
-        idiot|pig|creep|loser|tits|between her legs|stripped naked|begged him to take her|nude pictures|want your body|driven out of|go to hell
-        shut your mouth|near our children|nobody here would miss you
-        cretin|imbecile|crache dessus|toute nue sur|le payer cher|chasser de chez nous|ferme la espece|photos nue|photos de toi nue
-        lul|eikel|idioot|zijn ongedierte|hou je bek|sla je kapot|horen hier niet te wonen|naaktfoto
-        halt die fresse|sind ungeziefer|gehoren vertrieben|nacktbilder|stinkt aus dem maul
-        idiota|imbecil|payaso|son ratas|romper las piernas|fotos desnuda
-        cretino|palhaco|parvo|sao uma praga|partir a cara|fotografias nua|cala a boca|corridos daqui
-    """,
-    0.5: """
-        pathetic|parasite|stop breathing|do us all a favour|brain of a brick|steal and stink|on my bed|crawled out of
-        ordure|de la vermine|ou tu habites|dans mon lit
-        waardeloze|waar je woont|in mijn bed
-        erbarmlicher|dreckiger|wo du wohnst|in meinem bett
-        de mierda|donde vives|en mi cama|callate
-        onde moras|na minha cama|nojento|mete nojo
-    """,
-    0.3: """
-        you worthless|you greedy|is a lying|nothing but a fat|you are an absolute|only a|only an|than you|whoever wrote this|we do not want|filthy
-        deserves a lease|you loser|went on about her
-        un sale|espece de|un gros|sa famille|tu n es qu un
-        stomme|een vuile|hele familie|je bent een
-        du bist ein|ein fetter|das weiss jeder|du dreckiger
-        eres un|toda su familia|da asco|lo sabe toda
-        es um|a familia toda|de primeira|seu|o predio todo
-    """,
-}
-# Phrases that quote, report, forbid, regulate, mock the author or are meant literally, with the number
-# of characters before and behind them in which a single word doesn't count.
-EXCEPTIONS = {
-    (0, 40): "words such as|word such as",
-    (0, 20): "called the other|the word|the term",
-    (40, 0): "may not appear|apologised|are forbidden words",
-    (0, 25): """
-        i was a complete|i am such a|cite le mot|a traite l autre de|noemt het woord|noemde de andere|nennt das wort|nannte den anderen
-        cita la palabra|llamo al otro|cita a palavra|chamou ao outro|j ai ete un|ik was een|ich war ein|fui un|fui um
-    """,
-    (25, 0): """
-        parmi les termes interdits|als voorbeeld van ongepaste|fur verbotene aushange|entre las que no se admiten|entre as que nao se aceitam
-    """,
-    (25, 25): "current in the riser|other vermin were removed|cables and|wires at|breast cancer|sexual harassment|vermine trouvee|ongedierte in de",
-    (12, 30): "ungeziefer im|ratas del sotano|praga de ratos|filter of the|fils nus|ordures sont|dumb terminal|child process|glass of the alarm",
-}
+from .lexicon import EXCEPTIONS, LEXICON, NO_SWAP, entries
 
 _HOMOGLYPHS = str.maketrans(
     dict(zip("абвгдеёзийіїјкмнопрсѕтухһԁԛԝьӏꞓαβγεηικμνορτυχωѡ", "a6brdeeeuniijkmhonpcstyxhdqwbice" + "abyenikuvoptuxww"))
 )
+_HOMOGLYPHS[ord("ß")] = "ss"
+_FOREIGN = re.compile(r"[^\x00-\x7f]+")
 _LEET = str.maketrans("013457@$!", "oieastasi")
-_INVISIBLE = regex.compile(r"[\p{Cf}\p{Mn}]")
-_SPELLED = regex.compile(r"(?<![\p{L}\p{N}])(?:[\p{L}\p{N}][ \-._*]){2,}[\p{L}\p{N}](?![\p{L}\p{N}])")
-_SIGNS = regex.compile(r"[^\p{L}\p{N}]")
+_INVISIBLE = regex.compile(r"[\p{Cf}\p{Mn}]+")
+_SPELLED = re.compile(r"(?<![^\W_])(?:[^\W_][ \-._*]){2,}[^\W_](?![^\W_])")
+_SIGNS = re.compile(r"[\W_]")
 _TOKEN = re.compile(r"[a-z0-9@$!*]{3,}")
 _THRICE = re.compile(r"([a-z])\1\1")
 _RUNS = re.compile(r"([a-z*])\1+")
-_REST = re.compile(r"[^a-z0-9]+")
-
-
-def _entries(text: str) -> list[str]:
-    return [x.strip() for line in text.splitlines() for x in line.split("|") if x.strip()]
-
-
-def _weights() -> dict[str, float]:
-    out: dict[str, float] = {}
-    for w, text in LEXICON.items():
-        for e in _entries(text):
-            out[e] = max(out.get(e, 0.0), w)
-    return out
+_END = re.compile(r"[.!?]+(?=\s|$)|\n")
+_STOP = "\x02"
+_REST = re.compile(r"[^a-z0-9\x02]+")
+# How near cues must end before an entry, or begin behind it, in characters.
+_CUES = {"cue": (0, 25), "call": (0, 1), "echo": (-25, 0)}
 
 
 class Matcher:
@@ -101,30 +40,41 @@ class Matcher:
     def __init__(self) -> None:
         import ahocorasick
 
-        self.weights = _weights()
+        values: dict[str, tuple] = {}  # entry: (weight, kind)
+        marks: dict[str, list] = {}  # entry: its exceptions and cues
+        for (kind, weight), text in LEXICON.items():
+            for e in entries(text):
+                if kind in _CUES:
+                    marks.setdefault(e, []).append((kind,))
+                elif weight > values.get(e, (0.0,))[0]:
+                    values[e] = (weight, kind)
+        for rule, text in EXCEPTIONS.items():
+            for e in entries(text):
+                marks.setdefault(e, []).append(rule)
+        self.weights = {e: w for e, (w, _) in values.items()}
+        self.cue_weight = {kind: w for kind, w in LEXICON if kind in _CUES}
         words = sorted({w for e in self.weights for w in e.split() if len(w) >= 3})
         self.words = set(words)
         self.collapsed = {_RUNS.sub(r"\1", w): w for w in words}
         self.starred: dict[str, str] = {}
         self.swapped: dict[str, str] = {}
+        real = self.words | {w for e in marks for w in e.split()} | set(entries(NO_SWAP))
         for w in words:
-            if len(w) >= 4 or w in self.weights:
+            if len(w) >= 5 or w in self.weights:
                 for i in range(len(w) - 1):
                     v = w[:i] + w[i + 1] + w[i] + w[i + 2 :]
-                    if v not in self.words and v != "crepe":
+                    if v not in real:
                         self.swapped.setdefault(v, w)
         for drop in (1, 0, 2):  # a star for one letter is likelier than a star too many or for two letters
-            for w in words:
+            for w in sorted(words, key=lambda w: (w not in self.weights, w)):
                 for i in range(1, len(w) - drop + 1):
                     if len(w) - drop >= 2:
                         self.starred.setdefault(w[:i] + "*" + w[i + drop :], w)
         self.auto = ahocorasick.Automaton()
-        for e, w in self.weights.items():
-            self.auto.add_word(f" {e} ", (w, 0, 0, e))
-        for (before, behind), text in EXCEPTIONS.items():
-            for e in _entries(text):
-                self.auto.add_word(f" {e} ", (0.0, before, behind, e))
+        for e in values.keys() | marks.keys():
+            self.auto.add_word(f" {e} ", (len(e), *values.get(e, (0.0, None)), marks.get(e, ()), e))
         self.auto.make_automaton()
+        self._plain = lru_cache(1 << 16)(self._plain_of)
 
     def _spelled(self, m) -> str:
         """Letters written apart: the word they make, if need be without single-letter words before or behind it."""
@@ -134,8 +84,10 @@ class Matcher:
                 return f" {cut} "
         return f" {s} " if len(s) >= 4 and " " not in m[0] else m[0]
 
-    def _plain(self, token: str) -> str:
-        """The word that a token stands for, or the token."""
+    def _plain_of(self, token: str) -> str:
+        """The word of the lexicon that a token stands for, or the token."""
+        if token in self.words:
+            return token
         t = token
         if not t.isalpha():
             t = _RUNS.sub(lambda r: "*" if r[1] == "*" else r[0], t).strip("!")
@@ -143,44 +95,80 @@ class Matcher:
                 return token
             t = t.translate(_LEET)
             if "*" in t.strip("*"):
-                return self.starred.get(t) or self.starred.get(t.strip("*")) or t
+                return self.starred.get(t) or self.starred.get(t.strip("*")) or token
             t = t.strip("*")
         if t not in self.words and _THRICE.search(t):
             t = self.collapsed.get(_RUNS.sub(r"\1", t), t)
-        return self.swapped.get(t, t)
-
-    def fold(self, text: str) -> str:
-        """Lower case without accents, homoglyphs, digits for letters, spaced-out or stretched words and letter swaps."""
-        if text.isascii():
-            t = text.lower()
+        t = self.swapped.get(t, t)
+        return t if t in self.words else token
+
+    def _letters(self, text: str) -> str:
+        """Lower case without accents, homoglyphs, disguised, spaced-out or stretched words and letter swaps."""
+        t = text
+        if not t.isascii():
+            t = "".join(_INVISIBLE.split(unicodedata.normalize("NFKD", t))).lower()
+            t = _FOREIGN.sub(lambda m: m[0].translate(_HOMOGLYPHS), t)
         else:
-            t = _INVISIBLE.sub("", unicodedata.normalize("NFKD", text)).lower().translate(_HOMOGLYPHS).replace("ß", "ss")
+            t = t.lower()
         t = _SPELLED.sub(self._spelled, t)
-        changed = {x: y for x in set(_TOKEN.findall(t)) if (y := self._plain(x)) != x}
-        if changed:
-            t = _TOKEN.sub(lambda m: changed.get(m[0], m[0]), t)
-        return " " + _REST.sub(" ", t) + " "
+        plain = self._plain
+        changed = {x: y for x in set(_TOKEN.findall(t)) if (y := plain(x)) != x}
+        return _TOKEN.sub(lambda m: changed.get(m[0], m[0]), t) if changed else t
+
+    def fold(self, text: str, ends: bool = False) -> str:
+        """The text's letters and digits, all else as blanks; with ``ends`` a mark stands at the end of each sentence and line."""
+        return self._blanks(self._letters(text), ends)
+
+    def _blanks(self, t: str, ends: bool) -> str:
+        return " " + _REST.sub(" ", _END.sub(f" {_STOP} ", t) if ends else t) + " "
 
     def score(self, text: str | None, window: int = 120) -> tuple[float, float, int]:
         """(peak, density, hits): the most weight of different entries within ``window`` characters, all weight for each
         hundred words, and the number of matches. Null and empty texts score 0."""
         if not text:
             return 0.0, 0.0, 0
-        t = self.fold(text)
-        found = [(end - len(e) - 1, end, w, a, b, e) for end, (w, a, b, e) in self.auto.iter(t)]
-        void = [(s - a, end + b) for s, end, w, a, b, _ in found if not w]
-        kept = [(s, w, e) for s, _, w, _, _, e in found if w and (" " in e or not any(lo <= s <= hi for lo, hi in void))]
+        letters = self._letters(text)
+        if not any(x[1] for _, x in self.auto.iter(self._blanks(letters, False))):
+            return 0.0, 0.0, 0
+        t = self._blanks(letters, True)
+        found, void, cues = [], [], []
+        for end, (size, weight, kind, marks, e) in self.auto.iter(t):
+            s = end - size
+            if weight:
+                found.append((s, end, weight, kind, e))
+            for m in marks:
+                if m[0] in _CUES:
+                    cues.append((s, end, m[0]))
+                else:
+                    lo, hi = max(s - m[1], t.rfind(_STOP, 0, s)), end + m[2]
+                    stop = t.find(_STOP, end)
+                    void.append((lo if m[1] else s, min(hi, stop) if stop >= 0 else hi, m[0], m[3], e))
+        kept = [
+            (s, end, w, kind, e)
+            for s, end, w, kind, e in found
+            if not any(lo <= s <= hi and kind in kinds and w <= most and e not in x for lo, hi, kinds, most, x in void)
+        ]
         if not kept:
             return 0.0, 0.0, 0
+        # A longer entry that holds a shorter one speaks for both.
+        kept = [x for x in kept if not any(y[0] <= x[0] and x[1] <= y[1] and y[1] - y[0] > x[1] - x[0] for y in kept)]
+        meant = [
+            max((self.cue_weight[k] for s, end, k in cues if _CUES[k][0] <= (a - end if k != "echo" else b - s) <= _CUES[k][1]), default=0.0)
+            for a, b, *_ in kept
+        ]
         peak = 0.0
-        for i, (s, _, _) in enumerate(kept):
-            near: dict[str, float] = {}
-            for s2, w2, e2 in kept[i:]:
+        for i, (s, *_) in enumerate(kept):
+            near: dict[str, tuple[float, str]] = {}
+            cue = 0.0
+            for (s2, _, w2, kind, e2), c in zip(kept[i:], meant[i:]):
                 if s2 - s > window:
                     break
-                near[e2] = w2
-            peak = max(peak, sum(near.values()))
-        return peak, 100.0 * sum(w for _, w, _ in kept) / max(1, t.count(" ") - 1), len(kept)
+                near[e2] = (w2, kind)
+                cue = max(cue, c)
+            # Nouns that a group is likened to are often meant literally: one of them counts, however many there are.
+            likened = max([w for w, kind in near.values() if kind == "hate" and w == 0.6], default=0.0)
+            peak = max(peak, cue + likened + sum(w for w, kind in near.values() if kind != "hate" or w != 0.6))
+        return peak, 100.0 * sum(x[2] for x in kept) / max(1, t.count(" ") - 1), len(kept)
 
 
 _matcher: list[Matcher] = []

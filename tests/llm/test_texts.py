@@ -5,7 +5,9 @@ from datetime import datetime, timedelta
 import numpy as np
 import pytest
 
-from tessera.llm import abuse, language, packing, splitting, tokens
+from tessera.llm import abuse, language, lexicon, packing, splitting, tokens
+
+import abuse_lines
 
 T0 = datetime(2024, 1, 1)
 DOC = "doc_id long, text string, source string, ids string, n_tokens string, container_id string"
@@ -307,6 +309,30 @@ def test_abuse(spark):
     assert abuse.score_documents(docs(spark, [])).collect() == []
 
 
+def test_lines_written_by_hand():
+    m = abuse.Matcher()
+    bad, fine = (abuse_lines.lines(x) for x in (abuse_lines.ABUSIVE, abuse_lines.FINE))
+    assert len(bad) + len(fine) >= 200
+    found = sum(m.score(x)[0] >= 1 - 1e-9 for x in bad)
+    false = sum(m.score(x)[0] >= 1 - 1e-9 for x in fine)
+    assert found / len(bad) >= 0.8 and found / (found + false) >= 0.95
+
+
+def test_patterns_of_the_lexicon():
+    assert lexicon.expand("a/b c(s/es) d(/n)") == ["a cs d", "a cs dn", "a ces d", "a ces dn", "b cs d", "b cs dn", "b ces d", "b ces dn"]
+    every = {e for (kind, w), text in lexicon.LEXICON.items() if w >= 0.4 for e in lexicon.entries(text)}
+    assert len(every) > 1200 and all(e == abuse.Matcher().fold(e).strip() for e in sorted(every)[::40])
+
+
+def test_cues_and_exceptions_reach_no_further_than_their_sentence():
+    m = abuse.Matcher()
+    score = lambda x: m.score(x)[0]
+    assert score("What a clown.") >= 1 > score("The clown came late. What a day it was.")
+    assert score("The rules forbid the word 'asshole'.") == 0 < score("The rules forbid the word. Asshole.")
+    assert score("Rats and other vermin were removed from the cellar.") < 1
+    assert score("") == score(None) == 0 and m.score("x " * 200_000) == (0.0, 0.0, 0)
+
+
 def test_held_out_agreement_with_raters(spark):
     """Raters' unanimous judgements of the smallest table that has enough of them."""
     import os
