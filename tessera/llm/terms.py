@@ -51,32 +51,85 @@ def lgamma(x: np.ndarray) -> np.ndarray:
     return (z - 0.5) * np.log(z) - z + 0.9189385332046727 + series - shift
 
 
-def _log_choose(n: np.ndarray, k: np.ndarray) -> np.ndarray:
-    return lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1)
+_NODES = {n: np.polynomial.legendre.leggauss(n) for n in (16, 32)}
+
+
+def _summed_logs(f, df, d3f, m: np.ndarray, nodes: int) -> np.ndarray:
+    """f(0) + ... + f(m - 1) for smooth f: the integral over [-1/2, m - 1/2] by Gauss-Legendre with the first two
+    Euler-Maclaurin corrections of the midpoint rule."""
+    x, w = _NODES[nodes]
+    total = np.zeros_like(m)
+    for xi, wi in zip(x, w):
+        total += wi * f((xi + 1) / 2 * m - 0.5)
+    return total * m / 2 - (df(m - 0.5) - df(-0.5)) / 24 + 7 / 5760 * (d3f(m - 0.5) - d3f(-0.5))
+
+
+def _log_falling(a: np.ndarray, m: np.ndarray, b: np.ndarray | None = None) -> np.ndarray:
+    """ln of a (a - 1) ... (a - m + 1), with ``b`` divided by b (b - 1) ... (b - m + 1), for a <= b.
+
+    Differences of log-gamma lose all digits for counts of 1e14; where a - m is large the logs are summed by quadrature
+    instead, those of (a - i) / (b - i) as log1p, which keeps the relative precision of a double.
+    """
+    out = np.empty_like(m)
+    rest = a - m
+    for nodes, ok in ((16, (rest >= 64) & (m <= a / 2)), (32, (rest >= 64) & (m > a / 2) & (m <= 0.9 * a)), (0, (rest < 64) | (m > 0.9 * a))):
+        if not ok.any():
+            continue
+        x, n = a[ok], m[ok]
+        if not nodes:
+            out[ok] = lgamma(x + 1) - lgamma(x - n + 1) if b is None else _log_falling(x, n) - _log_falling(b[ok], n)
+        elif b is None:
+            out[ok] = _summed_logs(lambda t: np.log(x - t), lambda t: -1 / (x - t), lambda t: -2 / (x - t) ** 3, n, nodes)
+        else:
+            y = b[ok]
+            out[ok] = _summed_logs(
+                lambda t: np.where(2 * x < y, np.log((x - t) / (y - t)), np.log1p((x - y) / (y - t))), lambda t: 1 / (y - t) - 1 / (x - t), lambda t: 2 / (y - t) ** 3 - 2 / (x - t) ** 3, n, nodes
+            )
+    return out
+
+
+def log_probability(k: np.ndarray, marked: np.ndarray, drawn: np.ndarray, total: float) -> np.ndarray:
+    """ln P(X = k) of the hypergeometric distribution, for k that are possible."""
+    k, marked, drawn = (np.asarray(a, dtype=np.float64) for a in (k, marked, drawn))
+    n, m = np.minimum(marked, drawn), np.maximum(marked, drawn)  # the two are exchangeable
+    all_ = np.full_like(k, total)
+    return _log_falling(n, k) - lgamma(k + 1) + _log_falling(m, k, all_) + _log_falling(all_ - m, n - k, all_ - k)
 
 
 def log_upper_tail(k: np.ndarray, marked: np.ndarray, drawn: np.ndarray, total: float) -> np.ndarray:
     """ln P(X >= k) for X hypergeometric: ``drawn`` of ``total`` occurrences drawn, ``marked`` of them the term's.
 
-    The first probability comes from log-gamma sums; the following ones by their ratio, summed in log space until the
-    terms fall and no longer count in double precision.
+    The first probability comes from log-gamma sums; the following ones by their ratio, summed in log space until they fall
+    and no longer count in double precision. Above the mean the tail itself is summed upwards, below it its complement
+    downwards, so that the number of steps grows with the standard deviation, not with k.
     """
     k, marked, drawn = (np.asarray(a, dtype=np.float64) for a in (k, marked, drawn))
-    i = np.maximum(k, np.maximum(0.0, drawn + marked - total))
-    top = np.minimum(marked, drawn)
-    term = _log_choose(marked, i) + _log_choose(total - marked, drawn - i) - _log_choose(np.full_like(k, total), drawn)
-    acc = term.copy()
-    at = np.flatnonzero(i < top)
-    i, term = i[at], term[at]
-    while at.size:
-        m, d = marked[at], drawn[at]
-        ratio = np.log((m - i) * (d - i)) - np.log((i + 1) * (total - m - d + i + 1))
-        term = term + ratio
-        i = i + 1
-        acc[at] = np.logaddexp(acc[at], term)
-        go = (i < top[at]) & ((ratio > 0) | (term > acc[at] - 38))
-        at, i, term = at[go], i[go], term[go]
-    return np.minimum(acc, 0.0)
+    least, top = np.maximum(0.0, drawn + marked - total), np.minimum(marked, drawn)
+    out = np.zeros_like(k)
+    out[k > top] = -np.inf
+    open_ = (k > least) & (k <= top)
+    below = open_ & (k <= drawn * (marked / total))
+    for at, up in ((np.flatnonzero(open_ & ~below), True), (np.flatnonzero(below), False)):
+        if not at.size:
+            continue
+        i, m, d = k[at] - (not up), marked[at], drawn[at]
+        end = top[at] if up else least[at]
+        term = log_probability(i, m, d, total)
+        acc = term.copy()
+        live = np.flatnonzero(i != end)
+        i, term, m, d, end = i[live], term[live], m[live], d[live], end[live]
+        while live.size:
+            if up:
+                ratio = np.log((m - i) * (d - i)) - np.log((i + 1) * (total - m - d + i + 1))
+            else:
+                ratio = np.log(i * (total - m - d + i)) - np.log((m - i + 1) * (d - i + 1))
+            term = term + ratio
+            i = i + 1 if up else i - 1
+            acc[live] = np.logaddexp(acc[live], term)
+            go = (i != end) & ((ratio > 0) | (term > acc[live] - 38))
+            live, i, term, m, d, end = live[go], i[go], term[go], m[go], d[go], end[go]
+        out[at] = acc if up else np.log1p(-np.exp(np.minimum(acc, -1e-300)))
+    return np.minimum(out, 0.0)
 
 
 def _tail_udf(total: int):
@@ -166,14 +219,16 @@ COUNTS = T.StructType(
 
 
 def _stack_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Prefix counts and record sets of suffixes that come in reverse lexicographic order, by one stack.
+    """Prefix counts and record sets of suffixes that come by part, in reverse lexicographic order, by one stack.
 
     The stack holds one level for each symbol of the current suffix: its count and its set of records. A level is
-    written when the next suffix no longer has it as a prefix; its records then join those of the level below.
+    written when the next suffix no longer has it as a prefix; its records then join those of the level below. A change
+    of part closes all levels, so that no set holds the records of two parts.
     """
     symbols: list[str] = []
     counts: list[int] = []
     records: list[set] = []
+    group = 0
     out: tuple[list, list, list] = ([], [], [])
 
     def pop() -> None:
@@ -198,7 +253,11 @@ def _stack_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         return batch
 
     for b in batches:
-        for suffix, doc, weight in zip(*(b.column(n).to_pylist() for n in ("suffix", "doc_id", "weight"))):
+        for suffix, doc, weight, part in zip(*(b.column(n).to_pylist() for n in ("suffix", "doc_id", "weight", "part"))):
+            if part != group:
+                while symbols:
+                    pop()
+                group = part
             if suffix != symbols:
                 same = 0
                 while same < len(symbols) and same < len(suffix) and symbols[same] == suffix[same]:
@@ -224,10 +283,11 @@ def ngram_counts(sequences: DataFrame, sigma: int, rows_per_group: int = 1_000_0
     ``sequences`` has doc_id, tokens (array of strings) and weight (how often the sequence occurs; null counts 1).
     Every suffix, cut to ``sigma`` symbols, is routed by its first symbol, sorted in reverse lexicographic order and
     counted by one pass with a stack. A first symbol with more than ``rows_per_group`` suffixes is split by a hash of
-    doc_id into as many groups as it needs, so neither a task nor a record set is bound to a hot symbol; as a record
-    lies in one group, the groups' counts add up. Only symbols of over 1/4096 of the suffixes can need a split
-    once there are more than 4096 * rows_per_group suffixes, else fewer than 4096 do: the table of splits is small
-    in either case and broadcast. Null sequences and null symbols have no n-grams; an empty input gives no rows.
+    doc_id into as many parts as it needs, so neither a task nor a record set is bound to a hot symbol: a part has
+    ``rows_per_group`` suffixes on average. As a record lies in one part, the parts' counts add up. Up to 4096 such
+    symbols are broadcast with their numbers of parts; where there are more, they meet the suffixes in a join by symbol,
+    of which those with over 1/4096 of all suffixes are again at most 4096 and broadcast. Null sequences and null
+    symbols have no n-grams; an empty input gives no rows.
     """
     suffixes = sequences.select(
         "doc_id",
@@ -244,13 +304,15 @@ def ngram_counts(sequences: DataFrame, sigma: int, rows_per_group: int = 1_000_0
         )
     firsts = materialize(suffixes.groupBy("first").agg(F.count("*").alias("n")), "firsts")
     total = firsts.agg(F.sum("n")).first()[0] or 0
-    limit = max(rows_per_group, total // HOT_SHARE)
-    hot = firsts.where(F.col("n") > limit).select("first", F.ceil(F.col("n") / rows_per_group).cast("int").alias("parts"))
-    routed = suffixes.join(F.broadcast(hot), "first", "left").withColumn(
-        "part", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("parts")))
-    )
-    routed = routed.repartition("first", "part").sortWithinPartitions(F.desc("suffix"), "part", "doc_id")
-    counted = routed.select("suffix", "doc_id", "weight").mapInArrow(_stack_counts, COUNTS)
+    parts = F.ceil(F.col("n") / rows_per_group).cast("int").alias("parts")
+    hot = firsts.where(F.col("n") > rows_per_group).select("first", parts)
+    if hot.limit(HOT_SHARE + 1).count() <= HOT_SHARE:
+        routed = suffixes.join(F.broadcast(hot), "first", "left")
+    else:
+        routed = keyed_join(suffixes, firsts.select("first", "n", parts), "first", "n", total)
+    routed = routed.withColumn("part", F.when(F.coalesce("parts", F.lit(1)) < 2, 0).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("parts"))).cast("int"))
+    routed = routed.repartition("first", "part").sortWithinPartitions("part", F.desc("suffix"), "doc_id")
+    counted = routed.select("suffix", "doc_id", "weight", "part").mapInArrow(_stack_counts, COUNTS)
     return counted.groupBy("ngram").agg(F.sum("nentry").alias("nentry"), F.sum("ndoc").alias("ndoc"))
 
 

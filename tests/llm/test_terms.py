@@ -1,9 +1,13 @@
 import math
+import random
+import time
 from collections import Counter, defaultdict
 from datetime import datetime, timedelta
+from decimal import Decimal
 from itertools import product
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessera.llm import queries, terms
@@ -60,6 +64,34 @@ def test_upper_tail_by_brute_force():
     assert np.allclose(got, [brute(*c) for c in cases], rtol=1e-9)
 
 
+@pytest.mark.parametrize("total", [50, 10**6, 10**9, 10**14])
+def test_upper_tail_against_exact_fractions(total):
+    """Counts of up to 1e14, where differences of log-gamma would have no digit left."""
+    rng = random.Random(total)
+    for _ in range(8):
+        n = rng.randint(1, min(200, total))
+        m = rng.choice([rng.randint(1, total), rng.randint(1, max(1, total // 100)), rng.randint(1, min(total, 900))])
+        k = rng.randint(max(0, n + m - total), min(n, m))
+        ways = sum(math.comb(m, j) * math.comb(total - m, n - j) for j in range(k, min(n, m) + 1))
+        exact = Decimal(ways) / Decimal(math.comb(total, n))
+        got = terms.log_upper_tail(np.array([k]), np.array([m]), np.array([n]), float(total))[0]
+        assert got == pytest.approx(float(exact.ln()), rel=1e-10, abs=1e-10)
+
+
+def test_probability_against_products_of_ratios():
+    for total, m, n, k in ((10**14, 10**12, 3000, 80), (10**14, 3 * 10**13, 2000, 900), (10**12, 5 * 10**6, 4000, 3)):
+        want = sum((Decimal((n - i) * (m - i)) / Decimal((total - i) * (i + 1))).ln() for i in range(k))
+        want += sum((Decimal(total - m - j) / Decimal(total - k - j)).ln() for j in range(n - k))
+        assert terms.log_probability(*(np.array([float(x)]) for x in (k, m, n)), float(total))[0] == pytest.approx(float(want), rel=1e-11)
+
+
+def test_tail_takes_steps_by_the_deviation():
+    """A record with a third of all occurrences and a term far below its mean there: no walk up to the mean."""
+    begun = time.perf_counter()
+    got = terms.log_upper_tail(np.array([4.0, 3e8]), np.array([1e12, 1e9]), np.array([3e13, 3e13]), 1e14)
+    assert got[0] == 0 and -1 < got[1] < 0 and time.perf_counter() - begun < 30
+
+
 def test_fdr_by_brute_force(spark):
     rng = np.random.default_rng(1)
     p = np.round(rng.uniform(0.001, 1, 400) ** 3, 3) + 0.001
@@ -117,6 +149,17 @@ def test_ngrams_by_brute_force(spark, sigma):
     assert terms.ngram_counts(df.limit(0), sigma).collect() == []
 
 
+def test_more_hot_symbols_than_a_broadcast_may_hold(spark, monkeypatch):
+    """Over 4096 symbols with more rows than a group may have: joined, and no record set holds two parts."""
+    seqs = spark.range(5000 * 12).selectExpr("id as doc_id", "array(concat('s', id % 5000), concat('s', id % 5000)) as tokens", "1 as weight")
+    got = terms.ngram_counts(seqs, 1, rows_per_group=10)
+    assert got.where("nentry != 24 or ndoc != 12").isEmpty() and got.count() == 5000
+    suffixes = [("b", 1, 1, 0), ("a", 1, 1, 0), ("a", 2, 1, 1), ("a", 3, 1, 1)]
+    batch = pa.RecordBatch.from_arrays([pa.array([[x[0]] for x in suffixes]), *(pa.array([x[i] for x in suffixes]) for i in (1, 2, 3))], names=["suffix", "doc_id", "weight", "part"])
+    out = [tuple(r.values()) for b in terms._stack_counts([batch]) for r in b.to_pylist()]
+    assert out == [(["b"], 1, 1), (["a"], 1, 1), (["a"], 2, 2)]
+
+
 def test_marks(spark, rows):
     got = rows(terms.term_frequencies(frame(spark, ROWS)).select("term_text", "nentry", "ndoc", "mark"))
     assert got == {("café", 6, 2, "common"), ("soft", 5, 1, "rare"), ("tie", 9, 3, "common")}
