@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import erfc, sqrt
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import keyed_join, materialize
+from ..runtime import HOT_SHARE, keyed_join, materialize
 
 BRACKETS = str.maketrans("[](){}<>,;|", " " * 11)
 
@@ -53,75 +55,130 @@ def unit_vectors(facts: DataFrame, dim: int = 32) -> DataFrame:
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, vecs = [], []
-            for i, blob, text in zip(*(b.column(k).to_pylist() for k in range(3))):
-                v = _decode(blob, text, dim)
-                if v is not None:
-                    ids.append(i)
-                    vecs.append(v)
-            if not ids:
+            kept, u = _decode_all(b.column(1), b.column(2), dim)
+            if not len(kept):
                 continue
-            u = np.array(vecs)
             u /= np.abs(u).max(axis=1, keepdims=True)  # so that squares neither vanish nor overflow
             u /= np.linalg.norm(u, axis=1, keepdims=True)
             keys = (np.round(u, 6) + 0.0).astype(np.float32)
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(ids, pa.int64()),
-                    pa.array([x.tobytes() for x in u.astype("<f4")], pa.binary()),
-                    pa.array([x.tobytes() for x in keys], pa.binary()),
-                ],
-                names=["doc_id", "vec", "key"],
+                [b.column(0).take(pa.array(kept)), _binary(u.astype("<f4")), _binary(keys)], names=["doc_id", "vec", "key"]
             )
 
     return rows.mapInArrow(decode, "doc_id long, vec binary, key binary").withColumn("key", F.md5("key"))
 
 
-class Forest:
-    """Trees of median splits that route vectors to leaves; fitted on a bounded sample, used for every vector.
+def _decode_all(blobs: pa.Array, texts: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, vectors) of all rows that _decode() has a vector for; blobs of the right size are read as one buffer."""
+    sized = pc.fill_null(pc.equal(pc.binary_length(blobs), 4 * dim), False)
+    rows = np.flatnonzero(sized.to_numpy(zero_copy_only=False))
+    whole = pa.concat_arrays([blobs.filter(sized)])
+    v = np.zeros((0, dim))
+    if len(rows):
+        first = np.frombuffer(whole.buffers()[1], np.int32)[whole.offset]
+        v = np.frombuffer(whole.buffers()[2], "<f4", count=len(rows) * dim, offset=int(first)).reshape(-1, dim).astype(np.float64)
+    good = np.isfinite(v).all(axis=1) & v.any(axis=1)
+    rows, v = rows[good], v[good]
+    left = np.setdiff1d(np.arange(len(blobs)), rows)
+    read = [(i, x) for i, t in zip(left, texts.take(pa.array(left)).to_pylist()) if t is not None and (x := _decode(None, t, dim)) is not None]
+    if read:
+        rows, v = np.concatenate([rows, [i for i, _ in read]]), np.concatenate([v, [x for _, x in read]])
+    return rows, v
+
+
+def _binary(v: np.ndarray) -> pa.Array:
+    """The rows of a matrix as binary values of one buffer."""
+    v = np.ascontiguousarray(v)
+    offsets = np.arange(len(v) + 1, dtype=np.int32) * (v.shape[1] * v.itemsize)
+    return pa.Array.from_buffers(pa.binary(), len(v), [None, pa.py_buffer(offsets), pa.py_buffer(v)])
 
-    All nodes of a level split the sorted array of one random projection, each at its own median. A query is also sent
-    to the other side of every split that lies in the window around its projection.
-    """
 
-    def __init__(self, sample: np.ndarray, leaves: int, trees: int, dim: int, seed: int):
-        rng = np.random.default_rng(seed)
-        self.levels = max(0, int(np.ceil(np.log2(max(1, leaves)))))
-        self.axes = rng.standard_normal((trees, self.levels, dim))
-        self.axes /= np.linalg.norm(self.axes, axis=2, keepdims=True)
-        self.splits: list[list[np.ndarray]] = []
-        for t in range(trees):
-            node, splits = np.zeros(len(sample), dtype=np.int64), []
-            for level in range(self.levels):
-                h = sample @ self.axes[t, level]
-                order = np.lexsort((h, node))
-                bounds = np.searchsorted(node[order], np.arange(2**level + 1))
-                at = np.zeros(2**level)
-                for k in range(2**level):
-                    part = h[order[bounds[k] : bounds[k + 1]]]
-                    at[k] = part[len(part) // 2] if len(part) else 0.0
-                splits.append(at)
-                node = 2 * node + (h >= at[node])
-            self.splits.append(splits)
-
-    def home(self, u: np.ndarray, tree: int) -> np.ndarray:
-        """The leaf of each vector."""
-        node = np.zeros(len(u), dtype=np.int64)
-        for level in range(self.levels):
-            node = 2 * node + (u @ self.axes[tree, level] >= self.splits[tree][level][node])
-        return node
-
-    def reach(self, u: np.ndarray, half: np.ndarray, tree: int) -> tuple[np.ndarray, np.ndarray]:
-        """(row, leaf) of all leaves that the window of each vector meets, without its own leaf."""
-        row, node, own = np.arange(len(u)), np.zeros(len(u), dtype=np.int64), np.ones(len(u), dtype=bool)
-        for level in range(self.levels):
-            gap = (u @ self.axes[tree, level])[row] - self.splits[tree][level][node]
-            right = gap >= 0
-            both = np.abs(gap) <= half[row]
-            row = np.concatenate([row, row[both]])
-            node = np.concatenate([2 * node + right, 2 * node[both] + ~right[both]])
-            own = np.concatenate([own, np.zeros(int(both.sum()), dtype=bool)])
-        return row[~own], node[~own]
+# ln of the upper tail of the normal distribution, tabulated.
+_DEVIATIONS = np.linspace(0, 8, 4001)
+_LN_TAIL = np.log([0.5 * erfc(x / sqrt(2)) for x in _DEVIATIONS])
+
+
+def axes_of(sample: np.ndarray, trees: int, dim: int, seed: int, levels: int = 64) -> np.ndarray:
+    """(trees, levels, dim): unit axes to split along, those of a tree orthogonal as long as there are dimensions left.
+
+    The first tree's are the sample's principal axes, by spread: the wider the projections lie apart, the fewer near
+    vectors a split parts. The others' are random.
+    """
+    rng = np.random.default_rng(seed)
+    out = np.zeros((trees, levels, dim))
+    for t in range(trees):
+        for at in range(0, levels, dim):
+            basis = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
+            if t == at == 0 and len(sample) > dim:
+                basis = np.linalg.eigh(np.cov(sample.T))[1].T[::-1]
+            out[t, at : at + dim] = basis[: levels - at]
+    return out
+
+
+def fit_splits(sample: np.ndarray, axes: np.ndarray, level: int, depth: int) -> np.ndarray:
+    """The splits of the ``depth`` levels below a node at ``level``, as a heap: each node at the median of its sample rows'
+    projections on the level's axis, NaN (no split) where fewer than two rows are left."""
+    heap = np.full(2**depth - 1, np.nan)
+    node = np.zeros(len(sample), dtype=np.int64)
+    for d in range(depth):
+        h = sample @ axes[level + d]
+        order = np.lexsort((h, node))
+        first = 2**d - 1
+        bounds = np.searchsorted(node[order], np.arange(first, 2 * first + 2))
+        for k in range(2**d):
+            part = h[order[bounds[k] : bounds[k + 1]]]
+            if len(part) > 1:
+                heap[first + k] = part[len(part) // 2]
+        node = 2 * node + 1 + (h >= np.nan_to_num(heap[node]))
+    return heap
+
+
+def descend(u: np.ndarray, axes: np.ndarray, node: np.ndarray, heaps: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """The node that each vector comes to from ``node`` by the splits of row ``which`` of ``heaps`` (-1: none)."""
+    h = u @ axes.T
+    node, at, live = node.copy(), np.zeros(len(u), dtype=np.int64), np.flatnonzero(which >= 0)
+    while live.size:
+        split = heaps[which[live], at[live]]
+        live, split = live[~np.isnan(split)], split[~np.isnan(split)]
+        right = h[live, _level(node[live])] >= split
+        node[live] = 2 * node[live] + right
+        at[live] = 2 * at[live] + 1 + right
+        live = live[at[live] < heaps.shape[1]]
+    return node
+
+
+def spread_out(
+    u: np.ndarray, axes: np.ndarray, need: np.ndarray, node: np.ndarray, home: np.ndarray, chance: np.ndarray, heaps: np.ndarray, which: np.ndarray, least: float
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, node, whether it is the home, ln chance): the nodes below ``node`` in which a vector's window may hold its neighbours.
+
+    A neighbour at distance ``need`` lies beyond a split of distance g with the chance of a normal deviate above
+    g * sqrt(dim) / need; as the axes are orthogonal these chances multiply, and nodes are followed while the product is
+    at least ``least``. So a query-centred window is wide where it crosses one split and narrow where it crosses many.
+    """
+    h = u @ axes.T
+    scale = sqrt(u.shape[1]) / np.maximum(need, 1e-6)
+    row, at = np.arange(len(u)), np.zeros(len(u), dtype=np.int64)
+    node, home, chance, which = node.copy(), home.copy(), chance.copy(), which.copy()
+    done: list[tuple] = []
+    while row.size:
+        split = np.where(which >= 0, heaps[which, np.minimum(at, heaps.shape[1] - 1)], np.nan) if heaps.shape[0] else np.full(len(row), np.nan)
+        stop = np.isnan(split) | (at >= heaps.shape[1])
+        done.append((row[stop], node[stop], home[stop], chance[stop]))
+        row, at, node, home, chance, which, split = (x[~stop] for x in (row, at, node, home, chance, which, split))
+        gap = h[row, _level(node)] - split
+        right = gap >= 0
+        across = chance + np.interp(np.abs(gap) * scale[row], _DEVIATIONS, _LN_TAIL)
+        both = across >= np.log(least)
+        node, at = (np.concatenate([2 * x + c + right, 2 * x[both] + c + ~right[both]]) for x, c in ((node, 0), (at, 1)))
+        row, which = (np.concatenate([x, x[both]]) for x in (row, which))
+        home, chance = np.concatenate([home, np.zeros(int(both.sum()), dtype=bool)]), np.concatenate([chance, across[both]])
+    return tuple(np.concatenate(x) for x in zip(*done)) if done else (row, node, home, chance)  # type: ignore[return-value]
+
+
+def _level(node: np.ndarray) -> np.ndarray:
+    """The level of nodes numbered as a heap from 1."""
+    return np.frexp(node.astype(np.float64))[1] - 1
 
 
 def collisions(
@@ -131,12 +188,15 @@ def collisions(
 
     Each of ``m`` random projections keeps the data's values as a sorted array. A query's window around its own value
     is found in it by bisection and widened by virtual rehashing, from half the radius to the whole; a data row
-    that lies in the windows of at least ``share`` of the projections is verified by its true cosine. Queries
-    that have k rows within a radius are done at that radius.
+    that lies in the windows of at least ``share`` of the projections is verified by its true cosine. Data and queries
+    are taken in the order of the first projection, so that a block of queries only touches the rows in its windows there.
+    Queries that have k rows within a radius are done at that radius.
     """
     rng = np.random.default_rng(seed)
-    axes = rng.standard_normal((m, data.shape[1])).astype(np.float32)
+    axes = np.linalg.qr(rng.standard_normal((max(m, data.shape[1]), data.shape[1])))[0][:m].astype(np.float32)
     axes /= np.linalg.norm(axes, axis=1, keepdims=True)
+    by_first = np.argsort(data @ axes[0], kind="stable")
+    data = data[by_first]
     hd, hq = data @ axes.T, queries @ axes.T
     rank_type = np.uint16 if len(data) < 2**16 - 1 else np.uint32
     ranks, ordered = [], []
@@ -148,25 +208,28 @@ def collisions(
         ordered.append(hd[order, j])
     need = int(np.ceil(share * m))
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    live = np.arange(len(queries))
+    live = np.argsort(hq[:, 0], kind="stable")
     for r in (radius / 2, radius):
         half = 1.3 * r / np.sqrt(data.shape[1])
         rest = []
-        step = max(1, 4_000_000 // max(1, len(data)))
-        for at in range(0, len(live), step):
-            q = live[at : at + step]
-            count = np.zeros((len(q), len(data)), dtype=np.uint8)
+        step = max(1, min(256, 4_000_000 // max(1, len(data))))
+        for start in range(0, len(live), step):
+            q = live[start : start + step]
+            lo = np.stack([np.searchsorted(ordered[j], hq[q, j] - half, "left") for j in range(m)])
+            hi = np.stack([np.searchsorted(ordered[j], hq[q, j] + half, "right") for j in range(m)])
+            a, b = int(lo[0].min()), int(hi[0].max())
+            count = np.zeros((len(q), b - a), dtype=np.uint8)
             for j in range(m):
-                lo = np.searchsorted(ordered[j], hq[q, j] - half, "left").astype(rank_type)
-                width = np.searchsorted(ordered[j], hq[q, j] + half, "right").astype(rank_type) - lo
-                count += (ranks[j][None, :] - lo[:, None]) < width[:, None]
+                low, width = lo[j].astype(rank_type), (hi[j] - lo[j]).astype(rank_type)
+                count += (ranks[j][None, a:b] - low[:, None]) < width[:, None]
             row, col = np.nonzero(count >= need)
+            col += a
             cos = np.einsum("ij,ij->i", queries[q[row]], data[col], dtype=np.float64) if len(row) else np.zeros(0)
             near = cos >= 1 - r * r / 2
             row, col, cos = row[near], col[near], cos[near]
             done = np.bincount(row, minlength=len(q)) > k  # the query itself may be among them
             last = done[row] | (r == radius)
-            found.append((q[row[last]], col[last], cos[last]))
+            found.append((q[row[last]], by_first[col[last]], cos[last]))
             rest.append(q[~done])
         live = np.concatenate(rest) if rest else live[:0]
     return tuple(np.concatenate(x) for x in zip(*found))  # type: ignore[return-value]
@@ -176,66 +239,137 @@ def _matrix(vecs: pd.Series, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(vecs), "<f4").reshape(-1, dim)
 
 
+ROUTED = "tree int, node long, home boolean, chance double, a long, vec binary, need double"
+
+
+def _depth(n: int, leaf_rows: int, most: int) -> int:
+    """The levels that part ``n`` vectors into leaves of ``leaf_rows``, at least 1 and at most ``most``."""
+    return int(min(most, max(1, np.ceil(np.log2(max(1, n) / leaf_rows)))))
+
+
+class Leaves:
+    """Trees of median splits over the vectors of a table, fitted stage by stage so that every leaf is small.
+
+    A stage splits all nodes with over twice ``leaf_rows`` vectors by up to eight levels, each by the medians of a sample
+    of at most about ``sample_rows`` of its own vectors: the root's on the driver, the others' on the executors. So the
+    last levels are fitted as well as the first, whatever the number of vectors. A stage's splits are given to all tasks if they are of
+    at most 4096 nodes (8 MB); more of them meet the vectors in a join, four levels a stage.
+    """
+
+    def __init__(self, points: DataFrame, n: int, leaf_rows: int, trees: int, dim: int, sample_rows: int, seed: int):
+        self.dim, self.seed, self.sample_rows, self.leaf_rows = dim, seed, sample_rows, leaf_rows
+        sample = _matrix(points.where(self._chosen(F.lit(n), 0)).select("vec").toPandas()["vec"], dim).astype(np.float64)
+        self.axes = axes_of(sample, trees, dim, seed)
+        depth = _depth(n, leaf_rows, 8)
+        heaps = np.stack([fit_splits(sample, self.axes[t], 0, depth) for t in range(trees)])
+        roots = {(t, 1): t for t in range(trees)}
+        self.stages: list = [(roots, heaps)]
+        seeds = F.explode(F.array(*[F.lit(t) for t in range(trees)]))
+        none = F.lit(None).cast("double")
+        self.start = lambda p: p.select(seeds.alias("tree"), F.lit(1).cast("long").alias("node"), F.lit(True).alias("home"), F.lit(0.0).alias("chance"), "a", "vec", (F.col("need") if "need" in p.columns else none).alias("need"))
+        self.homes = self._stage(self.start(points), 0, None)
+        while len(self.stages) < 12:
+            self.homes = materialize(self.homes, "leaves")
+            counts = self.homes.groupBy("tree", "node").agg(F.count("*").alias("n")).where(F.col("n") > 2 * leaf_rows)
+            counts = materialize(counts.where(F.col("node") < 2**55), "counts")
+            nodes = counts.limit(HOT_SHARE + 1).count()
+            if not nodes:
+                break
+            self._fit(counts, nodes <= HOT_SHARE)
+            self.homes = self._stage(self.homes, len(self.stages) - 1, None)
+
+    def _chosen(self, n: Column, stage: int) -> Column:
+        share = F.least(F.lit(1.0), F.lit(float(self.sample_rows)) / F.greatest(n, F.lit(1)))
+        return F.pmod(F.xxhash64("a", F.lit(stage)), F.lit(1 << 20)) < share * (1 << 20)
+
+    def _fit(self, counts: DataFrame, small: bool) -> None:
+        dim, axes, leaf_rows, most = self.dim, self.axes, self.leaf_rows, 8 if small else 4
+        rows = self.homes.join(F.broadcast(counts) if small else counts, ["tree", "node"])
+        rows = rows.where(self._chosen(F.col("n"), len(self.stages))).select("tree", "node", "n", "vec")
+
+        def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+            tree, node, n = (int(pdf[c].iloc[0]) for c in ("tree", "node", "n"))
+            heap = np.full(2**most - 1, np.nan)
+            own = fit_splits(_matrix(pdf["vec"], dim).astype(np.float64), axes[tree], node.bit_length() - 1, _depth(n, leaf_rows, most))
+            heap[: len(own)] = own
+            return pd.DataFrame({"tree": [tree], "node": [node], "heap": [heap.tolist()]})
+
+        fitted = materialize(rows.groupBy("tree", "node").applyInPandas(fit, "tree int, node long, heap array<double>"), "splits")
+        if small:
+            rows = fitted.collect()
+            self.stages.append(({(r["tree"], r["node"]): i for i, r in enumerate(rows)}, np.array([r["heap"] for r in rows], dtype=np.float64)))
+        else:
+            self.stages.append(fitted)
+
+    def _stage(self, rows: DataFrame, stage: int, least: float | None) -> DataFrame:
+        """``rows`` brought down by the splits of a stage: to their own nodes, or with ``least`` to all in their windows."""
+        fitted, dim, axes = self.stages[stage], self.dim, self.axes
+        joined = isinstance(fitted, DataFrame)
+        if joined:
+            rows = rows.join(fitted, ["tree", "node"], "left")
+        places, heaps = ({}, None) if joined else fitted
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for whole in batches:
+                for at in range(0, len(whole), 4096):
+                    pdf = whole.iloc[at : at + 4096]
+                    for tree, part in pdf.groupby("tree"):
+                        u, node = _matrix(part["vec"], dim).astype(np.float64), part["node"].to_numpy()
+                        if joined:
+                            has = part["heap"].notna().to_numpy()
+                            own = np.stack(part["heap"][has]).astype(np.float64) if has.any() else np.zeros((0, 1))
+                            which = np.where(has, np.cumsum(has) - 1, -1)
+                        else:
+                            own, which = heaps, np.array([places.get((tree, x), -1) for x in node.tolist()])
+                        if least is None:
+                            yield part.drop(columns="heap", errors="ignore").assign(node=descend(u, axes[tree], node, own, which))
+                        else:
+                            row, node, home, chance = spread_out(
+                                u, axes[tree], part["need"].to_numpy(), node, part["home"].to_numpy(), part["chance"].to_numpy(), own, which, least
+                            )
+                            yield part.drop(columns="heap", errors="ignore").iloc[row].assign(node=node, home=home, chance=chance)
+
+        return rows.mapInPandas(run, ROUTED)
+
+    def asked(self, points: DataFrame, least: float) -> DataFrame:
+        """The leaves, other than its own, that the window of each point (a, vec, need) meets."""
+        rows = self.start(points)
+        for stage in range(len(self.stages)):
+            rows = self._stage(rows, stage, least)
+        return rows.where("not home")
+
+
 def similar_classes(
     points: DataFrame,
     k: int = 5,
     min_similarity: float = 0.95,
     dim: int = 32,
     sample_rows: int = 65_536,
-    leaf_rows: int = 512,
-    trees: int = 2,
-    reach: float = 1.1,
+    leaf_rows: int = 1024,
+    trees: int = 1,
+    least: float = 0.01,
     seed: int = 7,
 ) -> DataFrame:
     """(a, b, cosine): of each point the up to ``k`` nearest other points with cosine >= ``min_similarity``, ties by the lowest b.
 
     Cosines are rounded to six decimals, so that copies of any length are equal whatever their rounding.
 
-    ``points`` has a (unique bigint) and vec (unit float32 bytes) and should be materialised. Two trees, fitted on
-    about ``sample_rows`` of the points, route every point. In the first round each query meets its own leaves; in the
-    second its window is widened by what it still needs - the distance of its k-th neighbour so far, or the whole
-    radius - and it meets every other leaf within. So in a crowded place windows are small, and elsewhere leaves
-    are. Within a leaf collisions() counts and verifies. The result is approximate; recall is measured in the tests.
+    ``points`` has a (unique bigint) and vec (unit float32 bytes) and should be materialised. In the first round each query
+    meets its own leaf; in the second its window has the width of what it still needs - the distance of its k-th neighbour
+    so far, or the whole radius - and it meets every other leaf that holds a neighbour with a chance of ``least``, at most
+    1 / ``least`` of them. So in a crowded place windows are small, and elsewhere leaves are. Within a leaf
+    collisions() counts and verifies; what either of two vectors finds counts for both. The result is approximate; recall
+    is measured in the tests, and more ``trees`` raise it.
     """
     n = points.count()
-    share = min(1.0, sample_rows / max(1, n))
-    sample = points.where(F.pmod(F.xxhash64("a"), F.lit(1 << 20)) < int(share * (1 << 20))).select("vec").toPandas()["vec"]
-    forest = Forest(_matrix(sample, dim), max(1, n // leaf_rows), trees, dim, seed)
+    leaves = Leaves(points, n, leaf_rows, trees, dim, sample_rows, seed)
     radius = float(np.sqrt(2 - 2 * min_similarity))
-    routed = "tree int, leaf long, role int, a long, vec binary"
-
-    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            u = _matrix(pdf["vec"], dim).astype(np.float64)
-            for t in range(trees):
-                yield pd.DataFrame({"tree": t, "leaf": forest.home(u, t), "role": 0, "a": pdf["a"], "vec": pdf["vec"]})
-
-    def widen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            u = _matrix(pdf["vec"], dim).astype(np.float64)
-            kth = pdf["kth"].to_numpy(dtype=np.float64, na_value=np.nan)
-            need = np.where(np.isnan(kth), radius, np.sqrt(np.maximum(0, 2 - 2 * kth)))
-            half = reach * np.minimum(need, radius) / np.sqrt(dim)
-            for t in range(trees):
-                row, leaf = forest.reach(u, half, t)
-                for at in range(0, len(row), 20_000):
-                    s = row[at : at + 20_000]
-                    yield pd.DataFrame(
-                        {
-                            "tree": t,
-                            "leaf": leaf[at : at + 20_000],
-                            "role": 1,
-                            "a": pdf["a"].to_numpy()[s],
-                            "vec": pdf["vec"].to_numpy()[s],
-                        }
-                    )
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        role = pdf["role"].to_numpy()
-        own = pdf[role == 0]
-        asked = pdf[role == 1] if (role == 1).any() else own
         none = pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64"), "cosine": pd.Series(dtype="float64")})
-        if not len(own) or not len(asked):
+        home = pdf["home"].to_numpy()
+        own, asked = pdf[home], pdf[~home] if not home.all() else pdf
+        if not len(own):
             return none
         q, d, cos = collisions(_matrix(own["vec"], dim), _matrix(asked["vec"], dim), k, radius, seed + 1)
         out = pd.DataFrame({"a": asked["a"].to_numpy()[q], "b": own["a"].to_numpy()[d], "cosine": np.round(cos, 6)})
@@ -244,26 +378,24 @@ def similar_classes(
             return none
         return out.sort_values(["a", "cosine", "b"], ascending=[True, False, True]).groupby("a").head(k)
 
-    homes = materialize(points.select("a", "vec").mapInPandas(route, routed), "leaves")
+    def search_asked(pdf: pd.DataFrame) -> pd.DataFrame:
+        return search(pdf.iloc[:0] if pdf["home"].all() else pdf)
+
     pairs = "a long, b long, cosine double"
-    first = materialize(homes.groupBy("tree", "leaf").applyInPandas(search, pairs).distinct(), "near")
+    rows = leaves.homes.select("tree", "node", "home", "a", "vec")
+    first = materialize(rows.groupBy("tree", "node").applyInPandas(search, pairs), "near")
     best = Window.partitionBy("a").orderBy(F.desc("cosine"), "b")
-    kth = first.withColumn("rank", F.row_number().over(best)).where(F.col("rank") == k).select("a", F.col("cosine").alias("kth"))
-    asked = points.select("a", "vec").join(kth, "a", "left").select("a", "vec", "kth").mapInPandas(widen, routed)
-    second = homes.unionByName(asked).groupBy("tree", "leaf").applyInPandas(_only_asked(search), pairs)
-    both = first.unionByName(second).groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
+    kth = first.distinct().withColumn("rank", F.row_number().over(best)).where(F.col("rank") == k)
+    need = F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.coalesce(F.col("kth"), F.lit(min_similarity)))).alias("need")
+    asked = points.select("a", "vec").join(kth.select("a", F.col("cosine").alias("kth")), "a", "left").select("a", "vec", need)
+    second = rows.unionByName(leaves.asked(asked, least).select("tree", "node", "home", "a", "vec"))
+    second = second.groupBy("tree", "node").applyInPandas(search_asked, pairs)
+    both = materialize(first.unionByName(second), "near")
+    both = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine"))
+    both = both.groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
     return both.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("rank")
 
 
-def _only_asked(search):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if not (pdf["role"] == 1).any():
-            pdf = pdf.iloc[:0]
-        return search(pdf)
-
-    return run
-
-
 def similar_facts(facts: DataFrame, k: int = 5, min_similarity: float = 0.95, dim: int = 32, **options) -> DataFrame:
     """(doc_id, neighbour, cosine): of each valid fact the up to ``k`` most similar others from ``min_similarity`` on.
 

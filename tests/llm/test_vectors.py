@@ -76,13 +76,36 @@ def test_copies_versions_and_dirt(spark, rows):
     assert vectors.similar_pairs(df.limit(0)).collect() == []
 
 
-def test_forest_routes_everything():
+def test_splits_route_everything():
     rng = np.random.default_rng(7)
     u = rng.standard_normal((500, 8))
-    f = vectors.Forest(u[:50], 16, 1, 8, 3)
-    home = f.home(u, 0)
-    assert home.min() >= 0 and home.max() < 16 and len(set(home)) > 8
-    row, leaf = f.reach(u, np.full(500, 100.0), 0)
-    assert len(row) == 500 * 15  # with a window over everything, each meets every other leaf
-    assert not set(zip(range(500), home)) & set(zip(row.tolist(), leaf.tolist()))
-    assert len(f.reach(u, np.full(500, -1.0), 0)[0]) == 0
+    axes = vectors.axes_of(u, 2, 8, 3)
+    assert np.allclose(axes[1, :8] @ axes[1, :8].T, np.eye(8))
+    heaps = vectors.fit_splits(rng.standard_normal((200, 8)), axes[0], 0, 4)[None]
+    one, zero, yes = np.ones(500, dtype=np.int64), np.zeros(500, dtype=np.int64), np.ones(500, dtype=bool)
+    home = vectors.descend(u, axes[0], one, heaps, zero)
+    assert home.min() >= 16 and home.max() < 32 and len(set(home)) == 16
+    row, node, own, _ = vectors.spread_out(u, axes[0], np.full(500, 1e9), one, yes, np.zeros(500), heaps, zero, 1e-9)
+    assert len(row) == 500 * 16  # with a window over everything, each meets every leaf
+    assert {(int(r), int(n)) for r, n in zip(row[own], node[own])} == set(enumerate(home.tolist()))
+    row, node, own, _ = vectors.spread_out(u, axes[0], np.zeros(500), one, yes, np.zeros(500), heaps, zero, 0.03)
+    assert sorted(row) == list(range(500)) and (node[np.argsort(row)] == home).all()
+    assert (vectors.descend(u, axes[0], one, heaps, zero - 1) == 1).all()
+
+
+@pytest.mark.parametrize("broadcast", [4096, 0])
+def test_stages_keep_leaves_small(spark, monkeypatch, broadcast):
+    """More levels than one stage has, with the splits given to the tasks and with a join."""
+    monkeypatch.setattr(vectors, "HOT_SHARE", broadcast)
+    rng = np.random.default_rng(8)
+    u = rng.standard_normal((6000, 4)).astype("<f4")
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    points = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in enumerate(u)], "a long, vec binary")
+    leaves = vectors.Leaves(points, 6000, 4, 1, 4, 600, 3)
+    assert len(leaves.stages) > 1 and leaves.homes.count() == 6000
+    assert leaves.homes.groupBy("node").count().where("count > 8").isEmpty()
+    full = leaves.asked(points.selectExpr("a", "vec", "cast(1e9 as double) as need").where("a < 3"), 1e-9)
+    held = leaves.homes.select("node").distinct()  # a leaf that no vector fell into may be asked as well
+    assert full.join(held, "node").count() == 3 * (held.count() - 1)
+
+
