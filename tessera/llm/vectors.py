@@ -148,7 +148,7 @@ def descend(u: np.ndarray, axes: np.ndarray, node: np.ndarray, heaps: np.ndarray
 
 
 def spread_out(
-    u: np.ndarray, axes: np.ndarray, need: np.ndarray, node: np.ndarray, home: np.ndarray, chance: np.ndarray, heaps: np.ndarray, which: np.ndarray, least: float
+    u: np.ndarray, axes: np.ndarray, need: np.ndarray, node: np.ndarray, home: np.ndarray, chance: np.ndarray, heaps: np.ndarray, which: np.ndarray, least: np.ndarray | float
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(row, node, whether it is the home, ln chance): the nodes below ``node`` in which a vector's window may hold its neighbours.
 
@@ -158,6 +158,7 @@ def spread_out(
     """
     h = u @ axes.T
     scale = sqrt(u.shape[1]) / np.maximum(need, 1e-6)
+    floor = np.broadcast_to(np.log(least), len(u))
     row, at = np.arange(len(u)), np.zeros(len(u), dtype=np.int64)
     node, home, chance, which = node.copy(), home.copy(), chance.copy(), which.copy()
     done: list[tuple] = []
@@ -169,7 +170,7 @@ def spread_out(
         gap = h[row, _level(node)] - split
         right = gap >= 0
         across = chance + np.interp(np.abs(gap) * scale[row], _DEVIATIONS, _LN_TAIL)
-        both = across >= np.log(least)
+        both = across >= floor[row]
         node, at = (np.concatenate([2 * x + c + right, 2 * x[both] + c + ~right[both]]) for x, c in ((node, 0), (at, 1)))
         row, which = (np.concatenate([x, x[both]]) for x in (row, which))
         home, chance = np.concatenate([home, np.zeros(int(both.sum()), dtype=bool)]), np.concatenate([chance, across[both]])
@@ -301,7 +302,7 @@ class Leaves:
         else:
             self.stages.append(fitted)
 
-    def _stage(self, rows: DataFrame, stage: int, least: float | None) -> DataFrame:
+    def _stage(self, rows: DataFrame, stage: int, least: tuple[float, float] | None, need_most: float = 0.0) -> DataFrame:
         """``rows`` brought down by the splits of a stage: to their own nodes, or with ``least`` to all in their windows."""
         fitted, dim, axes = self.stages[stage], self.dim, self.axes
         joined = isinstance(fitted, DataFrame)
@@ -324,18 +325,21 @@ class Leaves:
                         if least is None:
                             yield part.drop(columns="heap", errors="ignore").assign(node=descend(u, axes[tree], node, own, which))
                         else:
+                            need = part["need"].to_numpy()
+                            floor = np.where(need < need_most, least[1], least[0])
                             row, node, home, chance = spread_out(
-                                u, axes[tree], part["need"].to_numpy(), node, part["home"].to_numpy(), part["chance"].to_numpy(), own, which, least
+                                u, axes[tree], need, node, part["home"].to_numpy(), part["chance"].to_numpy(), own, which, floor
                             )
                             yield part.drop(columns="heap", errors="ignore").iloc[row].assign(node=node, home=home, chance=chance)
 
         return rows.mapInPandas(run, ROUTED)
 
-    def asked(self, points: DataFrame, least: float) -> DataFrame:
-        """The leaves, other than its own, that the window of each point (a, vec, need) meets."""
+    def asked(self, points: DataFrame, least: float, crowded: float, most: float) -> DataFrame:
+        """The leaves, other than its own, that the window of each point (a, vec, need) meets with a chance of ``least``, or of
+        ``crowded`` where its need is below ``most``."""
         rows = self.start(points)
         for stage in range(len(self.stages)):
-            rows = self._stage(rows, stage, least)
+            rows = self._stage(rows, stage, (least, crowded), most)
         return rows.where("not home")
 
 
@@ -347,7 +351,8 @@ def similar_classes(
     sample_rows: int = 65_536,
     leaf_rows: int = 1024,
     trees: int = 1,
-    least: float = 0.01,
+    least: float = 0.03,
+    crowded: float = 0.01,
     seed: int = 7,
 ) -> DataFrame:
     """(a, b, cosine): of each point the up to ``k`` nearest other points with cosine >= ``min_similarity``, ties by the lowest b.
@@ -356,8 +361,8 @@ def similar_classes(
 
     ``points`` has a (unique bigint) and vec (unit float32 bytes) and should be materialised. In the first round each query
     meets its own leaf; in the second its window has the width of what it still needs - the distance of its k-th neighbour
-    so far, or the whole radius - and it meets every other leaf that holds a neighbour with a chance of ``least``, at most
-    1 / ``least`` of them. So in a crowded place windows are small, and elsewhere leaves are. Within a leaf
+    so far, or the whole radius - and it meets every other leaf that holds a neighbour with a chance of ``least``, or of
+    ``crowded`` where its own leaf held k near ones, so at most 1 / ``crowded`` leaves. So in a crowded place windows are small, and elsewhere leaves are. Within a leaf
     collisions() counts and verifies; what either of two vectors finds counts for both. The result is approximate; recall
     is measured in the tests, and more ``trees`` raise it.
     """
@@ -388,7 +393,7 @@ def similar_classes(
     kth = first.distinct().withColumn("rank", F.row_number().over(best)).where(F.col("rank") == k)
     need = F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.coalesce(F.col("kth"), F.lit(min_similarity)))).alias("need")
     asked = points.select("a", "vec").join(kth.select("a", F.col("cosine").alias("kth")), "a", "left").select("a", "vec", need)
-    second = rows.unionByName(leaves.asked(asked, least).select("tree", "node", "home", "a", "vec"))
+    second = rows.unionByName(leaves.asked(asked, least, crowded, radius - 1e-9).select("tree", "node", "home", "a", "vec"))
     second = second.groupBy("tree", "node").applyInPandas(search_asked, pairs)
     both = materialize(first.unionByName(second), "near")
     both = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine"))

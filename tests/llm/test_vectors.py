@@ -104,7 +104,7 @@ def test_stages_keep_leaves_small(spark, monkeypatch, broadcast):
     leaves = vectors.Leaves(points, 6000, 4, 1, 4, 600, 3)
     assert len(leaves.stages) > 1 and leaves.homes.count() == 6000
     assert leaves.homes.groupBy("node").count().where("count > 8").isEmpty()
-    full = leaves.asked(points.selectExpr("a", "vec", "cast(1e9 as double) as need").where("a < 3"), 1e-9)
+    full = leaves.asked(points.selectExpr("a", "vec", "cast(1e9 as double) as need").where("a < 3"), 1e-9, 1e-9, 0.0)
     held = leaves.homes.select("node").distinct()  # a leaf that no vector fell into may be asked as well
     assert full.join(held, "node").count() == 3 * (held.count() - 1)
 
