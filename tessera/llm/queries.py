@@ -24,6 +24,11 @@ def p3_neighbours(spark, d):
     return vectors.similar_facts(t(spark, d, "agent_facts"))
 
 
+def p3_recall(spark, d):
+    """How much of what brute force finds for the facts whose doc_id is divisible by 100 the index finds as well."""
+    return vectors.recall(t(spark, d, "agent_facts"))
+
+
 def p4_found(spark, d):
     counted = terms.term_frequencies(t(spark, d, "bm25_term_frequencies"))
     return counted.where("mark is not null").select("term_text", "mark")

@@ -447,3 +447,44 @@ def similar_pairs(facts: DataFrame, k: int = 5, min_similarity: float = 0.95, di
     return found.select(
         F.least("doc_id", "neighbour").alias("doc_id_a"), F.greatest("doc_id", "neighbour").alias("doc_id_b")
     ).distinct()
+
+
+def recall(facts: DataFrame, k: int = 5, min_similarity: float = 0.95, dim: int = 32, every: int = 100, block: int = 4096, **options) -> DataFrame:
+    """(asked, near, found, recall): how many of the exact neighbours of a query set similar_facts() finds.
+
+    The query set is every fact whose doc_id is divisible by ``every``; in blocks of ``block`` vectors (0.5 MB each, by doc_id) it is
+    held against all facts by brute force. Neighbours are those of similar_facts(): the ``k`` of greatest cosine, from
+    ``min_similarity`` on, ties by the lowest doc_id. recall is 1 where there is nothing to find.
+    """
+    units = materialize(unit_vectors(facts, dim), "units")
+    spark = units.sparkSession
+    queries = materialize(units.where(F.col("doc_id") % every == 0).select("doc_id", "vec"), "queries")
+    asked, parts, last = queries.count(), [], None
+    while True:
+        rest = queries if last is None else queries.where(F.col("doc_id") > last)
+        rows = rest.orderBy("doc_id").limit(block).collect()
+        if not rows:
+            break
+        last = rows[-1]["doc_id"]
+        ids, q = np.array([r["doc_id"] for r in rows]), np.frombuffer(b"".join(r["vec"] for r in rows), "<f4").reshape(-1, dim)
+
+        def scan(batches: Iterator[pd.DataFrame], ids: np.ndarray = ids, q: np.ndarray = q) -> Iterator[pd.DataFrame]:
+            for whole in batches:
+                for at in range(0, len(whole), 4096):
+                    pdf = whole.iloc[at : at + 4096]
+                    own, v = pdf["doc_id"].to_numpy(), _matrix(pdf["vec"], dim)
+                    row, col = np.nonzero(q @ v.T >= min_similarity - 1e-4)
+                    cos = np.round(np.einsum("ij,ij->i", q[row], v[col], dtype=np.float64), 6)
+                    keep = (cos >= min_similarity) & (ids[row] != own[col])
+                    yield pd.DataFrame({"doc_id": ids[row[keep]], "neighbour": own[col[keep]], "cosine": cos[keep]})
+
+        parts.append(units.select("doc_id", "vec").mapInPandas(scan, "doc_id long, neighbour long, cosine double"))
+    empty = spark.createDataFrame([], "doc_id long, neighbour long, cosine double")
+    exact = parts[0] if parts else empty
+    for p in parts[1:]:
+        exact = exact.unionByName(p)
+    best = Window.partitionBy("doc_id").orderBy(F.desc("cosine"), "neighbour")
+    exact = exact.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("doc_id", "neighbour")
+    got = similar_facts(facts, k, min_similarity, dim, **options).select("doc_id", "neighbour", F.lit(1).alias("hit"))
+    both = exact.join(got, ["doc_id", "neighbour"], "left").agg(F.count("*").alias("near"), F.count("hit").alias("found"))
+    return both.select(F.lit(asked).cast("long").alias("asked"), "near", "found", F.when(F.col("near") == 0, 1.0).otherwise(F.col("found") / F.col("near")).alias("recall"))

@@ -60,6 +60,13 @@ def test_recall_against_brute_force(spark, rows, crowd):
     assert all(units[position[a]] @ units[position[b]] >= 0.95 - 1e-6 and a < b for a, b in got)
 
 
+def test_recall_is_counted(spark, crowd):
+    df = frame(spark, [(f"f{i}", 1, T0, i, blob(v), None) for i, v in enumerate(crowd)])
+    got = vectors.recall(df, every=20, block=50, leaf_rows=64).first()
+    assert got["asked"] == -(-len(crowd) // 20) and got["near"] >= got["found"] >= 0.9 * got["near"] > 0
+    assert tuple(vectors.recall(df.limit(0)).first()) == (0, 0, 0, 1.0)
+
+
 def test_copies_versions_and_dirt(spark, rows):
     rng = np.random.default_rng(6)
     v, w, u = rng.standard_normal((3, 32))
