@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import materialize
+from ..runtime import blocked_lists, materialize
 from .search import ascii_lower, pure_tokens
 
 
@@ -100,8 +100,9 @@ def bfs(seeds: DataFrame, moves: DataFrame, max_hops: int, target: int | None =
     """(node, depth, parent, relation_id) of all nodes within ``max_hops`` steps of the seeds (node), by levels.
 
     A node is reached at its least depth; its parent is the least (parent, relation_id) that reaches it then. With a
-    target the search ends with the level that finds it. A hub's edges meet the frontier by a join on ``here``, which
-    adaptive execution splits; each level is reduced to one row per node before it is written.
+    target the search ends with the level that finds it. A hub's edges meet the frontier by a join on ``here``: a small
+    frontier is broadcast by its known size, so that the edges aren't shuffled, a large one is joined by shuffle, where
+    adaptive execution splits the hub. Each level is reduced to one row per node before it is written.
     """
     none = F.lit(None).cast("long")
     level = materialize(seeds.select("node").where("node is not null").distinct().select("node", F.lit(0).alias("depth"), none.alias("parent"), none.alias("relation_id")), "bfs")
@@ -110,16 +111,21 @@ def bfs(seeds: DataFrame, moves: DataFrame, max_hops: int, target: int | None =
         if target is not None and not level.where(F.col("node") == target).isEmpty():
             break
         seen = reduce(lambda a, b: a.unionByName(b), [x.select("node") for x in levels])
-        found = level.select(F.col("node").alias("here")).join(moves, "here")
-        found = found.groupBy(F.col("there").alias("node")).agg(F.min(F.struct("here", "relation_id")).alias("via"))
-        fresh = found.join(seen, "node", "left_anti")
-        level = materialize(fresh.select("node", F.lit(depth).alias("depth"), F.col("via.here").alias("parent"), F.col("via.relation_id").alias("relation_id")), "bfs")
+        level = _next_level(level, moves, seen, depth)
         if level.isEmpty():
             break
         levels.append(level)
     return reduce(lambda a, b: a.unionByName(b), levels)
 
 
+def _next_level(level: DataFrame, moves: DataFrame, seen: DataFrame, depth: int) -> DataFrame:
+    """The nodes one step beyond a level that aren't in ``seen`` (node), each with its least way."""
+    found = level.select(F.col("node").alias("here")).join(moves, "here")
+    found = found.groupBy(F.col("there").alias("node")).agg(F.min(F.struct("here", "relation_id")).alias("via"))
+    fresh = found.join(seen, "node", "left_anti")
+    return materialize(fresh.select("node", F.lit(depth).alias("depth"), F.col("via.here").alias("parent"), F.col("via.relation_id").alias("relation_id")), "bfs")
+
+
 def k_hops(relations: DataFrame, seeds: DataFrame, max_hops: int, f: EdgeFilter | None = None, properties=None, direction: str = "both") -> DataFrame:
     """(node, depth) of the seeds and all nodes within ``max_hops`` of them, on the undirected graph unless told otherwise."""
     return bfs(seeds, steps(filter_edges(relations, f, properties), direction), max_hops).select("node", "depth")
@@ -128,21 +134,44 @@ def k_hops(relations: DataFrame, seeds: DataFrame, max_hops: int, f: EdgeFilter
 def shortest_path(relations: DataFrame, source: int, target: int, max_depth: int = 6, f: EdgeFilter | None = None) -> list[dict] | None:
     """The steps of a shortest undirected path ([] for source = target), or None if there is none within ``max_depth``.
 
-    Only the levels' parents on the way back are read by the driver, one row per step.
+    Searched from both ends, a level at a time on the side whose last level is smaller, until a level meets the other side's
+    last one. Of several shortest paths it is one by the least ids that the levels keep. Only the levels' parents on
+    the way back are read by the driver, one row per step.
     """
     if source == target:
         return []
-    spark = relations.sparkSession
-    tree = bfs(spark.createDataFrame([(source,)], "node long"), steps(filter_edges(relations, f)), max_depth, target)
-    tree = materialize(tree, "tree")
-    out, at = [], target
-    while at != source:
-        row = tree.where(F.col("node") == at).first()
-        if row is None:
+    moves = steps(filter_edges(relations, f))
+    none = F.lit(None).cast("long")
+    start = lambda i: relations.sparkSession.range(1).select(F.lit(i).cast("long").alias("node"), F.lit(0).alias("depth"), none.alias("parent"), none.alias("relation_id"))
+    sides = {"source": [start(source)], "target": [start(target)]}
+    sizes = {"source": 1, "target": 1}
+    for _ in range(max_depth):
+        near = "source" if sizes["source"] <= sizes["target"] else "target"
+        far = "target" if near == "source" else "source"
+        tree = reduce(lambda a, b: a.unionByName(b), sides[near])
+        level = _next_level(sides[near][-1], moves, tree.select("node"), len(sides[near]))
+        sizes[near] = level.count()
+        if not sizes[near]:
             return None
-        out.append({"from": row["parent"], "to": at, "relation_id": row["relation_id"], "depth": row["depth"]})
-        at = row["parent"]
-    return out[::-1]
+        sides[near].append(level)
+        met = level.join(sides[far][-1].select("node"), "node", "left_semi").agg(F.min("node")).first()[0]
+        if met is not None:
+            break
+    else:
+        return None
+    ahead, back = _way_back(sides["source"], met), _way_back(sides["target"], met)
+    out = [(parent, node, rel) for node, parent, rel in ahead[::-1]] + [(node, parent, rel) for node, parent, rel in back]
+    return [{"from": a, "to": b, "relation_id": rel, "depth": i + 1} for i, (a, b, rel) in enumerate(out)]
+
+
+def _way_back(levels: list[DataFrame], node: int) -> list[tuple]:
+    """(node, parent, relation_id) from a node of the last level to the root, one row read for each level."""
+    out = []
+    for level in levels[:0:-1]:
+        row = level.where(F.col("node") == node).first()
+        out.append((node, row["parent"], row["relation_id"]))
+        node = row["parent"]
+    return out
 
 
 def shortest_path_hops(relations: DataFrame, source: int, target: int, max_depth: int = 6, f: EdgeFilter | None = None) -> int | None:
@@ -241,12 +270,15 @@ def degrees(entities: DataFrame, relations: DataFrame) -> DataFrame:
     )
 
 
-def adjacency(relations: DataFrame) -> DataFrame:
-    """(entity_id, direction, relation_ids): the sorted relations of each node, for stores that want them grouped."""
+def adjacency(relations: DataFrame, block_size: int = 10_000) -> DataFrame:
+    """(entity_id, direction, block, relation_ids): the sorted relations of each node, for stores that want them grouped.
+
+    A hub's come in several blocks of about ``block_size`` relations at most, numbered from 0.
+    """
     live = filter_edges(relations)
     out = live.select(F.col("source_id").alias("entity_id"), F.lit("out").alias("direction"), "relation_id")
     back = live.select(F.col("target_id").alias("entity_id"), F.lit("in").alias("direction"), "relation_id")
-    return out.unionByName(back).groupBy("entity_id", "direction").agg(F.array_sort(F.collect_set("relation_id")).alias("relation_ids"))
+    return blocked_lists(out.unionByName(back), ["entity_id", "direction"], "relation_id", "relation_ids", block_size)
 
 
 # --- entities ----------------------------------------------------------------------------------------------------
@@ -328,18 +360,20 @@ def substring_search(entities: DataFrame, terms: list[str], limit: int | None =
 
 
 def marketplace_search(
-    entities: DataFrame, relations: DataFrame, query: str, types: list[str], max_hops: int = 2, min_confidence: float = 0.0, limit: int = 20
+    entities: DataFrame, relations: DataFrame, query: str, types: list[str], max_hops: int = 2, min_confidence: float = 0.0, limit: int = 20, seeds: int | None = 200
 ) -> DataFrame:
-    """(entity_id, name, composite, hub_score): search hits and what lies within ``max_hops`` of the 200 best of them.
+    """(entity_id, name, composite, hub_score): search hits and what lies within ``max_hops`` of the ``seeds`` best of them.
 
     composite = (rank or 0.1) * confidence * (1.5 for a hit) * (1 + min(0.5, ln(degree + 1) / 8)); hub_score =
-    min(1, ln(degree + 1) / 4).
+    min(1, ln(degree + 1) / 4). Degrees are counted for the entities found only. With ``seeds`` None every hit is one.
     """
-    seeds = materialize(entity_text_search(entities, query, min_confidence=min_confidence, limit=200), "seeds")
-    near = k_hops(relations, seeds.select(F.col("entity_id").alias("node")), max_hops, EdgeFilter(types=types)).select(F.col("node").alias("entity_id"))
+    hits = materialize(entity_text_search(entities, query, min_confidence=min_confidence, limit=seeds), "seeds")
+    near = k_hops(relations, hits.select(F.col("entity_id").alias("node")), max_hops, EdgeFilter(types=types)).select(F.col("node").alias("entity_id"))
     live = entities.where(F.col("deprecated_at").isNull() & (F.col("confidence") >= min_confidence))
-    found = live.join(near, "entity_id", "left_semi").select("entity_id", "name", "confidence")
-    found = found.join(seeds.select("entity_id", "rank"), "entity_id", "left").join(degrees(entities, relations).select("entity_id", "total_degree"), "entity_id")
+    found = materialize(live.join(near, "entity_id", "left_semi").select("entity_id", "name", "confidence"), "near")
+    ends = filter_edges(relations).select(F.explode(F.array("source_id", "target_id")).alias("entity_id"))
+    degree = ends.join(found.select("entity_id"), "entity_id", "left_semi").groupBy("entity_id").agg(F.count("*").alias("total_degree"))
+    found = found.join(hits.select("entity_id", "rank"), "entity_id", "left").join(degree, "entity_id", "left").fillna(0, ["total_degree"])
     log = F.log1p(F.col("total_degree").cast("double"))
     composite = (
         F.coalesce("rank", F.lit(0.1)) * F.col("confidence") * F.when(F.col("rank").isNotNull(), 1.5).otherwise(1.0) * (1 + F.least(F.lit(0.5), log / 8))
@@ -381,27 +415,31 @@ def schema_patterns(entities: DataFrame, relations: DataFrame) -> DataFrame:
     )
 
 
-def components(relations: DataFrame, max_rounds: int = 50) -> DataFrame:
+def components(relations: DataFrame) -> DataFrame:
     """(node, component): the least node id of each connected component of the live undirected graph.
 
     Large-star and small-star rounds: each links all greater neighbours of a node to its least one, and all lesser ones
-    to the least of them, until nothing changes. A round is one grouping for the minimum and one join back, so
-    a hub is pre-aggregated and never gathered; the number of rounds grows with the logarithm of a component's size.
+    to the least of them, until a round changes nothing, by the edges' number and the sum of their hashes. A round is one
+    grouping for the minimum and one join back, so a hub is pre-aggregated and never gathered; the number of rounds
+    grows with the logarithm of a component's size.
     """
     edges = filter_edges(relations).where("source_id != target_id").select(F.least("source_id", "target_id").alias("u"), F.greatest("source_id", "target_id").alias("v")).distinct()
     edges = materialize(edges, "cc")
     nodes = materialize(edges.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "cc")
-    for _ in range(max_rounds):
+    mark = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("v", "u"))).first())
+    last = mark(edges)
+    while True:
         both = edges.union(edges.select("v", "u")).toDF("a", "b")
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("m").alias("u"), F.col("b").alias("v")).where("u != v").distinct()
         small_in = large.select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b"))
         low = small_in.groupBy("a").agg(F.min("b").alias("m"))
         small = small_in.join(low, "a").select(F.col("m").alias("u"), F.col("b").alias("v")).where("u != v")
-        fresh = materialize(small.union(low.select(F.col("m").alias("u"), F.col("a").alias("v"))).where("u != v").distinct(), "cc")
-        if fresh.count() == edges.count() and fresh.exceptAll(edges).isEmpty():
+        edges = materialize(small.union(low.select(F.col("m").alias("u"), F.col("a").alias("v"))).where("u != v").distinct(), "cc")
+        now = mark(edges)
+        if now == last:
             break
-        edges = fresh
+        last = now
     roots = edges.groupBy(F.col("v").alias("node")).agg(F.min("u").alias("root"))
     return nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("component"))
 

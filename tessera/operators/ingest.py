@@ -239,13 +239,25 @@ def propose_ddl(columns: DataFrame) -> DataFrame:
 
 
 def workspace_model(tables: DataFrame, columns: DataFrame, relations: DataFrame) -> DataFrame:
-    """(workspace_id, model): each workspace's tables, columns and relations as one JSON document."""
-    pick = lambda df, name, *cols: df.groupBy("workspace_id").agg(F.array_sort(F.collect_set(F.struct(*cols))).alias(name))
-    a = pick(tables, "tables", "table_id", "table_schema", "table_name")
-    b = pick(columns, "columns", "table_id", "column_semantic_id", "column_name", "data_type")
-    c = pick(relations, "relations", "relation_semantic_id", "from_table", "to_table", "fk_column")
-    both = a.join(b, "workspace_id", "full").join(c, "workspace_id", "full")
-    return both.select("workspace_id", F.to_json(F.struct("tables", "columns", "relations")).alias("model"))
+    """(workspace_id, section, item): each workspace's tables, columns and relations, one JSON object a row, each once.
+
+    workspace_document() puts the items of one workspace together, where they are few enough for one document.
+    """
+    pick = lambda df, name, *cols: df.select("workspace_id", F.lit(name).alias("section"), F.to_json(F.struct(*cols)).alias("item")).distinct()
+    return (
+        pick(tables, "tables", "table_id", "table_schema", "table_name")
+        .unionByName(pick(columns, "columns", "table_id", "column_semantic_id", "column_name", "data_type"))
+        .unionByName(pick(relations, "relations", "relation_semantic_id", "from_table", "to_table", "fk_column"))
+    )
+
+
+def workspace_document(model: DataFrame, workspace: str, limit: int = 100_000) -> str:
+    """One workspace of workspace_model() as a JSON document {section: [items]}; over ``limit`` items raise ValueError."""
+    rows = model.where(F.col("workspace_id") == workspace).select("section", "item").limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"over {limit} items")
+    sections = {n: sorted(r["item"] for r in rows if r["section"] == n) for n in ("tables", "columns", "relations")}
+    return "{" + ", ".join(f'"{n}": [{", ".join(items)}]' for n, items in sections.items()) + "}"
 
 
 # --- rebuild -----------------------------------------------------------------------------------------------------

@@ -12,8 +12,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import broadcast_small
 from .graph import components, filter_edges
 
+# The issue types, "missing_required_relation", "too_many_relations", "endpoint_type_mismatch", "isolated_entity",
+# "small_component", "missing_entity_evidence", "missing_relation_evidence", the convergence issues with their severity and
+# confidence, and the weights of the evidence score, all named where they are made.
 ISSUE = ["issue_type", "severity", "subject", "detail"]
 RULE = "rule_id string, entity_type string, relation_type string, direction string, target_entity_type string, min_count int, max_count int, severity string, metadata_json string"
 
@@ -89,7 +93,7 @@ def rule_states(rules: DataFrame, entities: DataFrame, relations: DataFrame) ->
         F.sum((F.col("d") == "in").cast("long")).alias("n_in"),
         F.sum((~((F.col("d") == "in") & F.col("loop"))).cast("long")).alias("n_either"),
     )
-    asked = F.broadcast(rules).alias("r")
+    asked = broadcast_small(rules).alias("r")
     subjects = asked.join(_live(entities).select("entity_id", "entity_type", F.col("metadata_json").alias("_m")).alias("e"), F.col("r.entity_type") == F.col("e.entity_type"))
     subjects = subjects.where(rule_filter(F.col("_m"), F.col("r.metadata_json"))).select("r.*", "e.entity_id")
     joined = subjects.alias("s").join(counts.alias("c"), ["entity_id", "relation_type"], "left")
@@ -133,7 +137,7 @@ def rule_gaps(rules: DataFrame, entities: DataFrame, relations: DataFrame) -> Da
 def type_mismatches(edge_types: DataFrame, entities: DataFrame, relations: DataFrame) -> DataFrame:
     """Live relations whose ends don't have the types that ``edge_types`` (edge_type, source_type, target_type) declares."""
     kinds = entities.select("entity_id", "entity_type")
-    r = filter_edges(relations).join(F.broadcast(edge_types), F.col("relation_type") == F.col("edge_type"))
+    r = filter_edges(relations).join(broadcast_small(edge_types), F.col("relation_type") == F.col("edge_type"))
     r = r.join(kinds.toDF("source_id", "st"), "source_id").join(kinds.toDF("target_id", "tt"), "target_id")
     off = lambda want, got: F.col(want).isNotNull() & (F.col(want) != F.col(got))
     bad = r.where(off("source_type", "st") | off("target_type", "tt"))
@@ -190,6 +194,38 @@ def coverage(facts: DataFrame, entities: DataFrame, schemas: tuple[str, ...], en
     )
 
 
+def coverage_by_domain(facts: DataFrame, entities: DataFrame, workspaces: DataFrame, domain: str, schemas: tuple[str, ...], entity_types: list[str] | None = None) -> DataFrame:
+    """coverage() of the workspace that a domain stands for: the one of that id, else the least id among those of that domain or
+    label (``workspaces``: workspace_id, domain, label). An unknown domain gives no rows."""
+    asked = F.lit(domain)
+    hits = workspaces.where((F.col("workspace_id") == asked) | (F.col("domain") == asked) | (F.col("label") == asked))
+    found = hits.orderBy((F.col("workspace_id") != asked), "workspace_id").limit(1).collect()
+    wanted = found[0]["workspace_id"] if found else None
+    mine = lambda df: df.where(F.col("workspace_id") == F.lit(wanted)) if wanted is not None else df.limit(0)
+    return coverage(mine(facts), mine(entities), schemas, entity_types)
+
+
+def decayed_gaps(gaps: DataFrame, entities: DataFrame, decayed: DataFrame) -> DataFrame:
+    """coverage_gaps() with decayed_confidence: that of the live entity (workspace_id, name) that has the gap's label, the least id of
+    several, from ``decayed`` (entity_id, decayed); null without one."""
+    named = _live(entities).groupBy("workspace_id", F.col("name").alias("label")).agg(F.min("entity_id").alias("entity_id"))
+    valued = named.join(decayed.select("entity_id", "decayed"), "entity_id").select("workspace_id", "label", F.col("decayed").alias("decayed_confidence"))
+    return gaps.join(valued, ["workspace_id", "label"], "left").select(*gaps.columns, "decayed_confidence")
+
+
+def undeclared_types(rows: DataFrame, column: str, declared: DataFrame, kind: str, section: str) -> DataFrame:
+    """Issues for each distinct type of ``rows`` (workspace_id, column) that ``declared`` (workspace_id, type_name) lacks: one layer of a
+    reconciliation report; the layers are put together by diagnostics()."""
+    used = rows.where(F.col(column).isNotNull()).select("workspace_id", F.col(column).alias("type_name")).distinct()
+    return _issues(used.join(declared.select("workspace_id", "type_name"), ["workspace_id", "type_name"], "left_anti"), kind, "warning", F.concat_ws("|", "workspace_id", "type_name"), F.lit(section))
+
+
+def reconcile_layers(layers: dict[str, tuple[DataFrame, str, DataFrame]]) -> DataFrame:
+    """The reconciliation report over any number of layers (registry, raw graph, runtime graph, rules, facets, bindings):
+    {section: (rows, column, declared)}; each gives '<section>_unknown_type' issues by undeclared_types()."""
+    return diagnostics([undeclared_types(rows, column, declared, f"{name}_unknown_type", name) for name, (rows, column, declared) in layers.items()])
+
+
 def coverage_gaps(facts: DataFrame, entities: DataFrame, schemas: tuple[str, ...], entity_types: list[str] | None = None) -> DataFrame:
     """(workspace_id, id, label, entity_type, criticality) of the facts that aren't covered."""
     get = lambda k: F.get_json_object("facets_json", f"$.{k}")
@@ -247,13 +283,103 @@ def convergence_actions(counts: DataFrame) -> DataFrame:
     return counts.select("workspace_id", F.explode(F.filter(rows, lambda x: x.isNotNull())).alias("a")).select("workspace_id", "a.*")
 
 
+# The states of a remediation action.
+STATES = ("proposed", "approved", "rejected", "applied", "failed", "skipped")
+
+
+def propose_actions(actions: DataFrame | None, found: DataFrame, run: str, now: int) -> DataFrame:
+    """The table of remediation actions with those that convergence_actions() found in a run added as 'proposed'.
+
+    Actions are keyed by workspace and idempotency_key (a hash of workspace and issue type), so what an earlier run proposed stays
+    as it is, with its decision. Columns: action_id, run_id, workspace_id, issue_type, severity, confidence, idempotency_key,
+    status, decision_actor, decision_note, result_json, created_at, updated_at, decided_at, applied_at.
+    """
+    none = F.lit(None)
+    key = F.sha2(F.concat_ws("|", "workspace_id", "issue_type"), 256)
+    at = F.lit(now).cast("long")
+    new = found.select(
+        F.sha2(F.concat_ws("|", F.lit(run), key), 256).alias("action_id"), F.lit(run).alias("run_id"), "workspace_id", "issue_type", "severity", "confidence",
+        key.alias("idempotency_key"), F.lit("proposed").alias("status"), none.cast("string").alias("decision_actor"), none.cast("string").alias("decision_note"),
+        F.lit("{}").alias("result_json"), at.alias("created_at"), at.alias("updated_at"), none.cast("long").alias("decided_at"), none.cast("long").alias("applied_at"),
+    ).dropDuplicates(["workspace_id", "idempotency_key"])
+    return new if actions is None else actions.unionByName(new.join(actions, ["workspace_id", "idempotency_key"], "left_anti").select(*actions.columns))
+
+
+def decide_actions(actions: DataFrame, decisions: DataFrame, now: int) -> DataFrame:
+    """The actions after decisions (action_id, decision, actor, note): 'approved' or 'rejected', for those not yet carried out.
+
+    Actions that are applied, failed or skipped keep their state; of several decisions on one action the last by ``seq``, if there is such
+    a column, else the least by name counts. Another decision makes the whole update fail.
+    """
+    ok = F.col("decision").isin("approved", "rejected")
+    checked = decisions.withColumn("decision", F.when(ok, F.col("decision")).otherwise(F.raise_error(F.lit("a decision is approved or rejected"))))
+    order = F.col("seq") if "seq" in decisions.columns else F.lit(0)
+    last = checked.groupBy("action_id").agg(F.max_by(F.struct("decision", "actor", "note"), F.struct(order.alias("o"), F.col("decision"))).alias("_d"))
+    free = F.col("_d").isNotNull() & F.col("status").isin("proposed", "approved", "rejected")
+    at = F.lit(now).cast("long")
+    put = lambda c, v: F.when(free, v).otherwise(F.col(c)).alias(c)
+    new = {"status": F.col("_d.decision"), "decision_actor": F.col("_d.actor"), "decision_note": F.col("_d.note"), "decided_at": at, "updated_at": at}
+    return actions.join(last, "action_id", "left").select(*[put(c, new[c]) if c in new else F.col(c) for c in actions.columns])
+
+
+def record_results(actions: DataFrame, results: DataFrame, now: int) -> DataFrame:
+    """The actions after results (action_id, status, result_json): any of STATES; 'applied' sets applied_at. Others make the update fail."""
+    ok = F.col("status").isin(*STATES)
+    checked = results.select("action_id", F.when(ok, F.col("status")).otherwise(F.raise_error(F.lit("unknown status of an action"))).alias("_s"), F.coalesce("result_json", F.lit("{}")).alias("_r"))
+    last = checked.groupBy("action_id").agg(F.max(F.struct("_s", "_r")).alias("_x"))
+    at, hit = F.lit(now).cast("long"), F.col("_x").isNotNull()
+    new = {"status": F.col("_x._s"), "result_json": F.col("_x._r"), "updated_at": at, "applied_at": F.when(F.col("_x._s") == "applied", at).otherwise(F.col("applied_at"))}
+    return actions.join(last, "action_id", "left").select(*[F.when(hit, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in actions.columns])
+
+
+def list_actions(actions: DataFrame, run: str, status: str | None = None) -> DataFrame:
+    """A run's actions, of one status if it is given, by severity (as text, falling) and id."""
+    rows = actions.where(F.col("run_id") == run)
+    return (rows if status is None else rows.where(F.col("status") == status)).orderBy(F.desc("severity"), "action_id")
+
+
+def list_runs(actions: DataFrame) -> DataFrame:
+    """(run_id, workspace_id, n_actions, n_open, last_update): the runs with their actions, of which open ones await a decision."""
+    return actions.groupBy("run_id", "workspace_id").agg(
+        F.count("*").alias("n_actions"), F.count_if(F.col("status") == "proposed").alias("n_open"), F.max("updated_at").alias("last_update")
+    )
+
+
 # --- conflicts ---------------------------------------------------------------------------------------------------
 
 
 def exclusive_conflicts(relations: DataFrame, types: list[str]) -> DataFrame:
-    """(source_id, relation_type, n_targets, targets): sources with several targets of a relation that allows one."""
+    """(source_id, relation_type, n_targets, target_id): sources with several targets of a relation that allows one, a row for
+    each of the targets, so that no row grows with a hub."""
     live = filter_edges(relations).where(F.col("relation_type").isin(*types)).select("source_id", "relation_type", "target_id").distinct()
-    return live.groupBy("source_id", "relation_type").agg(F.count("*").alias("n_targets"), F.array_sort(F.collect_list("target_id")).alias("targets")).where("n_targets > 1")
+    live = live.where(F.col("target_id").isNotNull())
+    many = live.groupBy("source_id", "relation_type").agg(F.count("*").alias("n_targets")).where("n_targets > 1")
+    return live.join(many, ["source_id", "relation_type"]).select("source_id", "relation_type", "n_targets", "target_id")
+
+
+def invalid_intervals(relations: DataFrame) -> DataFrame:
+    """(relation_id, source_id, relation_type, valid_from, valid_to) of live relations that end before they begin."""
+    bad = filter_edges(relations).where(F.col("valid_from") > F.col("valid_to"))
+    return bad.select("relation_id", "source_id", "relation_type", "valid_from", "valid_to")
+
+
+def granularity_conflicts(relations: DataFrame, entities: DataFrame, parents: DataFrame) -> DataFrame:
+    """(relation_id, coarse_relation_id, n_coarse, source_id, relation_type, fine_type, coarse_type): relations whose target has a
+    type of which the same source has, by the same relation, also a target of the parent type.
+
+    ``parents`` has entity_type and parent_type. Each fine relation comes once for each parent type, with the least of its coarse ones and
+    their number, so a source with n of either has n rows, not n * n.
+    """
+    kinds = entities.select(F.col("entity_id").alias("target_id"), "entity_type")
+    typed = filter_edges(relations).select("relation_id", "source_id", "relation_type", "target_id").join(kinds, "target_id")
+    coarse = typed.groupBy("source_id", "relation_type", F.col("entity_type").alias("coarse_type")).agg(
+        F.min("relation_id").alias("coarse_relation_id"), F.count("*").alias("n_coarse")
+    )
+    tree = broadcast_small(parents.select("entity_type", F.col("parent_type").alias("coarse_type")).distinct())
+    fine = typed.join(tree, "entity_type").where(F.col("entity_type") != F.col("coarse_type"))
+    return fine.join(coarse, ["source_id", "relation_type", "coarse_type"]).select(
+        "relation_id", "coarse_relation_id", "n_coarse", "source_id", "relation_type", F.col("entity_type").alias("fine_type"), "coarse_type"
+    )
 
 
 def overlap_conflicts(relations: DataFrame, types: list[str]) -> DataFrame:
@@ -300,9 +426,20 @@ def _spans(relations: DataFrame, types: list[str]) -> DataFrame:
 
 
 def redundant_relations(relations: DataFrame) -> DataFrame:
-    """(relation_type, source_id, target_id, n, relation_ids): relations that say the same."""
-    g = filter_edges(relations).groupBy("relation_type", "source_id", "target_id")
-    return g.agg(F.count("*").alias("n"), F.array_sort(F.collect_list("relation_id")).alias("relation_ids")).where("n > 1")
+    """(relation_type, source_id, target_id, n, keep_relation_id, relation_id, kind): relations that say the same, a row for each.
+
+    kind is 'redundant_fact' where all have the same validity (null equals null), else 'temporal_conflict'; keep_relation_id is the
+    least id. Inputs without validity have it null.
+    """
+    key = ["relation_type", "source_id", "target_id"]
+    span = [F.col(c) if c in relations.columns else F.lit(None).cast("long") for c in ("valid_from", "valid_to")]
+    live = filter_edges(relations).select(*key, "relation_id", *[c.cast("string").alias(n) for c, n in zip(span, ("_b", "_e"))])
+    spans = F.count_distinct(F.struct(F.coalesce("_b", F.lit("")), F.coalesce("_e", F.lit(""))))
+    many = live.groupBy(*key).agg(F.count("*").alias("n"), F.min("relation_id").alias("keep_relation_id"), spans.alias("_spans")).where("n > 1")
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in key]
+    both = live.alias("a").join(many.alias("b"), reduce(lambda x, y: x & y, same))
+    kind = F.when(F.col("_spans") == 1, "redundant_fact").otherwise("temporal_conflict").alias("kind")
+    return both.select(*[F.col(f"a.{c}").alias(c) for c in key], "n", "keep_relation_id", "relation_id", kind)
 
 
 def evidence_score(rows: DataFrame) -> DataFrame:

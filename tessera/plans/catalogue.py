@@ -110,7 +110,8 @@ _CASCADE = """direct AS (SELECT relation_semantic_id AS id, ref_field, kind, 0 A
 src AS (SELECT relation_semantic_id AS id, found AS t FROM judged WHERE ref_field = 'source_table_id' AND found IS NOT NULL),
 sound AS (SELECT relation_semantic_id AS id, ref_field, found, date_trunc('month', u) AS period FROM judged WHERE kind IS NULL AND ref_field <> 'source_table_id' AND found IS NOT NULL),
 hop AS (SELECT DISTINCT found AS a, t AS b FROM sound JOIN src USING (id)),
-lv AS (SELECT t, 1 AS level FROM direct JOIN src USING (id) UNION SELECT b, level + 1 FROM lv JOIN hop ON a = t WHERE level < 40),
+tables AS (SELECT a FROM hop UNION SELECT b FROM hop),
+lv AS (SELECT t, 1 AS level FROM direct JOIN src USING (id) UNION SELECT b, level + 1 FROM lv JOIN hop ON a = t WHERE level <= (SELECT count(*) FROM tables)),
 least AS (SELECT t, min(level) AS level FROM lv GROUP BY t),
 cascade AS (SELECT id AS relation_semantic_id, ref_field, kind, level, period FROM direct UNION ALL SELECT id, ref_field, 'inherited', level, period FROM sound JOIN least ON t = found)"""
 

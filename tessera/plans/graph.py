@@ -170,12 +170,19 @@ def graph_shortest_path(spark, d):
     return spark.createDataFrame([(a, b, hops)] if hops is not None else [], "source long, target long, hops int")
 
 
-@query()
+@query(f"""WITH RECURSIVE {RELATIONS}, {LIVE}, {_bfs(f"SELECT 3 * {KIND} + 2 AS node, 0 AS depth", "true", 4)}
+SELECT unnest(range(1, depth + 1)) AS depth, true AS is_edge, true AS connected FROM bfs WHERE node = 3 * {KIND} + 3""")
 def graph_path_edges(spark, d):
-    """The steps of that way."""
-    path = g.shortest_path(stored(spark, d), 3 * KIND + 2, 3 * KIND + 3, 4)
-    rows = [(x["depth"], x["from"], x["to"], x["relation_id"]) for x in path or []]
-    return spark.createDataFrame(rows, "depth int, source long, target long, relation_id long")
+    """The steps of that way: as there are several shortest ones, whether each is an edge that goes on where the last one ended."""
+    rels = stored(spark, d)
+    a, b = 3 * KIND + 2, 3 * KIND + 3
+    path = g.shortest_path(rels, a, b, 4) or []
+    rows = [(x["depth"], x["from"], x["to"], x["relation_id"], x["from"] == y and (x["to"] == b) == (x is path[-1])) for x, y in zip(path, [a, *[p["to"] for p in path]])]
+    walked = spark.createDataFrame(rows, "depth long, source long, target long, relation_id long, connected boolean")
+    live = rels.where("deprecated_at is null").select("relation_id", F.array("source_id", "target_id").alias("ends"))
+    known = walked.join(live, "relation_id", "left")
+    is_edge = F.coalesce(F.array_sort("ends") == F.array_sort(F.array("source", "target")), F.lit(False))
+    return known.select("depth", is_edge.alias("is_edge"), "connected")
 
 
 @query(f"""WITH RECURSIVE {RELATIONS}, {ENTITIES}, {LIVE}, start AS (SELECT min(entity_id) AS node FROM ent WHERE name = (SELECT s_name FROM supplier WHERE s_suppkey = 1) AND deprecated_at IS NULL),
@@ -226,9 +233,10 @@ def graph_degrees(spark, d):
 
 
 @query(f"""WITH {RELATIONS}, {LIVE}
-SELECT source_id AS entity_id, 'out' AS direction, list_sort(list_distinct(list(relation_id))) AS relation_ids FROM live GROUP BY 1
-UNION ALL SELECT target_id, 'in', list_sort(list_distinct(list(relation_id))) FROM live GROUP BY 1""")
+SELECT source_id AS entity_id, 'out' AS direction, CAST(0 AS INT) AS block, list_sort(list_distinct(list(relation_id))) AS relation_ids FROM live GROUP BY 1
+UNION ALL SELECT target_id, 'in', CAST(0 AS INT), list_sort(list_distinct(list(relation_id))) FROM live GROUP BY 1""")
 def graph_adjacency(spark, d):
+    """The relations of each node, in one block each as none has over 10,000."""
     return g.adjacency(relations(spark, d))
 
 

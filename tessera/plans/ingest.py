@@ -97,9 +97,16 @@ def ingest_validate(spark, d):
     return ing.validate_bundle(tables, required, [("relation_semantics", "target_table_id", "table_semantics", "table_id"), ("column_semantics", "table_id", "table_semantics", "table_id")])
 
 
-@query()
+@query("""SELECT DISTINCT workspace_id, 'tables' AS section, table_id AS item_id, table_name AS label FROM table_semantics
+UNION ALL SELECT DISTINCT workspace_id, 'columns', column_semantic_id, column_name FROM (SELECT DISTINCT workspace_id, table_id, column_semantic_id, column_name, data_type FROM column_semantics)
+UNION ALL SELECT DISTINCT workspace_id, 'relations', relation_semantic_id, to_table FROM relation_semantics""")
 def ingest_workspace_model(spark, d):
-    return ing.workspace_model(t(spark, d, "table_semantics"), t(spark, d, "column_semantics"), t(spark, d, "relation_semantics"))
+    """The items of each workspace's model, by their ids and names."""
+    model = ing.workspace_model(t(spark, d, "table_semantics"), t(spark, d, "column_semantics"), t(spark, d, "relation_semantics"))
+    of = lambda *names: F.coalesce(*[F.get_json_object("item", f"$.{n}") for n in names])
+    key = F.when(F.col("section") == "columns", of("column_semantic_id")).otherwise(of("relation_semantic_id", "table_id"))
+    label = F.when(F.col("section") == "columns", of("column_name")).when(F.col("section") == "tables", of("table_name")).otherwise(of("to_table"))
+    return model.select("workspace_id", "section", key.cast("long").alias("item_id"), label.alias("label")).distinct()
 
 
 @query("""WITH c AS (SELECT table_schema, table_name, column_semantic_id AS o, arg_max(column_name, updated_at) AS n, arg_max(data_type, updated_at) AS k FROM column_semantics GROUP BY ALL)
@@ -173,7 +180,7 @@ def ontology_compare(spark, d):
 
 @query(f"""WITH {_KINDS}, w AS (SELECT min(workspace_id) AS a, max(workspace_id) AS b FROM k), p AS (
   SELECT x.type_name AS id_a, y.type_name AS id_b, 1 - levenshtein(x.type_name, y.type_name) / greatest(length(x.type_name), length(y.type_name)) AS s
-  FROM w JOIN k x ON x.workspace_id = a JOIN k y ON y.workspace_id = b AND substr(x.type_name, 1, 3) = substr(y.type_name, 1, 3))
+  FROM w JOIN k x ON x.workspace_id = a JOIN k y ON y.workspace_id = b WHERE x.type_name <> '' AND y.type_name <> '')
 SELECT id_a, id_b, round(s, 6) AS similarity FROM p WHERE s >= 0.8""")
 def ontology_bridges(spark, d):
     """Column names that are alike in two workspaces."""

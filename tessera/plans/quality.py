@@ -163,25 +163,116 @@ def quality_convergence(spark, d):
     return qu.convergence_actions(counts.withColumns({"graph_relations": zero, "coverage_gaps": zero, "diagnostics_issues": zero}))
 
 
-@query(f"""WITH {RELATIONS}, {LIVE} SELECT source_id, relation_type, count(DISTINCT target_id) AS n_targets, list_sort(list(DISTINCT target_id)) AS targets
-FROM live WHERE relation_type = 'bought' GROUP BY ALL HAVING count(DISTINCT target_id) > 1""")
+@query(f"""WITH {RELATIONS}, {LIVE}, t AS (SELECT DISTINCT source_id, relation_type, target_id FROM live WHERE relation_type = 'bought')
+SELECT source_id, relation_type, count(*) OVER (PARTITION BY source_id) AS n_targets, target_id FROM t QUALIFY count(*) OVER (PARTITION BY source_id) > 1""")
 def quality_exclusive_conflicts(spark, d):
     return qu.exclusive_conflicts(relations(spark, d), ["bought"])
 
 
-@query(f"""WITH {RELATIONS}, {LIVE}, r AS (SELECT relation_id, source_id, target_id, valid_from AS b, coalesce(valid_to, 4611686018427387904) AS e FROM live WHERE relation_type = 'supplies'),
-w AS (SELECT *, max({{'e': e, 'r': relation_id, 't': target_id}}) OVER (PARTITION BY source_id ORDER BY b, relation_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM r)
-SELECT relation_id, p.r AS other_id FROM w WHERE p.e >= b AND p.t <> target_id""")
+@query(f"""WITH {RELATIONS}, {LIVE}, r AS (SELECT relation_id, source_id, target_id, coalesce(valid_from, -4611686018427387904) AS b, coalesce(valid_to, 4611686018427387904) AS e FROM live WHERE relation_type = 'supplies')
+SELECT r.relation_id, max({{'e': p.e, 'id': p.relation_id}}).id AS other_id FROM r JOIN r p
+ON p.source_id = r.source_id AND p.target_id <> r.target_id AND p.b <= r.b AND (p.b < r.b OR p.relation_id < r.relation_id) AND p.e >= r.b GROUP BY r.relation_id""")
 def quality_overlap_conflicts(spark, d):
-    """Supplies of one supplier that overlap in time."""
+    """Supplies of one supplier that overlap in time, against the plain self-join."""
     return qu.overlap_conflicts(relations(spark, d), ["supplies"])
 
 
-@query("""SELECT CAST('refers' AS VARCHAR) AS relation_type, source_table_id AS source_id, target_table_id AS target_id, count(*) AS n, list_sort(list(relation_semantic_id)) AS relation_ids
-FROM (SELECT DISTINCT relation_semantic_id, source_table_id, target_table_id FROM relation_semantics) GROUP BY ALL HAVING count(*) > 1""")
+def _versions(spark, d):
+    """The references of the catalogue as relations from table to table, valid from one delivery of a row to its latest."""
+    rel = t(spark, d, "relation_semantics").where("relation_semantic_id is not null and source_table_id is not null and target_table_id is not null")
+    seconds = lambda c: F.unix_timestamp(c)
+    return rel.groupBy("relation_semantic_id", "source_table_id", "target_table_id").agg(F.min(seconds("updated_at")).alias("b"), F.max(seconds("ingested_at")).alias("e")).select(
+        F.col("relation_semantic_id").alias("relation_id"), F.lit("refers").alias("relation_type"), F.col("source_table_id").alias("source_id"), F.col("target_table_id").alias("target_id"),
+        F.col("b").alias("valid_from"), F.when(F.col("relation_semantic_id") % 3 != 0, F.col("e")).alias("valid_to"), F.lit(None).cast("long").alias("deprecated_at"),
+    )
+
+
+_VERSIONS = """ver AS (SELECT relation_semantic_id AS relation_id, source_table_id AS source_id, target_table_id AS target_id, CAST(epoch(date_trunc('second', min(updated_at))) AS BIGINT) AS b,
+CASE WHEN relation_semantic_id % 3 <> 0 THEN CAST(epoch(date_trunc('second', max(ingested_at))) AS BIGINT) END AS e
+FROM relation_semantics WHERE relation_semantic_id IS NOT NULL AND source_table_id IS NOT NULL AND target_table_id IS NOT NULL GROUP BY relation_semantic_id, source_table_id, target_table_id)"""
+
+
+@query(f"""WITH {_VERSIONS} SELECT x.relation_id, y.relation_id AS other_id, CASE WHEN x.target_id = y.target_id THEN 'same_target' ELSE 'different_target' END AS kind
+FROM ver x JOIN ver y ON x.source_id = y.source_id AND x.relation_id < y.relation_id
+WHERE coalesce(x.b, -4e18) <= coalesce(y.e, 4e18) AND coalesce(y.b, -4e18) <= coalesce(x.e, 4e18)""")
+def quality_overlap_pairs(spark, d):
+    """All pairs of references of one table that overlap in time, of which a table has few."""
+    return qu.overlap_pairs(_versions(spark, d), ["refers"])
+
+
+@query(f"WITH {_VERSIONS} SELECT relation_id, source_id, 'refers' AS relation_type, e AS valid_from, b AS valid_to FROM ver WHERE e > b")
+def quality_invalid_intervals(spark, d):
+    """References whose begin and end are changed about."""
+    rel = _versions(spark, d)
+    changed = {"valid_from": F.col("valid_to"), "valid_to": F.col("valid_from")}
+    return qu.invalid_intervals(rel.select(*[changed.get(c, F.col(c)).alias(c) for c in rel.columns]))
+
+
+_TREE = [("customer", "nation"), ("supplier", "nation"), ("nation", "region"), ("part", None)]
+
+
+@query(f"""WITH {ENTITIES}, {RELATIONS}, {LIVE}, k AS (SELECT entity_id, entity_type FROM ent),
+pairs AS (SELECT relation_id, source_id, 'near' AS relation_type, target_id FROM live WHERE relation_type IN ('located_in', 'part_of')
+  UNION ALL SELECT -l.relation_id, l.source_id, 'near', r.target_id FROM live l JOIN live r ON r.source_id = l.target_id AND r.relation_type = 'part_of' WHERE l.relation_type = 'located_in'),
+typed AS (SELECT pairs.*, entity_type FROM pairs JOIN k ON entity_id = target_id),
+tree AS (SELECT * FROM (VALUES ('customer', 'nation'), ('supplier', 'nation'), ('nation', 'region')) v(fine, coarse))
+SELECT f.relation_id, min(c.relation_id) AS coarse_relation_id, count(*) AS n_coarse, f.source_id, f.relation_type, fine AS fine_type, coarse AS coarse_type
+FROM typed f JOIN tree ON fine = f.entity_type JOIN typed c ON c.source_id = f.source_id AND c.entity_type = coarse GROUP BY ALL""")
+def quality_granularity_conflicts(spark, d):
+    """Customers said to be near a nation and near its region."""
+    rel = relations(spark, d).where("relation_type in ('located_in', 'part_of')")
+    up = rel.where("relation_type = 'part_of'").select(F.col("source_id").alias("target_id"), F.col("target_id").alias("region"))
+    wide = rel.where("relation_type = 'located_in'").join(up, "target_id").withColumns({"relation_id": -F.col("relation_id"), "target_id": F.col("region")}).drop("region")
+    rel = rel.unionByName(wide).withColumn("relation_type", F.lit("near"))
+    return qu.granularity_conflicts(rel, entities(spark, d), spark.createDataFrame(_TREE, "entity_type string, parent_type string"))
+
+
+@query("""WITH r AS (SELECT DISTINCT relation_semantic_id AS relation_id, source_table_id AS source_id, target_table_id AS target_id FROM relation_semantics),
+g AS (SELECT source_id, target_id, count(*) AS n, min(relation_id) AS keep_relation_id FROM r GROUP BY ALL HAVING count(*) > 1)
+SELECT 'refers' AS relation_type, g.source_id, g.target_id, n, keep_relation_id, relation_id, 'redundant_fact' AS kind
+FROM g JOIN r ON r.source_id IS NOT DISTINCT FROM g.source_id AND r.target_id IS NOT DISTINCT FROM g.target_id""")
 def quality_redundant(spark, d):
     """References that say the same."""
     rel = t(spark, d, "relation_semantics").select(
         F.col("relation_semantic_id").alias("relation_id"), F.lit("refers").alias("relation_type"), F.col("source_table_id").alias("source_id"), F.col("target_table_id").alias("target_id"), F.lit(None).alias("deprecated_at")
     )
     return qu.redundant_relations(rel.distinct())
+
+
+@query(f"""WITH {_COUNTS}, a AS (SELECT workspace_id, 'native_entity_registry_mismatch' AS issue_type, 'high' AS severity FROM c WHERE rn <> et
+UNION ALL SELECT workspace_id, 'native_edge_registry_granularity_mismatch', 'medium' FROM c WHERE re > 0 AND el > 0 AND re <> el
+UNION ALL SELECT workspace_id, 'runtime_graph_relation_materialization_gap', 'critical' FROM c WHERE re > 0 AND ge > 0)
+SELECT workspace_id, issue_type, severity, CASE WHEN severity = 'critical' THEN 'applied' WHEN severity = 'high' THEN 'approved' WHEN issue_type LIKE 'native_edge%' THEN 'rejected' END AS status,
+CASE WHEN severity = 'critical' THEN 300 END AS applied_at, CASE WHEN severity = 'critical' THEN 300 ELSE 200 END AS updated_at FROM a""")
+def quality_decisions(spark, d):
+    """The proposed actions decided by severity, and the critical ones carried out."""
+    found = quality_convergence(spark, d)
+    actions = qu.propose_actions(None, found, "run-1", 100)
+    actions = materialize(qu.propose_actions(actions, found, "run-2", 150), "actions")
+    decision = F.when(F.col("severity") == "medium", "rejected").otherwise("approved").alias("decision")
+    decided = materialize(qu.decide_actions(actions, actions.select("action_id", decision, F.lit("reviewer").alias("actor"), F.lit(None).cast("string").alias("note")), 200), "actions")
+    done = decided.where("severity = 'critical'").select("action_id", F.lit("applied").alias("status"), F.lit('{"ok":true}').alias("result_json"))
+    return qu.record_results(decided, done, 300).select("workspace_id", "issue_type", "severity", "status", "applied_at", "updated_at")
+
+
+@query("""WITH decl AS (SELECT DISTINCT workspace_id, lower(trim(table_name)) AS type_name FROM table_semantics WHERE table_name IS NOT NULL)
+SELECT DISTINCT 'columns_unknown_type' AS issue_type, 'warning' AS severity, workspace_id || '|' || lower(trim(table_name)) AS subject, 'columns' AS detail FROM column_semantics
+WHERE table_name IS NOT NULL AND (workspace_id, lower(trim(table_name))) NOT IN (SELECT * FROM decl)
+UNION ALL SELECT DISTINCT 'references_unknown_type', 'warning', workspace_id || '|' || lower(trim(to_table)), 'references' FROM relation_semantics
+WHERE to_table IS NOT NULL AND workspace_id IS NOT NULL AND (workspace_id, lower(trim(to_table))) NOT IN (SELECT * FROM decl)""")
+def quality_reconcile_layers(spark, d):
+    """Table names that the column lists and the references use but no table has."""
+    name = lambda df, c: df.select("workspace_id", F.lower(F.trim(c)).alias("n"))
+    declared = name(t(spark, d, "table_semantics"), "table_name").select("workspace_id", F.col("n").alias("type_name")).where("type_name is not null").distinct()
+    rel = name(t(spark, d, "relation_semantics").where("workspace_id is not null"), "to_table")
+    return qu.reconcile_layers({"columns": (name(t(spark, d, "column_semantics"), "table_name"), "n", declared), "references": (rel, "n", declared)})
+
+
+@query(f"""WITH {_FACTS}, w AS (SELECT min(workspace_id) AS workspace_id FROM valid)
+SELECT workspace_id, CAST(count(*) FILTER (covered) AS BIGINT) AS covered_nodes, count(*) AS total_nodes, round(avg(CAST(covered AS INT)), 6) AS coverage_ratio FROM cov WHERE workspace_id = (SELECT workspace_id FROM w) GROUP BY 1""")
+def quality_coverage_by_domain(spark, d):
+    """Coverage of the workspace that a domain stands for."""
+    facts = valid_facts(spark, d)
+    first = facts.agg(F.min("workspace_id")).first()[0]
+    spaces = facts.select("workspace_id", F.when(F.col("workspace_id") == first, "first").otherwise("other").alias("domain"), F.lit(None).cast("string").alias("label")).distinct()
+    return qu.coverage_by_domain(facts, _names(spark, d), spaces, "first", _SCHEMAS).withColumn("coverage_ratio", F.round("coverage_ratio", 6))

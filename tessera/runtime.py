@@ -43,9 +43,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or (only where unset) a local one."""
+    """The folder all executors share: spark.checkpoint.dir, or one of this machine where that is unset and the master is local.
+
+    On a cluster without the setting it raises RuntimeError, as the executors couldn't see each other's files.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         path = "file://" + tempfile.mkdtemp(prefix="tessera-shared-")
         spark.conf.set("spark.checkpoint.dir", path)
         _written.append((spark, path))
@@ -97,12 +103,32 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
+def broadcast_small(df: DataFrame, rows: int = HOT_SHARE) -> DataFrame:
+    """``df`` with a hint to broadcast it, if a count finds at most ``rows`` rows; else as it is, for a join by shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def blocked_lists(rows: DataFrame, keys: list[str], value: str, name: str, size: int = 10_000) -> DataFrame:
+    """(keys, block, name): the distinct values of each key as sorted arrays of about ``size`` at most.
+
+    A key with more values has several blocks, numbered from 0, by a hash of the value: no row and no task holds all values
+    of a hot key. Null values are left out.
+    """
+    rows = rows.where(F.col(value).isNotNull())
+    many = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > size)
+    many = broadcast_small(materialize(many.select(*keys, F.ceil(F.col("_n") / size).cast("int").alias("_parts")), "many"))
+    parted = rows.join(many, keys, "left")
+    block = F.when(F.col("_parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(value), F.col("_parts"))).cast("int")
+    return parted.groupBy(*keys, block.alias("block")).agg(F.array_sort(F.collect_set(value)).alias(name))
+
+
 def keyed_join(left: DataFrame, right: DataFrame, key: str, weight: str, total: int) -> DataFrame:
     """Inner join of ``left`` with ``right`` (unique ``key``), safe for keys that hold a large share of ``left``.
 
     ``right[weight]`` is the number of rows of ``left`` that have the key and ``total`` the number of all rows of
     ``left``. Keys with weight >= total / HOT_SHARE (at most HOT_SHARE of them) are joined by broadcast, the rest by
-    a shuffle whose largest key is then at most 1/HOT_SHARE of the rows. Null keys match nothing.
+    a shuffle whose largest key is then at most 1/HOT_SHARE of the rows. Null keys match nothing. Below 200,000 rows, which
+    any one task can take, a plain join gives the same.
     """
     limit = max(1, total // HOT_SHARE)
     if total < 200_000:
