@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..runtime import table as t
 from . import abuse, language, packing, splitting, terms, tokens, vectors
 
@@ -13,7 +15,9 @@ def p1_found(spark, d):
 
 
 def p1_terms(spark, d):
-    return terms.distinctive_terms(t(spark, d, "bm25_term_frequencies"))
+    """All pairs with their probability and score, to six decimals (moved off their halves, which engines round either way)."""
+    scored = terms.distinctive_terms(t(spark, d, "bm25_term_frequencies"))
+    return scored.withColumns({"log_p": F.round(F.col("log_p") + 3e-10, 6), "score": F.round("score", 6)})
 
 
 def p3_found(spark, d):
@@ -59,6 +63,16 @@ def p6_pieces(spark, d):
     return splitting.pieces_of_corpus(t(spark, d, "documents_raw"), t(spark, d, "chunks_raw"))
 
 
+def p6_cover(spark, d):
+    """For each oversized document: its tokens by its pieces, less what two share, its bytes from first to last, and pieces over the limit."""
+    pieces = splitting.split_oversized(splitting.valid_documents(t(spark, d, "documents_raw")))
+    return pieces.groupBy("doc_id").agg(
+        (F.sum("token_count") - 32 * (F.count("*") - 1)).alias("tokens"),
+        (F.max("offset_end") - F.min("offset_start")).alias("bytes"),
+        F.count_if((F.col("token_count") > 256) | (F.octet_length("content") != F.col("offset_end") - F.col("offset_start"))).alias("faults"),
+    )
+
+
 def p8_ids(spark, d):
     return tokens.encode_documents(t(spark, d, "documents"))
 
@@ -71,6 +85,16 @@ def p9_fill(spark, d):
     return packing.container_fill(packing.fill_containers(t(spark, d, "documents")))
 
 
+def p9_invariants(spark, d):
+    """Documents that come out, containers over the capacity, and documents split below it, of which there are none."""
+    filled = packing.fill_containers(t(spark, d, "documents"))
+    per_doc = filled.groupBy("doc_id").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("parts"))
+    wrong = F.col("parts") != F.greatest(F.lit(1), F.ceil(F.col("tokens") / 2048))
+    docs = per_doc.agg(F.count("*").alias("documents"), F.count_if(wrong).alias("split_wrongly"))
+    over = filled.groupBy("container_id").agg(F.sum("n_tokens").alias("n")).agg(F.count_if(F.col("n") > 2048).alias("overfull"))
+    return docs.join(over)  # one row each
+
+
 def p10_found(spark, d):
     return abuse.abusive_documents(t(spark, d, "documents"))
 

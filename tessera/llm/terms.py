@@ -135,7 +135,8 @@ def log_upper_tail(k: np.ndarray, marked: np.ndarray, drawn: np.ndarray, total:
 def _tail_udf(total: int):
     @F.pandas_udf(T.DoubleType())
     def log_p(k: pd.Series, marked: pd.Series, drawn: pd.Series) -> pd.Series:
-        return pd.Series(log_upper_tail(k.to_numpy(), marked.to_numpy(), drawn.to_numpy(), float(total)))
+        # Nine decimals, so that tests of one probability are ties whichever way it was summed.
+        return pd.Series(np.round(log_upper_tail(k.to_numpy(), marked.to_numpy(), drawn.to_numpy(), float(total)), 9) + 0.0)
 
     return log_p
 
@@ -178,7 +179,7 @@ def distinctive_terms(rows: DataFrame) -> DataFrame:
 
     The term's count in the record is held against a draw, without replacement, of the record's length from all
     occurrences of the collection (hypergeometric enrichment). log_p is the natural log of the exact probability of
-    at least this count, score the negative base-10 logarithm of its Benjamini-Hochberg adjusted value over all pairs
+    at least this count, to nine decimals, score the negative base-10 logarithm of its Benjamini-Hochberg adjusted value over all pairs
     of the collection: 0 for common terms, large for rare ones that are frequent in the record. Rows are cleaned as in
     term_records(), whose rules for nulls, ties and repeated rows hold. An empty input gives no rows.
 
