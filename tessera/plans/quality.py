@@ -100,7 +100,19 @@ def quality_small_components(spark, d):
     return qu.small_components(rel, 3)
 
 
-@query()
+@query(f"""WITH {_STATES}, {_TYPES_SQL}, nb AS (SELECT DISTINCT a, b FROM (SELECT source_id AS a, target_id AS b FROM live UNION ALL SELECT target_id, source_id FROM live) WHERE a <> b),
+few AS (SELECT a FROM nb GROUP BY a HAVING count(*) <= 2),
+near AS (SELECT a AS n, a AS m FROM few UNION SELECT a, b FROM nb WHERE a IN (SELECT a FROM few)
+  UNION SELECT x.a, y.b FROM nb x JOIN nb y ON y.a = x.b WHERE x.a IN (SELECT a FROM few) AND x.b IN (SELECT a FROM few)),
+small AS (SELECT n FROM near GROUP BY n HAVING count(*) <= 3),
+open AS (SELECT DISTINCT n FROM near JOIN nb ON nb.a = m WHERE n IN (SELECT n FROM small) AND (n, nb.b) NOT IN (SELECT n, m FROM near)),
+comp AS (SELECT DISTINCT min(m) AS c, count(*) AS size FROM near WHERE n IN (SELECT n FROM small) AND n NOT IN (SELECT n FROM open) GROUP BY n)
+SELECT issue AS issue_type, severity, CAST(entity_id AS VARCHAR) AS subject, rule_id || ' ' || n AS detail FROM st WHERE issue IS NOT NULL
+UNION ALL SELECT 'endpoint_type_mismatch', 'high', CAST(relation_id AS VARCHAR), a.entity_type || ' ' || relation_type || ' ' || b.entity_type
+FROM live JOIN decl ON et = relation_type JOIN ent a ON a.entity_id = source_id JOIN ent b ON b.entity_id = target_id
+WHERE (wants IS NOT NULL AND wants <> a.entity_type) OR (wantt IS NOT NULL AND wantt <> b.entity_type)
+UNION ALL SELECT 'isolated_entity', 'medium', CAST(entity_id AS VARCHAR), name FROM lent WHERE entity_id NOT IN (SELECT source_id FROM live UNION SELECT target_id FROM live)
+UNION ALL SELECT 'small_component', 'low', CAST(c AS VARCHAR), CAST(size AS VARCHAR) FROM comp""")
 def quality_report(spark, d):
     """The issues of all checks together."""
     e, r = materialize(entities(spark, d), "ent"), materialize(relations(spark, d), "rel")

@@ -29,29 +29,63 @@ def chunk_paragraph(spark, d):
     return _chunks(spark, d, "paragraph").select("doc_id", "content")
 
 
-@query()
+# Of each text: a hash of the characters in its chunks that aren't white space, in order, and the number of chunks that aren't the slice
+# of the text that their offsets name, begin before the last one's end, or are over the limit though a blank could part them.
+_VISIBLE = r"regexp_replace({x}, '[ \t\n\r\f\v]+', '', 'g')"
+_COVER = f"SELECT doc_id, md5({_VISIBLE.format(x='text')}) AS visible, 0 AS faults FROM documents WHERE {_VISIBLE.format(x='text')} <> ''"
+
+
+def _cover(spark, d, strategy, limit=None, **options):
+    rows = _chunks(spark, d, strategy, **options).join(t(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    piece = F.decode(F.substring(F.encode("text", "UTF-8"), F.col("offset_start").cast("int") + 1, (F.col("offset_end") - F.col("offset_start")).cast("int")), "UTF-8")
+    over = (F.octet_length("content") > limit) & F.contains("content", F.lit(" ")) if limit else F.lit(False)
+    fault = ((piece != F.col("content")) | over).cast("int").alias("f")
+    of = rows.select("doc_id", F.struct("chunk_index", "offset_start", "offset_end", "content", fault).alias("c"))
+    listed = of.groupBy("doc_id").agg(F.array_sort(F.collect_list("c")).alias("l"))
+    behind = F.zip_with(F.slice("l", F.lit(2), F.size("l")), F.slice("l", F.lit(1), F.size("l") - 1), lambda x, y: (x["offset_start"] < y["offset_end"]).cast("int"))
+    total = lambda a: F.aggregate(a, F.lit(0), lambda acc, x: acc + F.coalesce(x, F.lit(0)))
+    text = F.regexp_replace(F.concat_ws("", F.transform("l", lambda x: x["content"])), r"[ \t\n\r\f\x0B]+", "")
+    return listed.select("doc_id", F.md5(text.cast("binary")).alias("visible"), (total(F.transform("l", lambda x: x["f"])) + total(behind)).alias("faults"))
+
+
+@query(_COVER)
 def chunk_sentence(spark, d):
-    return _chunks(spark, d, "sentence").drop("content")
+    """Packed sentences hold all of each text, in order."""
+    return _cover(spark, d, "sentence")
 
 
-@query()
+@query(r"""WITH s AS (SELECT doc_id, unnest(string_split(regexp_replace(regexp_replace(regexp_replace(text, '([.!?])([ \t\r\n])', '\1' || chr(1) || '\2', 'g'), '\n\n', chr(10) || chr(1) || chr(10), 'g'),
+  '\n\n', chr(10) || chr(1) || chr(10), 'g'), chr(1))) AS c FROM documents WHERE text IS NOT NULL), v AS (SELECT doc_id, trim(c, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS content FROM s)
+SELECT doc_id, content FROM v WHERE content <> ''""")
+def chunk_single_sentences(spark, d):
+    """Sentences by themselves, as none fits with another into no room."""
+    return _chunks(spark, d, "sentence", max_chars=0).select("doc_id", "content")
+
+
+@query(_COVER)
 def chunk_recursive(spark, d):
-    return _chunks(spark, d, "recursive_character", max_chars=512).drop("content")
+    """Parts by ever finer separators hold all of each text, in order, and none is over the limit that a blank could part."""
+    return _cover(spark, d, "recursive_character", 512, max_chars=512)
 
 
-@query()
+@query(_COVER)
 def chunk_structure(spark, d):
-    return _chunks(spark, d, "structure_aware").drop("content")
+    return _cover(spark, d, "structure_aware", 2048)
 
 
-@query()
+@query(rf"""WITH part AS (SELECT doc_id, text, regexp_extract(text, '(?im)^[ \t\r]*(?:article\b|art\.|section\b)(?s:.*)', 0) AS tail FROM documents),
+c AS (SELECT doc_id, {_VISIBLE.format(x="CASE WHEN tail = '' THEN text ELSE tail END")} AS v FROM part) SELECT doc_id, md5(v) AS visible, 0 AS faults FROM c WHERE v <> ''""")
 def chunk_legal(spark, d):
-    return _chunks(spark, d, "legal").drop("content")
+    """Articles hold all of each text from its first heading on."""
+    return _cover(spark, d, "legal")
 
 
-@query()
+@query(f"""WITH n AS (SELECT doc_id, {_TOKENS} AS n FROM documents WHERE text <> ''), w AS (
+  SELECT doc_id, n, unnest(range(0, greatest(1, CAST(ceil((n - 32) / 224.0) AS BIGINT)))) AS i FROM n WHERE n > 0)
+SELECT doc_id, CAST(0 AS BIGINT) AS chunk_index, n AS token_count, NULL AS parent_chunk_index FROM n UNION ALL SELECT doc_id, i + 1, least(256, n - i * 224), 0 FROM w""")
 def chunk_late(spark, d):
-    return _chunks(spark, d, "late").drop("content")
+    """The whole text and, below it, its windows of tokens."""
+    return _chunks(spark, d, "late").select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), "token_count", "parent_chunk_index")
 
 
 @query(r"""WITH raw AS (SELECT DISTINCT doc_id, content FROM documents_raw QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY updated_at DESC, loaded_at DESC, content DESC) = 1)
@@ -71,7 +105,15 @@ def text_urls(spark, d):
     return tp.extract_references(t(spark, d, "documents"), "doc_id", "text").where("kind = 'url'")
 
 
-@query()
+_CODE = r"[0-9A-Za-z./_-]"
+
+
+@query(rf"""WITH m AS (SELECT doc_id, regexp_replace(text, ' and ', ' ' || chr(1) || 'and ', 'g') AS x FROM documents WHERE text IS NOT NULL),
+f AS (SELECT DISTINCT doc_id, 'url' AS kind, unnest(regexp_extract_all(text, 'https?://[^\s)\]]*')) AS r FROM documents
+  UNION SELECT doc_id, 'internal', unnest(regexp_extract_all(x, '(?i:\barticle\b)[ \t]*\x01?{_CODE}*(?: (?i:of) [0-9A-Za-z ./_-]*)?')) FROM m
+  UNION SELECT doc_id, 'external', unnest(regexp_extract_all(x, '(?i:\b(?:decree|law|ordinance|regulation)\b)[ \t]*\x01?{_CODE}*(?: (?i:of) [0-9A-Za-z ./_-]*)?')) FROM m),
+c AS (SELECT DISTINCT doc_id, kind, rtrim(replace(r, chr(1), ''), ' ') AS reference FROM f)
+SELECT doc_id, kind, reference FROM c WHERE lower(reference) NOT IN ('article', 'decree', 'law', 'ordinance', 'regulation')""")
 def text_references(spark, d):
     """URLs, articles and legal instruments that the documents name."""
     return tp.extract_references(t(spark, d, "documents"), "doc_id", "text")
@@ -94,8 +136,12 @@ def text_prompt_limits(spark, d):
     return tp.prompt_limits(t(spark, d, "documents"), "source", "doc_id", "n_chars", 20_000)
 
 
-@query()
+@query(f"""WITH RECURSIVE r AS (SELECT source, doc_id, {_N} AS n, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents WHERE source IS NOT NULL),
+w AS (SELECT source, doc_id, i, n AS used, 0 AS batch FROM r WHERE i = 1
+  UNION ALL SELECT r.source, r.doc_id, r.i, CASE WHEN used + n <= 20000 THEN used + n ELSE n END, CASE WHEN used + n <= 20000 THEN batch ELSE batch + 1 END FROM w JOIN r ON r.source = w.source AND r.i = w.i + 1)
+SELECT source, doc_id, batch FROM w""")
 def text_budget_batches(spark, d):
+    """Batches of at most 20,000 characters of each source's documents."""
     return tp.budget_batches(t(spark, d, "documents"), "source", "doc_id", "n_chars", 20_000)
 
 
