@@ -90,17 +90,19 @@ def fuse_schemas(lists: DataFrame) -> DataFrame:
 
 
 def schema_changes(fused: DataFrame) -> DataFrame:
-    """(table_id, migration_id, column_semantic_id, change, before, after) of each file against the one before it.
+    """(table_id, migration_id, column_semantic_id, change, before, after, alternative) of each file against the one before it.
 
     change is 'added', 'removed', 'renamed' (the name differs beyond case and outer blanks) or 'retyped' (the canonical
     type differs); a column may be both renamed and retyped. A table's first file changes nothing. before and
-    after are names, for 'retyped' types.
+    after are names, for 'retyped' types; alternative says of a 'retyped' whether the file brought the type as a new
+    alternative, or the column had it before, and is null for other changes.
     """
     h, n = F.col("history"), F.size("history")
-    step = lambda e, m, change, a, b: F.struct(
-        m.alias("migration_id"), F.lit(change).alias("change"), a.alias("before"), b.alias("after")
+    none, unknown = F.lit(None).cast("string"), F.lit(None).cast("boolean")
+    step = lambda e, m, change, a, b, alternative=unknown: F.struct(
+        m.alias("migration_id"), F.lit(change).alias("change"), a.alias("before"), b.alias("after"), alternative.alias("alternative")
     )
-    none = F.lit(None).cast("string")
+    brought = lambda e: F.exists("types", lambda t: (t["type"] == e["type"]) & (t["since"] == e["migration_id"]))
 
     def at(e: Column, i: Column) -> Column:
         """The changes that entry i of the history shows, with those of a gap or end behind it."""
@@ -109,7 +111,7 @@ def schema_changes(fused: DataFrame) -> DataFrame:
         follows = prev["seq"] == e["seq"] - 1
         new = F.when((e["seq"] > 1) & (prev.isNull() | ~follows), step(e, e["migration_id"], "added", none, e["name"]))
         name = F.when(follows & (prev["folded"] != e["folded"]), step(e, e["migration_id"], "renamed", prev["name"], e["name"]))
-        kind = F.when(follows & (prev["type"] != e["type"]), step(e, e["migration_id"], "retyped", prev["type"], e["type"]))
+        kind = F.when(follows & (prev["type"] != e["type"]), step(e, e["migration_id"], "retyped", prev["type"], e["type"], brought(e)))
         gone_at = F.get(F.col("files"), e["seq"])
         gone = F.when(
             (e["seq"] < F.size("files")) & (nxt.isNull() | (nxt["seq"] > e["seq"] + 1)),
@@ -121,7 +123,7 @@ def schema_changes(fused: DataFrame) -> DataFrame:
     return (
         fused.where(n > 0)
         .select("table_id", "column_semantic_id", F.explode(changes).alias("c"))
-        .select("table_id", "c.migration_id", "column_semantic_id", "c.change", "c.before", "c.after")
+        .select("table_id", "c.migration_id", "column_semantic_id", "c.change", "c.before", "c.after", "c.alternative")
     )
 
 
@@ -167,7 +169,7 @@ def _time(v: Column) -> Column:
 
 def unified_records(records: DataFrame, columns: DataFrame, migrations: DataFrame, aliases: DataFrame) -> DataFrame:
     """One long table of all record fields: (record_id, table_id, migration_id, column_semantic_id, name, tag, raw,
-    v_bigint, v_double, v_decimal, v_boolean, v_timestamp, v_text, canonical_type, status).
+    v_bigint, v_double, v_decimal, v_boolean, v_timestamp, v_json, v_text, canonical_type, status).
 
     Each record is read by its file's column list: a field belongs to the column whose name it has, but for case and
     outer blanks, and gets a branch by that file's type (tag): the value converted to it; the branch of canonical_type
@@ -257,6 +259,7 @@ def _branches(cells: DataFrame) -> DataFrame:
             "v_decimal": F.when(tag == "numeric", number.try_cast("decimal(38,6)")),
             "v_boolean": F.when(tag == "boolean", truth),
             "v_timestamp": F.when(tag == "timestamp", _time(raw)),
+            "v_json": F.when((tag == "json") & F.try_parse_json("raw").isNotNull(), raw),
             "v_text": raw,
         }
     )
@@ -266,7 +269,7 @@ def _branches(cells: DataFrame) -> DataFrame:
         F.col("v_decimal").cast("string"),
         F.col("v_boolean").cast("string"),
         F.col("v_timestamp").cast("string"),
-        F.when(tag == "json", F.when(F.try_parse_json("raw").isNotNull(), raw)),
+        F.col("v_json"),
         F.when(~tag.isin(*[t for t in BRANCHES if t != "text"]), raw),
     )
     status = (

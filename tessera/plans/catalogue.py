@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..operators import drift, references
 from ..runtime import table as t
 from .registry import query
@@ -43,10 +45,11 @@ def p2_found(spark, d):
 
 
 _REPORT = """
-  SELECT table_id, migration_id, column_semantic_id, 'added' AS change, NULL AS before, name AS after FROM steps WHERE seq > 1 AND (pseq IS NULL OR pseq < seq - 1)
-  UNION ALL SELECT table_id, migration_id, column_semantic_id, 'renamed', pname, name FROM steps WHERE pseq = seq - 1 AND pfolded <> folded
-  UNION ALL SELECT table_id, migration_id, column_semantic_id, 'retyped', ptype, type FROM steps WHERE pseq = seq - 1 AND ptype <> type
-  UNION ALL SELECT s.table_id, f.migration_id, s.column_semantic_id, 'removed', s.name, NULL
+  SELECT table_id, migration_id, column_semantic_id, 'added' AS change, NULL AS before, name AS after, NULL AS alternative FROM steps WHERE seq > 1 AND (pseq IS NULL OR pseq < seq - 1)
+  UNION ALL SELECT table_id, migration_id, column_semantic_id, 'renamed', pname, name, NULL FROM steps WHERE pseq = seq - 1 AND pfolded <> folded
+  UNION ALL SELECT table_id, migration_id, column_semantic_id, 'retyped', ptype, type, seq = (SELECT min(o.seq) FROM steps o WHERE o.table_id = s.table_id AND o.column_semantic_id = s.column_semantic_id AND o.type = s.type)
+            FROM steps s WHERE pseq = seq - 1 AND ptype <> type
+  UNION ALL SELECT s.table_id, f.migration_id, s.column_semantic_id, 'removed', s.name, NULL, NULL
             FROM steps s JOIN files f ON f.table_id = s.table_id AND f.seq = s.seq + 1 WHERE s.nseq IS NULL OR s.nseq > s.seq + 1"""
 
 
@@ -65,12 +68,60 @@ def p2_schema(spark, d):
     return drift.unified_schema(t(spark, d, "column_semantics"), t(spark, d, "mindbrain_schema_migrations"), t(spark, d, "label_aliases"))
 
 
-@query()
+_UNIFIED = r"""
+kind AS (SELECT table_id, column_semantic_id, type, min(seq) AS s FROM lists GROUP BY ALL),
+fused AS (SELECT table_id, column_semantic_id, CASE WHEN count(*) = 1 THEN min(type) WHEN bool_and(type IN ('bigint', 'integer')) THEN 'bigint'
+  WHEN bool_and(type IN ('bigint', 'integer', 'double', 'numeric')) THEN 'double' ELSE 'text' END AS canonical_type FROM kind GROUP BY ALL),
+last AS (SELECT table_id, column_semantic_id, arg_max(name, seq) AS name FROM lists GROUP BY ALL),
+listed AS (SELECT table_id, migration_id, column_semantic_id, folded, type AS tag, name, canonical_type FROM lists l JOIN fused USING (table_id, column_semantic_id)
+  JOIN (SELECT table_id AS ti, column_semantic_id AS ci, name AS nm FROM last) ON ti = table_id AND ci = column_semantic_id),
+named AS (SELECT l.* EXCLUDE (name), n.name FROM listed l JOIN last n USING (table_id, column_semantic_id)),
+rec AS (SELECT DISTINCT record_id, table_id, migration_id, payload, payload IS NOT NULL AND coalesce(json_valid(payload), false) AS whole FROM import_records),
+fields AS (SELECT record_id, table_id, migration_id, payload, lower(trim(k)) AS k, json_extract_string(payload, '$."' || k || '"') AS v
+  FROM (SELECT *, unnest(json_keys(payload)) AS k FROM rec WHERE whole)),
+cells AS (
+  SELECT r.record_id, r.table_id, r.migration_id, n.column_semantic_id, n.name, n.tag, n.canonical_type, f.v AS raw, CASE WHEN f.k IS NULL THEN 'missing' ELSE 'field' END AS here
+  FROM rec r JOIN named n ON n.table_id = r.table_id AND n.migration_id = r.migration_id
+  LEFT JOIN fields f ON f.record_id IS NOT DISTINCT FROM r.record_id AND f.table_id = r.table_id AND f.migration_id = r.migration_id AND f.payload = r.payload AND f.k = n.folded WHERE r.whole
+  UNION ALL SELECT f.record_id, f.table_id, f.migration_id, NULL, f.k, NULL, NULL, f.v, 'unlisted' FROM fields f
+  LEFT JOIN named n ON n.table_id = f.table_id AND n.migration_id = f.migration_id AND n.folded = f.k WHERE n.folded IS NULL
+  UNION ALL SELECT record_id, table_id, migration_id, NULL, NULL, NULL, NULL, payload, 'unreadable' FROM rec WHERE NOT whole
+), typed AS (
+  SELECT *, CASE WHEN regexp_full_match(raw, '\s*-?\d+,\d+\s*') THEN replace(raw, ',', '.') ELSE raw END AS num,
+    CASE WHEN regexp_full_match(raw, '\s*-?\d+\s*') THEN try_cast(trim(raw) AS BIGINT) END AS whole,
+    CASE WHEN lower(raw) IN ('true', 't', 'yes') THEN true WHEN lower(raw) IN ('false', 'f', 'no') THEN false END AS truth,
+    coalesce(CASE WHEN regexp_matches(raw, '^\s*\d{4}-\d\d-\d\d') THEN try_cast(replace(trim(raw), 'Z', '') AS TIMESTAMP) END,
+      CASE WHEN regexp_full_match(raw, '\s*\d\d/\d\d/\d{4}\s*') THEN try_strptime(trim(raw), '%d/%m/%Y') END) AS tm FROM cells
+), parsed AS (
+  SELECT *, CASE WHEN regexp_full_match(num, '\s*[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?\s*') THEN try_cast(trim(num) AS DOUBLE) END AS rl,
+    tag = 'json' AND json_valid(raw) AS jsonok FROM typed
+), held AS (
+  SELECT *, CASE WHEN here <> 'field' THEN here WHEN raw IS NULL THEN 'null'
+    WHEN CASE WHEN tag IN ('bigint', 'integer') THEN whole IS NOT NULL WHEN tag IN ('double', 'numeric') THEN rl IS NOT NULL WHEN tag = 'boolean' THEN truth IS NOT NULL
+      WHEN tag = 'timestamp' THEN tm IS NOT NULL WHEN tag = 'json' THEN jsonok ELSE true END THEN 'ok' ELSE 'wrong type' END AS status FROM parsed
+)"""
+
+
+@query(f"""WITH {_LISTS}, {_UNIFIED}
+SELECT record_id, table_id, migration_id, column_semantic_id, name, tag, canonical_type, raw, status,
+  CASE WHEN tag IN ('bigint', 'integer') OR status = 'wrong type' THEN whole END AS v_bigint,
+  CASE WHEN tag = 'double' OR canonical_type = 'double' OR (status = 'wrong type' AND whole IS NULL) THEN round(rl, 6) END AS v_double,
+  CASE WHEN tag = 'numeric' THEN round(rl, 4) END AS v_decimal,
+  CASE WHEN tag = 'boolean' OR (status = 'wrong type' AND whole IS NULL AND rl IS NULL) THEN truth END AS v_boolean,
+  CASE WHEN tag = 'timestamp' OR (status = 'wrong type' AND whole IS NULL AND rl IS NULL AND truth IS NULL) THEN strftime(tm, '%Y-%m-%d %H:%M:%S') END AS v_timestamp,
+  CASE WHEN jsonok THEN raw END AS v_json, raw AS v_text FROM held""")
 def p2_table(spark, d):
-    """The records of all files as one typed table."""
-    return drift.unified_records(
+    """The records of all files as one typed table; numbers rounded and times to the second, for the comparison."""
+    table = drift.unified_records(
         t(spark, d, "import_records"), t(spark, d, "column_semantics"), t(spark, d, "mindbrain_schema_migrations"), t(spark, d, "label_aliases")
     )
+    return table.withColumns(
+        {
+            "v_double": F.round("v_double", 6),
+            "v_decimal": F.round(F.col("v_decimal").cast("double"), 4),
+            "v_timestamp": F.date_format("v_timestamp", "yyyy-MM-dd HH:mm:ss"),
+        }
+    )
 
 
 _REFS = r"""
