@@ -8,6 +8,10 @@ the scan of a stored index) and pre-aggregates by document.
 from __future__ import annotations
 
 import math
+import re
+import zlib
+from collections import Counter
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +20,9 @@ from ..runtime import materialize, spread
 
 # A word character is an ASCII letter or digit or any character beyond ASCII.
 TOKEN_PATTERN = r"([0-9A-Za-z\u0080-\x{10FFFF}]+)"
+_TOKEN = re.compile("[0-9A-Za-z\u0080-\U0010ffff]+")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_ASCII_LOWER = str.maketrans(UPPER, LOWER)
 # The English stop words of the pure tokenizer.
 STOPWORDS = (
     "a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with"
@@ -64,6 +70,15 @@ class Index:
         """The postings of some terms; over a stored table the filter reaches the scan."""
         return self.postings.where(F.col("term").isin(*words) if words else F.lit(False))
 
+    def similar_terms(self, word: str, least: float) -> DataFrame:
+        """(term) of at least that trigram similarity to a word, by a look at every term."""
+        return self.terms.where(trigram_similarity(F.col("term"), F.lit(word)) >= least).select("term")
+
+    def stats(self) -> tuple[int, float]:
+        """(number of documents, their average length), 1.0 without any."""
+        row = self.documents.agg(F.count("*").alias("n"), F.avg("doc_length").alias("avgdl")).first()
+        return row["n"], row["avgdl"] or 1.0
+
     def collection(self) -> DataFrame:
         """(total_documents, avg_document_length, total_terms, unique_terms): one row."""
         docs = self.documents.agg(
@@ -71,46 +86,69 @@ class Index:
         )
         return docs.withColumn("unique_terms", self.postings.agg(F.count_distinct("term")).scalar())
 
+    def snapshot(self) -> DataFrame:
+        """(documents, terms, postings): the size of the index in one row."""
+        return self.postings.agg(F.count_distinct("doc_id").alias("documents"), F.count_distinct("term").alias("terms"), F.count("*").alias("postings"))
+
 
 class StoredIndex(Index):
-    """An index in a folder: postings in folders by a hash of the term, sorted by term within their files; documents; terms.
+    """An index in a folder: postings with their documents' lengths in folders by a hash of the term, sorted by term within their
+    files; documents; terms; the terms' trigrams, sorted; one row of statistics.
 
-    A search for given terms reads only their folders, and there only the row groups whose range of terms fits.
+    A search for given terms reads only their folders, and there only the row groups whose range of terms fits, and starts no job for
+    the statistics. A fuzzy one reads the rows of the word's trigrams. An opened index lists its files once.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
-        super().__init__(spark.read.parquet(f"{self.folder}/postings").drop("bucket"))
-        self.buckets = spark.read.parquet(f"{self.folder}/meta").first()["buckets"]
+        read = lambda name: spark.read.parquet(f"{self.folder}/{name}")
+        self._rows, self._documents, self._terms, self.trigrams = (read(n) for n in ("postings", "documents", "terms", "trigrams"))
+        super().__init__(self._rows.drop("bucket"))
+        meta = read("meta").first()
+        self.buckets, self._stats = meta["buckets"], (meta["n"], meta["avgdl"] or 1.0)
 
     @classmethod
     def write(cls, index: Index, folder: str, buckets: int = 64) -> StoredIndex:
         """Store an index; a bucket of a hot term is split over several files by the hash of the document."""
         spark = index.postings.sparkSession
-        kept = index.postings.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+        index.documents.write.mode("overwrite").parquet(f"{folder}/documents")
+        documents = spark.read.parquet(f"{folder}/documents")
+        bucket = (F.crc32(F.encode("term", "UTF-8")) % buckets).cast("int")
+        kept = index.postings.select("doc_id", "term", "tf").join(documents.select("doc_id", "doc_length"), "doc_id").withColumn("bucket", bucket)
         kept = kept.repartition("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(8))).sortWithinPartitions("bucket", "term", "doc_id")
         kept.write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
         base = Index(spark.read.parquet(f"{folder}/postings"))
-        base.documents.write.mode("overwrite").parquet(f"{folder}/documents")
-        base.terms.write.mode("overwrite").parquet(f"{folder}/terms")
-        spark.range(1).select(F.lit(buckets).alias("buckets")).write.mode("overwrite").parquet(f"{folder}/meta")
+        base.terms.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/terms")
+        words = spark.read.parquet(f"{folder}/terms").select("term", trigrams(F.col("term")).alias("t"))
+        pairs = words.select("term", F.size("t").cast("int").alias("n"), F.explode("t").alias("trigram"))
+        pairs.repartitionByRange("trigram").sortWithinPartitions("trigram").write.mode("overwrite").parquet(f"{folder}/trigrams")
+        meta = documents.agg(F.count("*").alias("n"), F.avg("doc_length").alias("avgdl")).withColumn("buckets", F.lit(buckets))
+        meta.write.mode("overwrite").parquet(f"{folder}/meta")
         return cls(spark, folder)
 
     @property
     def documents(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/documents")
+        return self._documents
 
     @property
     def terms(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/terms")
+        return self._terms
+
+    def stats(self) -> tuple[int, float]:
+        return self._stats
 
     def lookup(self, words: list[str]) -> DataFrame:
-        rows = self.spark.read.parquet(f"{self.folder}/postings")
         if not words:
-            return rows.drop("bucket").limit(0)
-        hashed = self.spark.createDataFrame([(w,) for w in words], "w string").select(F.pmod(F.xxhash64("w"), F.lit(self.buckets)).alias("b"))
-        wanted = sorted({r["b"] for r in hashed.collect()})  # at most one per query term
-        return rows.where(F.col("bucket").isin(*wanted) & F.col("term").isin(*words)).drop("bucket")
+            return self.postings.limit(0)
+        wanted = sorted({zlib.crc32(w.encode()) % self.buckets for w in words})
+        return self._rows.where(F.col("bucket").isin(*wanted) & F.col("term").isin(*words)).drop("bucket")
+
+    def similar_terms(self, word: str, least: float) -> DataFrame:
+        asked = word_trigrams(word)
+        if least <= 0:
+            return self.terms.select("term")
+        shared = self.trigrams.where(F.col("trigram").isin(*asked)).groupBy("term", "n").agg(F.count("*").alias("both"))
+        return shared.where(F.col("both") / (F.col("n") + len(asked) - F.col("both")) >= least).select("term")
 
 
 def build_index(documents: DataFrame, doc: str = "doc_id", text: str = "text", stopwords: DataFrame | None = None) -> Index:
@@ -140,43 +178,42 @@ def idf(n: Column, ndoc: Column, variant: str = "default") -> Column:
     return F.log((n + 1) / (ndoc + 0.5))
 
 
-def query_tokens(spark: SparkSession, text: str) -> list[str]:
-    """The tokens of a query, repeated ones too."""
-    return spark.range(1).select(tokens(F.lit(text)).alias("t")).first()["t"]
+def query_tokens(text: str) -> list[str]:
+    """The tokens of a query, repeated ones too: those of tokens(), found by the driver."""
+    return _TOKEN.findall(text.translate(_ASCII_LOWER))
 
 
 def _exact(index: Index, text: str) -> tuple[DataFrame, DataFrame]:
     """(postings, matches) of a query's own tokens: known beforehand, so only their postings are read."""
-    counts: dict[str, float] = {}
-    for q in query_tokens(index.postings.sparkSession, text):
-        counts[q] = counts.get(q, 0.0) + 1
-    return index.lookup(list(counts)), F.broadcast(_query(index.postings.sparkSession, list(counts.items())))
+    counts = Counter(query_tokens(text))
+    return index.lookup(list(counts)), F.broadcast(_query(index.postings.sparkSession, list(counts.items())))  # a row for each token of the query
 
 
 def _query(spark: SparkSession, weights: list[tuple[str, float]]) -> DataFrame:
-    return spark.createDataFrame(weights or [("", 0.0)], "term string, qtf double").where("qtf > 0")
+    rows = [F.struct(F.lit(w).alias("term"), F.lit(float(n)).alias("qtf")) for w, n in weights]
+    empty = F.array().cast("array<struct<term:string,qtf:double>>")
+    return spark.range(1).select(F.inline(F.array(*rows) if rows else empty))
 
 
 def term_matches(index: Index, text: str, prefix: bool = False, fuzzy: float | None = None) -> DataFrame:
     """(term, qtf): the terms of the vocabulary that a query matches, with how many query tokens match each.
 
     A token matches itself; with ``prefix`` every term it begins; with ``fuzzy`` every term of at least that trigram
-    similarity. The vocabulary, not the postings, is searched.
+    similarity. The vocabulary, not the postings, is searched: by ranges of terms for a prefix, by trigrams where they are stored.
     """
-    asked = query_tokens(index.postings.sparkSession, text)
-    counts: dict[str, float] = {}
-    for q in asked:
-        counts[q] = counts.get(q, 0.0) + 1
+    counts = Counter(query_tokens(text))
+    spark = index.postings.sparkSession
     if not prefix and fuzzy is None:
-        return _query(index.postings.sparkSession, list(counts.items()))
-    vocabulary = index.terms.select("term")
-    hits = F.lit(0.0)
+        return _query(spark, list(counts.items()))
+    parts = []
     for q, n in counts.items():
-        hit = F.col("term").startswith(q) if prefix else F.lit(False)
+        hit = index.terms.where((F.col("term") == q) | F.col("term").startswith(q) if prefix else F.col("term") == q).select("term")
         if fuzzy is not None:
-            hit = hit | (trigram_similarity(F.col("term"), F.lit(q)) >= fuzzy)
-        hits = hits + F.when(hit | (F.col("term") == q), n).otherwise(0.0)
-    return vocabulary.select("term", hits.alias("qtf")).where("qtf > 0")
+            hit = hit.unionByName(index.similar_terms(q, fuzzy)).distinct()
+        parts.append(hit.withColumn("qtf", F.lit(float(n))))
+    if not parts:
+        return _query(spark, [])
+    return reduce(lambda a, b: a.unionByName(b), parts).groupBy("term").agg(F.sum("qtf").alias("qtf"))
 
 
 def trigrams(c: Column) -> Column:
@@ -185,6 +222,12 @@ def trigrams(c: Column) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: F.substring(padded, i, F.lit(3))))
 
 
+def word_trigrams(word: str) -> list[str]:
+    """trigrams() of a word that the driver has."""
+    padded = f"  {word} "
+    return list(dict.fromkeys(padded[i : i + 3] for i in range(len(padded) - 2)))
+
+
 def trigram_similarity(a: Column, b: Column) -> Column:
     """Jaccard similarity of the words' trigrams."""
     x, y = trigrams(a), trigrams(b)
@@ -200,12 +243,16 @@ def term_scores(
     qtf * idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / average length)). ``postings`` may be those of the
     matched terms, where they are known.
     """
-    stats = index.documents.agg(F.count("*").alias("n"), F.avg("doc_length").alias("avgdl")).first()
-    n, avgdl = stats["n"], stats["avgdl"] or 1.0
-    hit = materialize((index.postings if postings is None else postings).join(matched, "term"), "hits")
-    ndoc = hit.groupBy("term").agg(F.count("*").alias("ndoc"))
-    lengths = index.documents.select("doc_id", "doc_length").join(hit.select("doc_id").distinct(), "doc_id", "left_semi")
-    scored = hit.join(ndoc, "term").join(lengths, "doc_id").withColumn("idf", idf(F.lit(float(n)), F.col("ndoc"), variant))
+    n, avgdl = index.stats()
+    hit = (index.postings if postings is None else postings).join(matched, "term")
+    if "doc_length" in index.postings.columns:  # a stored index has lengths with the postings, and counts by term
+        scored = hit.join(index.terms.select("term", "ndoc").join(matched.select("term"), "term", "left_semi"), "term")
+    else:
+        hit = materialize(hit, "hits")
+        ndoc = hit.groupBy("term").agg(F.count("*").alias("ndoc"))
+        lengths = index.documents.select("doc_id", "doc_length").join(hit.select("doc_id").distinct(), "doc_id", "left_semi")
+        scored = hit.join(ndoc, "term").join(lengths, "doc_id")
+    scored = scored.withColumn("idf", idf(F.lit(float(n)), F.col("ndoc"), variant))
     norm = F.col("tf") + k1 * (1 - b + b * F.col("doc_length") / avgdl)
     share = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / norm
     return scored.withColumn("score", F.when(F.isnan(share), 0.0).otherwise(share))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import gpq
 from ..operators import graph as g
-from ..runtime import materialize
+from ..runtime import kept, materialize
 from ..runtime import table as t
 from .registry import query
 
@@ -44,6 +44,17 @@ PROPERTIES = f"""prop AS (
 
 
 def entities(spark, d):
+    """The entities, stored once in a session."""
+    return spark.read.parquet(kept(spark, "entities", d, lambda path: made_entities(spark, d).write.parquet(path)))
+
+
+def relations(spark, d):
+    """The relations, stored once in a session by their type."""
+    made = lambda path: made_relations(spark, d).repartition("relation_type", F.pmod(F.xxhash64("source_id"), F.lit(8))).sortWithinPartitions("relation_type", "source_id")
+    return spark.read.parquet(kept(spark, "relations", d, lambda path: made(path).write.parquet(path)))
+
+
+def made_entities(spark, d):
     def one(table, number, kind, key, name, confidence, meta, dead=None):
         rows = t(spark, d, table)
         return rows.select(
@@ -69,7 +80,7 @@ def entities(spark, d):
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-def relations(spark, d):
+def made_relations(spark, d):
     def one(rows, number, kind, source, target, a, b, confidence, start=None, end=None, dead=None):
         null = F.lit(None)
         return rows.select(
@@ -98,9 +109,7 @@ def relations(spark, d):
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-def stored(spark, d):
-    """The relations written once, for traversals that walk over all of them round after round."""
-    return materialize(relations(spark, d), "relations")
+stored = relations  # traversals walk over the stored relations
 
 
 def properties(spark, d):
@@ -191,7 +200,7 @@ SELECT depth, node, name FROM bfs JOIN ent ON entity_id = node""")
 def graph_traverse(spark, d):
     """A directed search by name, three levels outbound."""
     name = t(spark, d, "supplier").where("s_suppkey = 1").first()["s_name"]
-    ents = materialize(entities(spark, d), "ent")
+    ents = entities(spark, d)
     return g.traverse(ents, relations(spark, d), name, "outbound", ["based_in", "part_of", "supplies"], 3).select("depth", "node", "name")
 
 
@@ -302,7 +311,7 @@ m AS (SELECT e.entity_id, e.name, coalesce(rank, 0.1) * e.confidence * CASE WHEN
 SELECT entity_id, round(composite, 6) AS composite, round(hub_score, 6) AS hub_score FROM m ORDER BY m.composite DESC, name, entity_id LIMIT 50""")
 def graph_marketplace(spark, d):
     """The fifty best entities around the hits of a search (a top-k report)."""
-    out = g.marketplace_search(materialize(entities(spark, d), "ent"), materialize(relations(spark, d), "rel"), "Brand part", ["supplies"], 1, limit=50)
+    out = g.marketplace_search(entities(spark, d), relations(spark, d), "Brand part", ["supplies"], 1, limit=50)
     return out.select("entity_id", F.round("composite", 6).alias("composite"), F.round("hub_score", 6).alias("hub_score"))
 
 

@@ -115,7 +115,7 @@ UNION ALL SELECT 'isolated_entity', 'medium', CAST(entity_id AS VARCHAR), name F
 UNION ALL SELECT 'small_component', 'low', CAST(c AS VARCHAR), CAST(size AS VARCHAR) FROM comp""")
 def quality_report(spark, d):
     """The issues of all checks together."""
-    e, r = materialize(entities(spark, d), "ent"), materialize(relations(spark, d), "rel")
+    e, r = entities(spark, d), relations(spark, d)
     declared = spark.createDataFrame(_TYPES, "edge_type string, source_type string, target_type string")
     return qu.diagnostics([qu.rule_gaps(rules(spark), e, r), qu.type_mismatches(declared, e, r), qu.isolated_entities(e, r), qu.small_components(r)])
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import facets as fa
 from ..operators import search as se
-from ..runtime import materialize, new_folder
+from ..runtime import kept, materialize, new_folder
 from ..runtime import table as t
 from .facets import ASSIGNED, document_facets
 from .registry import query
@@ -35,25 +35,37 @@ def _scores(match: str, idf: str = "ln((n + 1.0) / (ndoc + 0.5))") -> str:
 _EXACT = "matched AS (SELECT unnest(['reserve', 'fund', 'maintenance', 'owner']) AS term, 1.0 AS qtf)"
 
 
-def index(spark, d):
+def fresh(spark, d):
+    """An index made anew from the documents."""
     built = se.build_index(t(spark, d, "documents"))
     return se.Index(materialize(built.postings, "postings"))
 
 
+_open: dict = {}
+
+
+def index(spark, d):
+    """The index of the documents, stored once in a session and opened by every search after that."""
+    folder = kept(spark, "index", d, lambda path: se.StoredIndex.write(se.build_index(t(spark, d, "documents")), path, 16))
+    if folder not in _open:
+        _open[folder] = se.StoredIndex(spark, folder)
+    return _open[folder]
+
+
 @query(f"WITH {POSTINGS} SELECT doc_id, doc_length, unique_terms FROM lens")
 def search_document_stats(spark, d):
-    return index(spark, d).documents
+    return fresh(spark, d).documents
 
 
 @query(f"WITH {POSTINGS} SELECT term, ndoc, nentry FROM dfs")
 def search_term_stats(spark, d):
-    return index(spark, d).terms
+    return fresh(spark, d).terms
 
 
 @query(f"""WITH {POSTINGS} SELECT n AS total_documents, round(avgdl, 6) AS avg_document_length,
 (SELECT CAST(sum(doc_length) AS BIGINT) FROM lens) AS total_terms, (SELECT count(*) FROM dfs) AS unique_terms FROM col""")
 def search_collection_stats(spark, d):
-    return index(spark, d).collection().withColumn("avg_document_length", F.round("avg_document_length", 6))
+    return fresh(spark, d).collection().withColumn("avg_document_length", F.round("avg_document_length", 6))
 
 
 @query(f"""SELECT doc_id, len(list_filter({_TOK}, lambda x: octet_length(encode(x)) > 1 AND octet_length(encode(x)) <= 100
@@ -130,14 +142,14 @@ def search_sync(spark, d):
     """Term statistics after an incremental change: unlabelled texts get a word more, forum posts are deleted."""
     docs = t(spark, d, "documents")
     changed = docs.where("lang is null and doc_kind != 'forum'").select("doc_id", F.concat("text", F.lit(" unlabelled")).alias("text"))
-    return se.sync_documents(index(spark, d), changed, docs.where("doc_kind = 'forum'").select("doc_id")).terms
+    return se.sync_documents(fresh(spark, d), changed, docs.where("doc_kind = 'forum'").select("doc_id")).terms
 
 
 @query(f"""WITH {POSTINGS}, stop AS (SELECT term AS word FROM dfs WHERE ndoc * 2 > (SELECT n FROM col))
 SELECT term, ndoc, nentry FROM dfs WHERE term NOT IN (SELECT word FROM stop)""")
 def search_stopwords(spark, d):
     """Term statistics without the words of over half of the documents, removed by a stop word table."""
-    i = index(spark, d)
+    i = fresh(spark, d)
     n = i.documents.count()
     stop = i.terms.where(F.col("ndoc") * 2 > n).select(F.col("term").alias("word"))
     return se.build_index(t(spark, d, "documents"), stopwords=stop).terms

@@ -6,6 +6,7 @@ import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 HOT_SHARE = 4096
 
 _written: list[tuple[SparkSession, str]] = []
+_made: list[tuple[SparkSession, str]] = []
+_kept: dict[tuple[str, str, str], tuple[SparkSession, str]] = {}
 
 
 def session(app: str = "tessera", cpus: int | None = None, partitions: int | None = None) -> SparkSession:
@@ -54,7 +57,7 @@ def shared_dir(spark: SparkSession) -> str:
             raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         path = "file://" + tempfile.mkdtemp(prefix="tessera-shared-")
         spark.conf.set("spark.checkpoint.dir", path)
-        _written.append((spark, path))
+        _made.append((spark, path))
     return path.rstrip("/")
 
 
@@ -77,14 +80,31 @@ def materialize(df: DataFrame, label: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def kept(spark: SparkSession, label: str, source: str, build: Callable[[str], None]) -> str:
+    """The folder of something made once in a session from ``source``, such as a stored index or graph, by ``build(folder)``.
+
+    It stays until the process ends, whatever release() removes in between.
+    """
+    key = (spark.sparkContext.applicationId, label, source)
+    if key not in _kept:
+        folder = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+        build(folder)
+        _kept[key] = (spark, folder)
+    return _kept[key][1]
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+        jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+    except Exception:  # the session may be gone already
+        pass
+
+
 def release(spark: SparkSession) -> None:
     """Delete the tables written by materialize() in this session."""
     for owner, path in [x for x in _written if x[0] is spark]:
-        try:
-            jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-            jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
-        except Exception:  # the session may be gone already
-            pass
+        _remove(owner, path)
         _written.remove((owner, path))
 
 
@@ -92,6 +112,8 @@ def release(spark: SparkSession) -> None:
 def _release_all() -> None:
     for spark in {id(s): s for s, _ in _written}.values():
         release(spark)
+    for spark, path in [*_kept.values(), *_made]:
+        _remove(spark, path)
 
 
 def spread(df: DataFrame) -> DataFrame:
