@@ -105,25 +105,41 @@ def bfs(seeds: DataFrame, moves: DataFrame, max_hops: int, target: int | None =
     adaptive execution splits the hub. Each level is reduced to one row per node before it is written.
     """
     none = F.lit(None).cast("long")
-    level = materialize(seeds.select("node").where("node is not null").distinct().select("node", F.lit(0).alias("depth"), none.alias("parent"), none.alias("relation_id")), "bfs")
+    first = seeds.select("node").where("node is not null").distinct().select("node", F.lit(0).alias("depth"), none.alias("parent"), none.alias("relation_id"))
+    level, n = _level(first, True)
     levels = [level]
     for depth in range(1, max_hops + 1):
-        if target is not None and not level.where(F.col("node") == target).isEmpty():
+        if not n or (target is not None and not level.where(F.col("node") == target).isEmpty()):
             break
         seen = reduce(lambda a, b: a.unionByName(b), [x.select("node") for x in levels])
-        level = _next_level(level, moves, seen, depth)
-        if level.isEmpty():
-            break
-        levels.append(level)
+        level, n = _next_level(level, n, moves, seen, depth)
+        if n:
+            levels.append(level)
     return reduce(lambda a, b: a.unionByName(b), levels)
 
 
-def _next_level(level: DataFrame, moves: DataFrame, seen: DataFrame, depth: int) -> DataFrame:
-    """The nodes one step beyond a level that aren't in ``seen`` (node), each with its least way."""
+# Levels of up to so many nodes are kept by the driver (some 100 KB), others written to the shared folder.
+SMALL_LEVEL = 4096
+
+
+def _level(rows: DataFrame, small: bool) -> tuple[DataFrame, int]:
+    """(level, its number of nodes). With ``small`` it is tried whether the driver can keep it, which saves the writing and gives the
+    planner its size; if not, or without, it is written."""
+    if small:
+        kept = rows.limit(SMALL_LEVEL + 1).toArrow()
+        if kept.num_rows <= SMALL_LEVEL:
+            return rows.sparkSession.createDataFrame(kept, rows.schema), kept.num_rows
+    written = materialize(rows, "bfs")
+    return written, written.count()
+
+
+def _next_level(level: DataFrame, n: int, moves: DataFrame, seen: DataFrame, depth: int) -> tuple[DataFrame, int]:
+    """The nodes one step beyond a level of ``n`` that aren't in ``seen`` (node), each with its least way, and their number."""
     found = level.select(F.col("node").alias("here")).join(moves, "here")
     found = found.groupBy(F.col("there").alias("node")).agg(F.min(F.struct("here", "relation_id")).alias("via"))
     fresh = found.join(seen, "node", "left_anti")
-    return materialize(fresh.select("node", F.lit(depth).alias("depth"), F.col("via.here").alias("parent"), F.col("via.relation_id").alias("relation_id")), "bfs")
+    fresh = fresh.select("node", F.lit(depth).alias("depth"), F.col("via.here").alias("parent"), F.col("via.relation_id").alias("relation_id"))
+    return _level(fresh, n <= SMALL_LEVEL // 16)
 
 
 def k_hops(relations: DataFrame, seeds: DataFrame, max_hops: int, f: EdgeFilter | None = None, properties=None, direction: str = "both") -> DataFrame:
@@ -142,15 +158,15 @@ def shortest_path(relations: DataFrame, source: int, target: int, max_depth: int
         return []
     moves = steps(filter_edges(relations, f))
     none = F.lit(None).cast("long")
-    start = lambda i: relations.sparkSession.range(1).select(F.lit(i).cast("long").alias("node"), F.lit(0).alias("depth"), none.alias("parent"), none.alias("relation_id"))
+    first = relations.sparkSession.range(1)
+    start = lambda i: first.select(F.lit(i).cast("long").alias("node"), F.lit(0).alias("depth"), none.alias("parent"), none.alias("relation_id"))
     sides = {"source": [start(source)], "target": [start(target)]}
     sizes = {"source": 1, "target": 1}
     for _ in range(max_depth):
         near = "source" if sizes["source"] <= sizes["target"] else "target"
         far = "target" if near == "source" else "source"
         tree = reduce(lambda a, b: a.unionByName(b), sides[near])
-        level = _next_level(sides[near][-1], moves, tree.select("node"), len(sides[near]))
-        sizes[near] = level.count()
+        level, sizes[near] = _next_level(sides[near][-1], sizes[near], moves, tree.select("node"), len(sides[near]))
         if not sizes[near]:
             return None
         sides[near].append(level)
