@@ -1,4 +1,4 @@
-"""Chunking of texts by eight strategies, as one Arrow pass per strategy.
+"""Chunking of texts by eight strategies, as one Arrow pass per strategy (semantic: a join with the sentences' vectors).
 
 All work on the text's UTF-8 bytes: offsets are byte positions, end exclusive. A token is a run of ASCII letters and
 digits and bytes of other characters. Null and empty texts have no chunks.
@@ -10,10 +10,11 @@ import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import spread
+from .search import token_count
 
 Span = tuple[int, int]
 TOKEN = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
@@ -168,7 +169,7 @@ def chunk(
 ) -> DataFrame:
     """(key, chunk_index, offset_start, offset_end, token_count, parent_chunk_index, strategy, content) of every text.
 
-    An overlap that isn't below the target, and an unknown strategy, raise ValueError.
+    An overlap that isn't below the target, and an unknown strategy, raise ValueError; 'semantic' needs vectors, see semantic_chunks().
     """
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy}")
@@ -195,6 +196,68 @@ def chunk(
     return spread(texts.select(key, text)).mapInArrow(run, schema).withColumn("strategy", F.lit(strategy))
 
 
+def semantic_chunks(
+    texts: DataFrame, key: str, text: str, vectors: DataFrame, threshold: float = 0.5, max_chars: int = 2048, max_sentences: int = 16
+) -> DataFrame:
+    """chunk() by meaning: runs of sentences, closed where neighbours' cosine falls below the threshold or the run is too long.
+
+    ``vectors`` (key, sentence_index, values) has a vector for each sentence that sentence_table() gives; a sentence without one, or with
+    one of other length or all zero, is like no other. A run is at most ``max_sentences`` sentences and its sentences but the last
+    within ``max_chars`` bytes. The sentences of a text meet their vectors in one join and stream by text.
+    """
+    rows = sentence_table(texts, key, text)
+    rows = rows.join(vectors.select(key, F.col("sentence_index").alias("chunk_index"), F.col("values").cast("array<double>").alias("v")), [key, "chunk_index"], "left")
+    last = Window.partitionBy(key).orderBy("chunk_index")
+    before = F.lag("v").over(last)
+    norm = lambda x: F.sqrt(F.aggregate(x, F.lit(0.0), lambda acc, y: acc + y * y))
+    dot = F.aggregate(F.zip_with("v", before, lambda x, y: x * y), F.lit(0.0), lambda acc, y: acc + y)
+    like = F.when((F.size("v") == F.size(before)) & (norm(F.col("v")) * norm(before) > 0), dot / (norm(F.col("v")) * norm(before)))
+    rows = rows.withColumn("near", F.coalesce(like >= threshold, F.lit(False)))
+    spans = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("chunk_index", "offset_start", "offset_end", "near"))).alias("s"))
+    state = F.struct(F.array().cast("array<struct<s:bigint,e:bigint,n:int>>").alias("out"))
+
+    def put(acc: Column, x: Column) -> Column:
+        run = F.try_element_at(acc["out"], F.lit(-1))
+        joins = x["near"] & (run["e"] - run["s"] <= max_chars) & (run["n"] < max_sentences)
+        kept = F.slice(acc["out"], F.lit(1), F.greatest(F.size(acc["out"]) - 1, F.lit(0)))
+        longer = F.array(F.struct(run["s"].alias("s"), x["offset_end"].alias("e"), (run["n"] + 1).alias("n")))
+        new = F.array(F.struct(x["offset_start"].alias("s"), x["offset_end"].alias("e"), F.lit(1).alias("n")))
+        return F.struct(F.when(F.coalesce(joins, F.lit(False)), F.concat(kept, longer)).otherwise(F.concat(acc["out"], new)).alias("out"))
+
+    runs = spans.select(key, F.posexplode(F.aggregate("s", state, put)["out"]).alias("chunk_index", "c"))
+    whole = runs.join(texts.select(key, text), key)
+    start, size = F.col("c.s").cast("int") + 1, (F.col("c.e") - F.col("c.s")).cast("int")
+    piece = F.decode(F.substring(F.encode(text, "UTF-8"), start, size), "UTF-8")
+    return whole.select(
+        key, "chunk_index", F.col("c.s").alias("offset_start"), F.col("c.e").alias("offset_end"), token_count(piece).cast("long").alias("token_count"),
+        F.lit(None).cast("int").alias("parent_chunk_index"), piece.alias("content"), F.lit("semantic").alias("strategy"),
+    )
+
+
+def sentence_table(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, chunk_index, offset_start, offset_end, content): each sentence by itself, to be given vectors."""
+    return chunk(texts, key, text, "sentence", max_chars=0).select(key, "chunk_index", "offset_start", "offset_end", "content")
+
+
+def late_vectors(vectors: DataFrame, key: str, target_tokens: int = 256, overlap_tokens: int = 32) -> DataFrame:
+    """(key, chunk_index, values): late chunking's vectors from those of the text's tokens (key, token_index from 0, values).
+
+    Each window of chunk(..., 'late') gets the mean of its tokens' vectors, and chunk 0, the whole text, the mean of all. A token lies in as
+    many windows as overlap there; sums are pre-aggregated by dimension, so no task holds a whole text.
+    """
+    if overlap_tokens >= target_tokens:
+        raise ValueError("the overlap must be below the target")
+    step = target_tokens - overlap_tokens
+    n = vectors.groupBy(key).agg((F.max("token_index") + 1).alias("_n"))
+    rows = vectors.join(n, key)
+    last = F.greatest(F.floor((F.greatest(F.col("_n") - overlap_tokens - 1, F.lit(0))) / step), F.lit(0))
+    first = F.greatest(F.lit(0), F.ceil((F.col("token_index") - target_tokens + 1) / step))
+    windows = F.filter(F.sequence(first.cast("int"), F.floor(F.col("token_index") / step).cast("int")), lambda i: i <= last)
+    rows = rows.select(key, F.explode(F.concat(F.array(F.lit(0)), F.transform(windows, lambda i: (i + 1).cast("int")))).alias("chunk_index"), "values")
+    dims = rows.select(key, "chunk_index", F.posexplode("values").alias("d", "x")).groupBy(key, "chunk_index", "d").agg(F.avg("x").alias("x"))
+    return dims.groupBy(key, "chunk_index").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda y: y["x"]).alias("values"))
+
+
 def source_facets(chunks: DataFrame, key: str, path: str) -> DataFrame:
     """(key, chunk_index, facet_name, facet_value): path, filename, extension, directories, chunk index and count, strategy.
 
@@ -204,8 +267,6 @@ def source_facets(chunks: DataFrame, key: str, path: str) -> DataFrame:
     name = F.substring_index(p, "/", -1)
     ext = F.when(F.instr(name, ".") > 0, F.lower(F.substring_index(name, ".", -1)))
     dirs = F.filter(F.slice(F.split(p, "/"), F.lit(1), F.greatest(F.size(F.split(p, "/")) - 1, F.lit(0))), lambda x: x != "")
-    from pyspark.sql import Window
-
     total = F.count("*").over(Window.partitionBy(key))
     one = lambda n, v: F.array(F.struct(F.lit(n).alias("n"), v.cast("string").alias("v")))
     rows = F.concat(

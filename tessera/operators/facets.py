@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .search import ascii_lower
 
 # --- kinds of facets ---------------------------------------------------------------------------------------------
 
@@ -138,6 +139,25 @@ def describe(assigned: DataFrame) -> DataFrame:
     )
 
 
+def search_values(assigned: DataFrame, namespace: str | None = None, dimension: str | None = None, value: str | None = None, limit: int | None = 50) -> DataFrame:
+    """(doc_id, facet_name, facet_value): the documents with a facet value that contains ``value``, in any ASCII case.
+
+    Facet names are 'namespace.dimension'; what isn't given isn't asked. Each document comes once, with its least value that fits, by facet
+    name, value and document.
+    """
+    rows = assigned
+    if namespace is not None and dimension is not None:
+        rows = rows.where(F.col("facet_name") == f"{namespace}.{dimension}")
+    elif namespace is not None:
+        rows = rows.where(F.startswith("facet_name", F.lit(f"{namespace}.")))
+    elif dimension is not None:
+        rows = rows.where(F.endswith("facet_name", F.lit(f".{dimension}")))
+    if value:
+        rows = rows.where(F.contains(ascii_lower(F.col("facet_value")), ascii_lower(F.lit(value))))
+    first = rows.groupBy("doc_id").agg(F.min(F.struct("facet_name", "facet_value")).alias("f")).select("doc_id", "f.*")
+    return first if limit is None else first.orderBy("facet_name", "facet_value", "doc_id").limit(limit)
+
+
 # --- changes -----------------------------------------------------------------------------------------------------
 
 

@@ -22,7 +22,8 @@ from .search import ascii_lower, pure_tokens
 @dataclass
 class EdgeFilter:
     """Which relations take part. ``valid_after`` drops those that ended before it, ``valid_before`` those that begin
-    after it (null ends are open). ``properties`` are (key, op, value...) on relation_properties, all of which must hold."""
+    after it (null ends are open). ``properties`` are (key, op, value...) on relation_properties, all of which must hold.
+    ``doc_types`` and ``jurisdictions`` are taken and have no effect, as relations carry neither."""
 
     types: list[str] | None = None
     confidence_min: float | None = None
@@ -31,6 +32,8 @@ class EdgeFilter:
     valid_before: int | None = None
     include_deprecated: bool = False
     properties: list[tuple] = field(default_factory=list)
+    doc_types: list[str] | None = None
+    jurisdictions: list[str] | None = None
 
 
 def property_predicate(op: str, *values) -> Column:

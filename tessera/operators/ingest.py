@@ -278,6 +278,48 @@ def rebuild(raw: DataFrame, strategy: str = "sentence", **options) -> tuple[Data
     return docs, chunk(docs, "doc_id", "content", strategy, **options), build_index(docs, text="content")
 
 
+def lookup_nanoid(documents: DataFrame, nanoid: str) -> DataFrame:
+    """(workspace_id, collection_id, doc_id) of the latest row with a public id; an empty id is nobody's."""
+    hit = documents.where((F.col("doc_nanoid") == nanoid) & (F.col("doc_nanoid") != ""))
+    return latest(hit, "doc_id", "updated_at", "loaded_at").select("workspace_id", "collection_id", "doc_id")
+
+
+def with_nanoids(documents: DataFrame, size: int = 21) -> DataFrame:
+    """Documents with a doc_nanoid where they have none: ``size`` characters of a hash of workspace, collection and doc_id, so that a
+    repeated ingest gives the same ids."""
+    digest = F.sha2(F.concat_ws("|", "workspace_id", "collection_id", F.col("doc_id").cast("string")), 512)
+    made = F.substring(F.translate(F.base64(F.unhex(digest)), "+/=\r\n", "_-"), 1, size)
+    return documents.withColumn("doc_nanoid", F.coalesce(F.when(F.col("doc_nanoid") != "", F.col("doc_nanoid")), made))
+
+
+def ingest_documents(raw: DataFrame, changes: DataFrame, strategy: str = "recursive_character", dry_run: bool = False, **options) -> dict[str, DataFrame]:
+    """One step from delivered documents to the raw layer, chunks and index: {"report", "documents", "chunks", "postings"}.
+
+    ``raw`` and ``changes`` have the columns of the raw layer (workspace_id, collection_id, doc_id, doc_nanoid, content, updated_at, ...). A
+    change replaces the row of its doc_id unless that is later by updated_at; public ids are kept or made. report has (doc_id, change): 'new',
+    'changed', 'same' or 'stale'. With ``dry_run`` only the report comes. Chunks and postings are those of the new and changed documents, to be
+    put in place of the old ones by sync_documents().
+    """
+    now = latest(raw, "doc_id", "updated_at").select(F.col("doc_id"), F.col("updated_at").alias("_u"), F.md5("content").alias("_h"), F.col("doc_nanoid").alias("_n"))
+    new = latest(changes, "doc_id", "updated_at")
+    both = new.join(now, "doc_id", "left")
+    change = (
+        F.when(F.col("_u").isNull() & F.col("_h").isNull(), "new").when(F.col("_u") > F.col("updated_at"), "stale").when(F.col("_h").eqNullSafe(F.md5("content")), "same").otherwise("changed")
+    )
+    judged = both.withColumn("change", change).withColumn("doc_nanoid", F.coalesce(F.when(F.col("doc_nanoid") != "", F.col("doc_nanoid")), F.col("_n")))
+    report = judged.select("doc_id", "change")
+    if dry_run:
+        return {"report": report}
+    taken = with_nanoids(judged.where("change in ('new', 'changed')").select(*raw.columns))
+    kept = raw.join(taken.select("doc_id"), "doc_id", "left_anti").select(*raw.columns)
+    return {
+        "report": report,
+        "documents": kept.unionByName(taken.select(*raw.columns)),
+        "chunks": chunk(taken, "doc_id", "content", strategy, **options),
+        "postings": build_index(taken, text="content").postings,
+    }
+
+
 # --- queue -------------------------------------------------------------------------------------------------------
 
 

@@ -118,6 +118,22 @@ def entity_bridges(entities: DataFrame, a: str, b: str, threshold: float = 0.8)
     return alike.join(ids_a, ["entity_type", "n_a"]).join(ids_b, ["entity_type", "n_b"]).select("id_a", "id_b", "similarity")
 
 
+def ontology_graph(entity_types: DataFrame, edge_types: DataFrame, ontology: str) -> tuple[DataFrame, DataFrame]:
+    """An ontology as nodes (id, label) and edges (id, source, target) by its declared types; edges without an end are left out."""
+    nodes = entity_types.where(F.col("ontology_id") == ontology).select(F.col("entity_type").alias("id"), F.coalesce("label", "entity_type").alias("label"))
+    edges = edge_types.where((F.col("ontology_id") == ontology) & F.col("source_entity_type").isNotNull() & F.col("target_entity_type").isNotNull())
+    return nodes.orderBy("id"), edges.select(F.col("edge_type").alias("id"), F.col("source_entity_type").alias("source"), F.col("target_entity_type").alias("target")).orderBy("id")
+
+
+def inspect_ontology(entity_types: DataFrame, edge_types: DataFrame, entities: DataFrame, relations: DataFrame) -> DataFrame:
+    """(ontology_id, kind, type_name, n): each declared type ('entity' or 'edge') with the number of rows that use it, zeros too."""
+    used = lambda rows, c: rows.groupBy("ontology_id", F.col(c).alias("type_name")).agg(F.count("*").alias("n"))
+    part = lambda types, rows, c, kind: types.select("ontology_id", F.col(c).alias("type_name")).distinct().join(used(rows, c), ["ontology_id", "type_name"], "left").select(
+        "ontology_id", F.lit(kind).alias("kind"), "type_name", F.coalesce("n", F.lit(0)).alias("n")
+    )
+    return part(entity_types, entities, "entity_type", "entity").unionByName(part(edge_types, relations, "edge_type", "edge"))
+
+
 def coverage_by_types(entities: DataFrame, declared: DataFrame) -> DataFrame:
     """(workspace_id, entity_type, n, declared): how many entities each type has and whether it is declared."""
     counts = entities.groupBy("workspace_id", "entity_type").agg(F.count("*").alias("n"))

@@ -15,7 +15,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions.stemming import STEMMERS, stem
 from ..runtime import materialize, spread
 
 # A word character is an ASCII letter or digit or any character beyond ASCII.
@@ -151,6 +153,72 @@ class StoredIndex(Index):
         return shared.where(F.col("both") / (F.col("n") + len(asked) - F.col("both")) >= least).select("term")
 
 
+# The languages of the text configurations, by the name they have there.
+LANGUAGES = ("english", "french", "dutch", "german", "spanish", "portuguese")
+
+
+def default_stopwords(spark: SparkSession, language: str) -> DataFrame:
+    """(word): the stop words that Spark has for a language, ASCII-lowered as tokens are; none for 'simple'."""
+    if language == "simple":
+        return spark.range(0).select(F.lit("").alias("word"))
+    if language not in LANGUAGES:
+        raise ValueError(f"unknown language {language}")
+    from pyspark.ml.feature import StopWordsRemover
+
+    words = StopWordsRemover.loadDefaultStopWords(language)
+    return spark.range(1).select(F.explode(F.array(*[F.lit(w) for w in words])).alias("word")).select(ascii_lower(F.col("word")).alias("word")).distinct()
+
+
+def import_stopwords(table: DataFrame | None, words: DataFrame, language: str) -> DataFrame:
+    """The table of stop words (language, word) with those of ``words`` (word) added: trimmed and lowered, blank ones left out."""
+    new = words.select(F.lit(language).alias("language"), F.trim(F.lower("word")).alias("word")).where("word != ''").distinct()
+    return new if table is None else table.select("language", "word").unionByName(new).distinct()
+
+
+def delete_stopwords(table: DataFrame, language: str, words: list[str] | None = None) -> DataFrame:
+    """The table of stop words without the given ones of a language, or without all of them."""
+    gone = F.col("language") == language
+    return table.where(~(gone if words is None else gone & F.col("word").isin(*words)))
+
+
+def configured_index(documents: DataFrame, language: str = "simple", doc: str = "doc_id", text: str = "text", stopwords: DataFrame | None = None) -> Index:
+    """An index by a text configuration: tokens without the language's stop words, stemmed.
+
+    ``stopwords`` (language, word) replaces the default ones of the languages that it has words for. English, German and Dutch are stemmed; in
+    French, Spanish and Portuguese, and in 'simple', tokens stay as they are. Search it with configured_query().
+    """
+    own = None if stopwords is None else stopwords.where(F.col("language") == language).select("word")
+    if own is None or own.isEmpty():
+        own = default_stopwords(documents.sparkSession, language)
+    raw = build_index(documents, doc, text, own).postings
+    stemmed = raw.select("doc_id", stem(F.col("term"), language).alias("term"), "tf")
+    return Index(stemmed.groupBy("doc_id", "term").agg(F.sum("tf").alias("tf")))
+
+
+def configured_query(spark: SparkSession, text: str, language: str = "simple", stopwords: DataFrame | None = None) -> str:
+    """A query's tokens by the same configuration, with blanks between them."""
+    words = list(dict.fromkeys(query_tokens(text)))
+    own = None if stopwords is None else stopwords.where(F.col("language") == language).select("word")
+    if own is None or own.isEmpty():
+        own = default_stopwords(spark, language)
+    stop = {r["word"] for r in own.where(F.col("word").isin(*words) if words else F.lit(False)).collect()}  # at most the query's words
+    stemmer = STEMMERS.get(language, lambda w: w)
+    return " ".join(stemmer(w) for w in query_tokens(text) if w not in stop)
+
+
+def resolve_table(tables: DataFrame, workspace: str, table_id: int | None = None, collection: str | None = None) -> int | None:
+    """The table that a search is on: an explicit id that is 1 or of the workspace, else the least id of the collection's name there, else 1.
+
+    An id of another workspace, an unknown collection and an empty name give None.
+    """
+    mine = tables.where(F.col("workspace_id") == workspace)
+    if table_id is not None:
+        return table_id if table_id == 1 or not mine.where(F.col("table_id") == table_id).isEmpty() else None
+    if collection is not None:
+        return mine.where(F.col("table_name") == collection).agg(F.min("table_id")).first()[0] if collection else None
+    return 1
+
+
 def build_index(documents: DataFrame, doc: str = "doc_id", text: str = "text", stopwords: DataFrame | None = None) -> Index:
     """Postings of all documents with at least one token; ``stopwords`` (word) removes words by an anti-join.
 
@@ -326,11 +394,47 @@ def vector_similarity(a: Column, b: Column, metric: str = "cosine") -> Column:
     raise ValueError(f"unknown metric {metric}")
 
 
-def nearest(vectors: DataFrame, key: str, column: str, query: list[float], limit: int = 10, metric: str = "cosine") -> DataFrame:
-    """(key, similarity) of the vectors of the query's length, best first, ties by key: exact, by one scan."""
+def nearest(vectors: DataFrame, key: str | list[str], column: str, query: list[float], limit: int = 10, metric: str = "cosine") -> DataFrame:
+    """(key, similarity) of the vectors of the query's length, best first, ties by key: exact, by one scan. Chunks have a key of two."""
     q = F.array(*[F.lit(float(x)) for x in query])
-    rows = vectors.where(F.size(column) == len(query)).select(key, vector_similarity(F.col(column), q, metric).alias("similarity"))
-    return rows.orderBy(F.desc("similarity"), key).limit(limit)
+    keys = [key] if isinstance(key, str) else key
+    rows = vectors.where(F.size(column) == len(query)).select(*keys, vector_similarity(F.col(column), q, metric).alias("similarity"))
+    return rows.orderBy(F.desc("similarity"), *keys).limit(limit)
+
+
+def upsert_embeddings(vectors: DataFrame, changes: DataFrame, keys: list[str], seq: str) -> DataFrame:
+    """The table of vectors after changes: of a key's changes the last by ``seq`` counts; a null vector deletes the key."""
+    rest = [c for c in vectors.columns if c not in keys]
+    last = changes.groupBy(*keys).agg(F.max_by(F.struct(*rest), seq).alias("_r")).select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest])
+    vector = next(c for c in rest if isinstance(vectors.schema[c].dataType, (T.ArrayType, T.BinaryType)))
+    return vectors.join(last.select(*keys), keys, "left_anti").unionByName(last.where(F.col(vector).isNotNull()).select(*vectors.columns))
+
+
+def contextual_search(
+    chunks: DataFrame, text: str, limit: int = 20, vectors: DataFrame | None = None, query: list[float] | None = None, weight: float = 0.5, around: int = 1
+) -> DataFrame:
+    """(doc_id, chunk_index, score, content, context): the best chunks by BM25, fused with vectors where they are given, each with its context.
+
+    ``chunks`` has doc_id, chunk_index and content, ``vectors`` doc_id, chunk_index and values. context is the content of up to ``around``
+    chunks on either side, in order, with the chunk's own. As models aren't called, the context comes from the document itself.
+    """
+    one = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.col("chunk_index").cast("long").alias("chunk_index"))
+    keyed = chunks.select(F.to_json(one).alias("doc_id"), F.col("content").alias("text"))
+    index = Index(materialize(build_index(keyed).postings, "postings"))
+    if vectors is None or query is None:
+        found = bm25_search(index, text, limit).select("doc_id", "score")
+    else:
+        near = nearest(vectors.select(F.to_json(one).alias("doc_id"), "values"), "doc_id", "values", query, min(1000, 4 * limit))
+        found = fuse(bm25_search(index, text, None), near, weight, limit).select("doc_id", F.col("combined").alias("score"))
+    key = F.from_json("doc_id", "doc_id long, chunk_index long")
+    found = materialize(found.select(key["doc_id"].alias("doc_id"), key["chunk_index"].alias("chunk_index"), "score"), "found")
+    wanted = found.select("doc_id", "chunk_index", F.explode(F.sequence(F.col("chunk_index") - around, F.col("chunk_index") + around)).alias("at"))
+    parts = chunks.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("chunk_index").cast("long").alias("at"), "content")
+    near = wanted.join(parts, ["doc_id", "at"]).groupBy("doc_id", "chunk_index").agg(
+        F.max(F.when(F.col("at") == F.col("chunk_index"), F.col("content"))).alias("content"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "content"))), lambda x: x["content"]), "\n").alias("context"),
+    )
+    return found.join(near, ["doc_id", "chunk_index"]).orderBy(F.desc("score"), "doc_id", "chunk_index")
 
 
 def without_embedding(documents: DataFrame, vectors: DataFrame, key: str, limit: int | None = None) -> DataFrame:

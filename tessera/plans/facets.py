@@ -176,3 +176,11 @@ def facet_bitmaps(spark, d):
     """Cardinalities of the postings as bitmaps."""
     made = fa.bitmaps(document_facets(spark, d))
     return made.groupBy("facet_name", "facet_value").agg(F.sum("cardinality").alias("cardinality"))
+
+
+@query(f"""WITH {ASSIGNED}, hit AS (SELECT doc_id, 'doc.' || facet_name AS facet_name, facet_value FROM asg WHERE facet_name IN ('source', 'lang') AND contains(lower(facet_value), 'e'))
+SELECT doc_id, min({{'a': facet_name, 'b': facet_value}}).a AS facet_name, min({{'a': facet_name, 'b': facet_value}}).b AS facet_value FROM hit GROUP BY doc_id""")
+def facet_search_values(spark, d):
+    """The documents with a source or language that has an E in it, each by its least value."""
+    named = document_facets(spark, d).where("facet_name in ('source', 'lang')").withColumn("facet_name", F.concat(F.lit("doc."), "facet_name"))
+    return fa.search_values(named, namespace="doc", value="E", limit=None)

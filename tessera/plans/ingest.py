@@ -202,3 +202,37 @@ def ontology_taxonomy_facets(spark, d):
 SELECT 'tax_' || id AS id, workspace_id AS scope, content, 0.8 AS weight FROM v WHERE schema_id = 'tech:term'""")
 def ontology_taxonomy_projections(spark, d):
     return on.taxonomy_projections(valid_facts(spark, d), "agent_a", "tech:term").select("id", "scope", "content", "weight")
+
+
+@query("""WITH m AS (SELECT make_timestamp((epoch_us(min(updated_at)) + epoch_us(max(updated_at))) // 2) AS m FROM documents_raw), d AS (SELECT DISTINCT doc_id, content, updated_at FROM documents_raw WHERE doc_id IS NOT NULL),
+old AS (SELECT doc_id, updated_at AS u, content AS c FROM d, m WHERE updated_at <= m QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY updated_at DESC) = 1),
+new AS (SELECT doc_id, updated_at AS u, content AS c FROM d, m WHERE updated_at > m QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY updated_at DESC) = 1)
+SELECT CASE WHEN old.doc_id IS NULL THEN 'new' WHEN old.c IS NOT DISTINCT FROM new.c THEN 'same' ELSE 'changed' END AS change, count(*) AS n FROM new LEFT JOIN old USING (doc_id) GROUP BY 1""")
+def ingest_delivery(spark, d):
+    """What the later half of the deliveries changes, in one step."""
+    raw = t(spark, d, "documents_raw")
+    half = raw.selectExpr("timestamp_micros((unix_micros(min(updated_at)) + unix_micros(max(updated_at))) div 2) as m").first()[0]
+    step = ing.ingest_documents(raw.where(F.col("updated_at") <= half), raw.where(F.col("updated_at") > half))
+    return step["report"].groupBy("change").agg(F.count("*").alias("n"))
+
+
+@query("""WITH n AS (SELECT min(doc_nanoid) AS n FROM documents_raw WHERE doc_nanoid <> '')
+SELECT workspace_id, collection_id, doc_id FROM documents_raw WHERE doc_nanoid = (SELECT n FROM n) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY updated_at DESC, loaded_at DESC) = 1""")
+def ingest_lookup_nanoid(spark, d):
+    """The document of a public id."""
+    raw = t(spark, d, "documents_raw")
+    return ing.lookup_nanoid(raw, raw.where("doc_nanoid != ''").agg(F.min("doc_nanoid")).first()[0])
+
+
+@query("""WITH e AS (SELECT workspace_id AS ontology_id, lower(trim(table_name)) AS type_name FROM table_semantics WHERE table_name IS NOT NULL),
+c AS (SELECT workspace_id AS ontology_id, lower(trim(table_name)) AS type_name, count(*) AS n FROM column_semantics GROUP BY ALL),
+g AS (SELECT DISTINCT workspace_id AS ontology_id, edge_type AS type_name FROM relation_semantics WHERE edge_type IS NOT NULL), r AS (SELECT workspace_id AS ontology_id, edge_type AS type_name, count(*) AS n FROM relation_semantics GROUP BY ALL)
+SELECT DISTINCT ontology_id, 'entity' AS kind, type_name, coalesce(n, 0) AS n FROM e LEFT JOIN c USING (ontology_id, type_name)
+UNION ALL SELECT ontology_id, 'edge', type_name, coalesce(n, 0) FROM g LEFT JOIN r USING (ontology_id, type_name)""")
+def ontology_inspect(spark, d):
+    """The catalogue's tables as types, with the columns of each; edge types with their relations."""
+    fold = F.lower(F.trim("table_name")).alias("entity_type")
+    types = t(spark, d, "table_semantics").where("table_name is not null").select(F.col("workspace_id").alias("ontology_id"), fold)
+    cols = t(spark, d, "column_semantics").select(F.col("workspace_id").alias("ontology_id"), fold)
+    rel = t(spark, d, "relation_semantics").select(F.col("workspace_id").alias("ontology_id"), "edge_type")
+    return on.inspect_ontology(types, rel.where("edge_type is not null"), cols, rel)

@@ -219,3 +219,53 @@ def facet_counts_near_vector(spark, d):
     vectors = t(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     near = se.nearest(vectors, "doc_id", "embedding", _query_vector(spark, d), 50)
     return fa.facet_counts(document_facets(spark, d), "lang", near)
+
+
+@query(f"""WITH {POSTINGS} SELECT term, ndoc, nentry FROM dfs WHERE term NOT IN ('de', 'la', 'the', 'of')""")
+def search_language_config(spark, d):
+    """Term statistics by a text configuration with stop words of its own."""
+    words = spark.createDataFrame([(" De ",), ("la",), ("The",), ("of",), ("",)], "word string")
+    table = se.delete_stopwords(se.import_stopwords(se.import_stopwords(None, words, "spanish"), words, "french"), "french")
+    return se.configured_index(t(spark, d, "documents"), "spanish", stopwords=table).terms
+
+
+_VALID = """valid AS (SELECT doc_id, chunk_index, content, doc_id * 100000 + chunk_index AS k FROM chunks_raw WHERE doc_id IS NOT NULL AND chunk_index IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY doc_id, chunk_index ORDER BY loaded_at DESC, content DESC) = 1)"""
+_CHUNKS = _scores(_EXACT).replace("unnest(" + _TOK + ") AS term FROM documents", "unnest(" + _TOK + ") AS term FROM (SELECT k AS doc_id, content AS text FROM valid)")
+
+
+@query(f"""WITH {_VALID}, {_CHUNKS}, best AS (SELECT v.doc_id, v.chunk_index, score, content FROM bm JOIN valid v ON v.k = bm.doc_id ORDER BY score DESC, v.doc_id, v.chunk_index LIMIT 20)
+SELECT b.doc_id, CAST(b.chunk_index AS BIGINT) AS chunk_index, round(score, 6) AS score, md5(b.content) AS content, md5(string_agg(n.content, chr(10) ORDER BY n.chunk_index)) AS context
+FROM best b JOIN valid n ON n.doc_id = b.doc_id AND n.chunk_index BETWEEN b.chunk_index - 1 AND b.chunk_index + 1 GROUP BY ALL""")
+def search_contextual(spark, d):
+    """The twenty best chunks with those beside them (a top-k report)."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("doc_id", "chunk_index").orderBy(F.desc("loaded_at"), F.desc("content"))
+    chunks = t(spark, d, "chunks_raw").where("doc_id is not null and chunk_index is not null").withColumn("_r", F.row_number().over(w)).where("_r = 1")
+    out = se.contextual_search(materialize(chunks.select("doc_id", "chunk_index", "content"), "chunks"), TEXT, 20)
+    return out.select("doc_id", "chunk_index", F.round("score", 6).alias("score"), F.md5("content").alias("content"), F.md5("context").alias("context"))
+
+
+@query(f"""WITH {_Q}, c AS (SELECT vec_id AS doc_id, vec_id % 3 AS chunk_index, embedding FROM embeddings)
+SELECT doc_id, chunk_index, round({_SIM["cosine"]}, 6) AS similarity FROM c, q ORDER BY {_SIM["cosine"]} DESC, doc_id, chunk_index LIMIT 10""")
+def vector_chunks(spark, d):
+    """The nearest chunks, which have a key of two columns (a top-k report)."""
+    rows = t(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), (F.col("vec_id") % 3).alias("chunk_index"), "embedding")
+    return se.nearest(rows, ["doc_id", "chunk_index"], "embedding", _query_vector(spark, d), 10).withColumn("similarity", F.round("similarity", 6))
+
+
+@query("""SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN 1 ELSE len(embedding) END AS size FROM embeddings WHERE vec_id % 11 <> 0""")
+def vector_upsert(spark, d):
+    """Every seventh vector replaced, every eleventh deleted."""
+    rows = t(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    early = rows.where("vec_id % 7 = 0").select("vec_id", F.array(F.lit(0.0), F.lit(1.0)).alias("v"), F.lit(1).alias("seq"))
+    late = rows.where("vec_id % 7 = 0").select("vec_id", F.array(F.lit(2.0)).alias("v"), F.lit(2).alias("seq"))
+    gone = rows.where("vec_id % 11 = 0").select("vec_id", F.lit(None).cast("array<double>").alias("v"), F.lit(3).alias("seq"))
+    return se.upsert_embeddings(rows, early.unionByName(late).unionByName(gone), ["vec_id"], "seq").select("vec_id", F.size("v").alias("size"))
+
+
+@query(f"WITH {POSTINGS} SELECT (SELECT count(*) FROM lens) AS documents, (SELECT count(*) FROM dfs) AS terms, (SELECT count(*) FROM post) AS postings")
+def search_snapshot(spark, d):
+    """The size of the index."""
+    return fresh(spark, d).snapshot()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import chunking as ch
+from ..operators import search as se
 from ..operators import textprep as tp
 from ..runtime import table as t
 from .registry import query
@@ -152,3 +153,31 @@ def text_source_extensions(spark, d):
     rows = t(spark, d, "documents_raw").where("source_ref is not null").select("doc_id", "source_ref", F.lit(0).alias("chunk_index"), F.lit("none").alias("strategy"))
     facets = ch.source_facets(rows, "doc_id", "source_ref").where("facet_name = 'extension'")
     return facets.groupBy(F.col("facet_value").alias("extension")).agg(F.count("*").alias("n"))
+
+
+_SENTENCES = r"""s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(text, '([.!?])([ \t\r\n])', '\1' || chr(1) || '\2', 'g'), '\n\n', chr(10) || chr(1) || chr(10), 'g'),
+  '\n\n', chr(10) || chr(1) || chr(10), 'g'), chr(1)), lambda c: trim(c, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), lambda c: c <> '') AS l FROM documents WHERE text IS NOT NULL),
+sent AS (SELECT doc_id, i, l[i + 1] AS content, length(l[i + 1]) % 3 < 2 AS kind FROM (SELECT doc_id, l, unnest(range(len(l))) AS i FROM s))"""
+
+
+@query(f"""WITH RECURSIVE {_SENTENCES}, w AS (SELECT doc_id, i, kind, 1 AS n, 0 AS run FROM sent WHERE i = 0
+  UNION ALL SELECT t.doc_id, t.i, t.kind, CASE WHEN t.kind = w.kind AND n < 4 THEN n + 1 ELSE 1 END, CASE WHEN t.kind = w.kind AND n < 4 THEN run ELSE run + 1 END FROM w JOIN sent t ON t.doc_id = w.doc_id AND t.i = w.i + 1)
+SELECT doc_id, run AS chunk_index, CAST(sum({_TOKENS.replace("(text,", "(content,")}) AS BIGINT) AS token_count FROM w JOIN sent USING (doc_id, i) GROUP BY ALL""")
+def chunk_semantic(spark, d):
+    """Runs of up to four sentences whose vectors are alike; the vectors here follow from the sentences' lengths."""
+    docs = t(spark, d, "documents").select("doc_id", "text")
+    axis = F.when(F.length("content") % 3 < 2, F.array(F.lit(1.0), F.lit(0.0))).otherwise(F.array(F.lit(0.0), F.lit(2.0)))
+    vectors = ch.sentence_table(docs, "doc_id", "text").select("doc_id", F.col("chunk_index").alias("sentence_index"), axis.alias("values"))
+    return ch.semantic_chunks(docs, "doc_id", "text", vectors, 0.5, 2**31 - 1, 4).select("doc_id", "chunk_index", "token_count")
+
+
+@query(f"""WITH n AS (SELECT doc_id, {_TOKENS} AS n FROM documents WHERE text <> ''), tok AS (SELECT doc_id, n, unnest(range(n)) AS i FROM n),
+win AS (SELECT doc_id, 0 AS chunk_index, i FROM tok UNION ALL
+  SELECT doc_id, w + 1, i FROM (SELECT doc_id, n, i, unnest(range(greatest(1, CAST(ceil((n - 32) / 224.0) AS BIGINT)))) AS w FROM tok) WHERE i >= w * 224 AND i < w * 224 + 256)
+SELECT doc_id, CAST(chunk_index AS INT) AS chunk_index, round(avg(i % 5), 6) AS a, round(avg(i), 6) AS b FROM win GROUP BY ALL""")
+def chunk_late_vectors(spark, d):
+    """The windows' vectors from those of their tokens, which here follow from the tokens' places."""
+    docs = t(spark, d, "documents").where("text != ''").select("doc_id", F.posexplode(se.tokens(F.col("text"))).alias("token_index", "t"))
+    vectors = docs.select("doc_id", "token_index", F.array((F.col("token_index") % 5).cast("double"), F.col("token_index").cast("double")).alias("values"))
+    out = ch.late_vectors(vectors, "doc_id")
+    return out.select("doc_id", "chunk_index", F.round(F.col("values")[0], 6).alias("a"), F.round(F.col("values")[1], 6).alias("b"))
