@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,11 +45,32 @@ def parse(text: str) -> dict[str, tuple[list[str], list[list[str]]]]:
 
 
 def read_toon(spark: SparkSession, path: str, table: str | None = None) -> DataFrame:
-    """One table of a TOON file, all cells as text (the first unless named). Such a file is one document and read whole."""
-    text = "\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect())
-    tables = parse(text)
-    cols, rows = tables[table] if table is not None else next(iter(tables.values()))
-    return spark.createDataFrame(rows, ", ".join(f"`{c}` string" for c in cols))
+    """One table of the TOON files at a path, all cells as text (the first of each file unless named).
+
+    A file is one document and parsed whole by one task, so files, not their rows, are spread over the executors; the driver reads one
+    file's head for the columns. Files without the named table have no rows; files whose table has other columns fail.
+    """
+    files = spark.read.text(path, wholetext=True)
+    heads = files.select(F.regexp_extract_all("value", F.lit(r"(?m)^[ \t]*([\w.-]*\[\d+\]\{[^}\n]*\}:)[ \t]*$"), F.lit(1)).alias("h"))
+    name = F.lit("" if table is None else table)
+    wanted = F.filter("h", lambda h: F.substring_index(h, "[", 1) == name) if table is not None else F.slice("h", 1, 1)
+    head = heads.select(wanted.alias("h")).where(F.size("h") > 0).select(F.col("h")[0]).first()
+    if head is None:
+        raise KeyError(f"no table {table or ''} in {path}")
+    cols = [c.strip() for c in _HEAD.match(head[0])[3].split(",") if c.strip()]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for text in b.column(0).to_pylist():
+                tables = parse(text)
+                got, body = tables.get(table, (cols, [])) if table is not None else next(iter(tables.values()), (cols, []))
+                if got != cols:
+                    raise ValueError(f"a file has the columns {got}, another {cols}")
+                for at in range(0, len(body), 10_000):
+                    part = list(zip(*body[at : at + 10_000]))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in part], names=cols)
+
+    return files.mapInArrow(rows, ", ".join(f"`{c}` string" for c in cols))
 
 
 def _render(value) -> str:
