@@ -5,9 +5,10 @@ Words are stemmed once per distinct word of a batch, as vocabularies are small a
 
 from __future__ import annotations
 
+import importlib
 import re
 from collections.abc import Callable
-from functools import lru_cache
+from functools import cache, lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -204,8 +205,16 @@ def stem(word: Column, language: str) -> Column:
     """The stem of each word; of a language without a stemmer here the word itself."""
     if language not in STEMMERS:
         return word
-    cached = lru_cache(1 << 16)(STEMMERS[language])
-    udf = F.pandas_udf(lambda s: s.map(lambda x: None if x is None else cached(x)), T.StringType())
-    return udf(word)
+
+    def run(words: pd.Series) -> pd.Series:
+        stemmer = importlib.import_module("tessera.functions.stemming").cached(language)  # the executor's own, with its cache
+        return words.map(lambda x: None if x is None else stemmer(x))
+
+    return F.pandas_udf(run, T.StringType())(word)
+
+
+@cache
+def cached(language: str) -> Callable[[str], str]:
+    return lru_cache(1 << 16)(STEMMERS[language])
 
 

@@ -58,6 +58,11 @@ class Index:
     def __init__(self, postings: DataFrame):
         self.postings = postings
 
+    @property
+    def measured(self) -> DataFrame:
+        """The postings, with doc_length where that is stored with them."""
+        return self.postings
+
     @property
     def documents(self) -> DataFrame:
         """(doc_id, doc_length, unique_terms)"""
@@ -104,8 +109,10 @@ class StoredIndex(Index):
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
         read = lambda name: spark.read.parquet(f"{self.folder}/{name}")
-        self._rows, self._documents, self._terms, self.trigrams = (read(n) for n in ("postings", "documents", "terms", "trigrams"))
-        super().__init__(self._rows.drop("bucket"))
+        schema = read("like").schema.add("bucket", "integer")  # an empty index has no files of postings
+        self._rows = spark.read.schema(schema).parquet(f"{self.folder}/postings")
+        self._documents, self._terms, self.trigrams = (read(n) for n in ("documents", "terms", "trigrams"))
+        super().__init__(self._rows.select("doc_id", "term", "tf"))
         meta = read("meta").first()
         self.buckets, self._stats = meta["buckets"], (meta["n"], meta["avgdl"] or 1.0)
 
@@ -119,7 +126,8 @@ class StoredIndex(Index):
         kept = index.postings.select("doc_id", "term", "tf").join(documents.select("doc_id", "doc_length"), "doc_id").withColumn("bucket", bucket)
         kept = kept.repartition("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(8))).sortWithinPartitions("bucket", "term", "doc_id")
         kept.write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
-        base = Index(spark.read.parquet(f"{folder}/postings"))
+        kept.drop("bucket").limit(0).coalesce(1).write.mode("overwrite").parquet(f"{folder}/like")
+        base = Index(spark.read.schema(kept.schema).parquet(f"{folder}/postings"))
         base.terms.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/terms")
         words = spark.read.parquet(f"{folder}/terms").select("term", trigrams(F.col("term")).alias("t"))
         pairs = words.select("term", F.size("t").cast("int").alias("n"), F.explode("t").alias("trigram"))
@@ -128,6 +136,10 @@ class StoredIndex(Index):
         meta.write.mode("overwrite").parquet(f"{folder}/meta")
         return cls(spark, folder)
 
+    @property
+    def measured(self) -> DataFrame:
+        return self._rows.drop("bucket")
+
     @property
     def documents(self) -> DataFrame:
         return self._documents
@@ -141,7 +153,7 @@ class StoredIndex(Index):
 
     def lookup(self, words: list[str]) -> DataFrame:
         if not words:
-            return self.postings.limit(0)
+            return self.measured.limit(0)
         wanted = sorted({zlib.crc32(w.encode()) % self.buckets for w in words})
         return self._rows.where(F.col("bucket").isin(*wanted) & F.col("term").isin(*words)).drop("bucket")
 
@@ -312,8 +324,8 @@ def term_scores(
     matched terms, where they are known.
     """
     n, avgdl = index.stats()
-    hit = (index.postings if postings is None else postings).join(matched, "term")
-    if "doc_length" in index.postings.columns:  # a stored index has lengths with the postings, and counts by term
+    hit = (index.measured if postings is None else postings).join(matched, "term")
+    if "doc_length" in hit.columns:  # a stored index has lengths with the postings, and counts by term
         scored = hit.join(index.terms.select("term", "ndoc").join(matched.select("term"), "term", "left_semi"), "term")
     else:
         hit = materialize(hit, "hits")

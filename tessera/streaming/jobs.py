@@ -33,8 +33,8 @@ class Versions:
     """A table in buckets by a hash of its key, in a folder with one version for each micro-batch that changed it.
 
     A version holds only the buckets that its batch touched, so a batch costs what it changes, not the whole table. Reading takes each bucket
-    from the last version that has it. Versions that no bucket is read from are removed once ``keep`` later ones are there (never with
-    None); until then a batch that runs again finds the state it began with. Reading needs no key.
+    from the last version that has it. Versions that no bucket is read from are removed, but not for the sake of the last ``keep``
+    ones (never with None), so that a batch that runs again finds the state it began with. Reading needs no key.
     """
 
     def __init__(self, spark: SparkSession, folder: str, key: list[str] | None = None, buckets: int = 64, keep: int | None = 8):
@@ -93,10 +93,12 @@ class Versions:
         self._clean(number)
 
     def _clean(self, number: int) -> None:
-        """Remove versions older than ``keep`` ones that later versions have replaced in every bucket."""
+        """Remove versions that are replaced in every bucket by later ones, not counting the last ``keep``, whose batches may run again."""
         seen: set[int] = set()
         for i, (n, buckets) in enumerate(self._touched(number + 1).items()):
-            if self.keep is not None and i >= self.keep and set(buckets) <= seen:
+            if self.keep is None or i < self.keep:
+                continue
+            if set(buckets) <= seen:
                 self._fs().delete(self._path(f"v{n}"), True)
             seen |= set(buckets)
 

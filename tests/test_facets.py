@@ -66,3 +66,13 @@ def test_bitmaps_and_hierarchy(spark, assigned, rows):
     assert rows(fa.children_of(parents, "region", "World")) == {("US",), ("EU",)}
     assert ("region", "World", "US", 3) in rows(fa.hierarchical_counts(assigned, parents))
     assert rows(fa.drop_facets(assigned, ["tags"]).where("facet_name = 'tags'")) == set()
+
+
+def test_search_values(spark, rows):
+    data = [(1, "doc.lang", "English"), (1, "doc.source", "Gent"), (2, "doc.lang", "dutch"), (3, "geo.city", "GENT"), (4, "doc.lang", None)]
+    asg = spark.createDataFrame(data, "doc_id long, facet_name string, facet_value string")
+    assert rows(fa.search_values(asg, value="gEn")) == {(1, "doc.source", "Gent"), (3, "geo.city", "GENT")}
+    assert rows(fa.search_values(asg, "doc", "lang")) >= {(1, "doc.lang", "English"), (2, "doc.lang", "dutch")}
+    assert [r["doc_id"] for r in fa.search_values(asg, dimension="city").collect()] == [3]
+    assert [r["doc_id"] for r in fa.search_values(asg, "doc", value="h", limit=1).collect()] == [1]
+    assert fa.search_values(asg.limit(0)).collect() == []

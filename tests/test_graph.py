@@ -150,3 +150,58 @@ def test_lookups_and_changes(spark, ents, rels, rows):
     aliases = spark.createDataFrame([("pg", 3, 0.9), ("pg", 5, 0.9), ("pg", 4, 0.1)], "term string, entity_id long, confidence double")
     assert rows(g.resolve_terms(aliases, ents, ["pg"], 0.5)) == {("pg", 3, 0.9)}
     assert rows(g.resolve_terms(aliases, ents, [])) == set()
+
+
+def test_components_need_no_limit_of_rounds(spark):
+    """A path of 2^12 nodes in order is one component."""
+    n = 2**12
+    edges = spark.range(1, n).selectExpr("id as relation_id", "'r' as relation_type", "id as source_id", "id + 1 as target_id", "cast(null as long) as deprecated_at")
+    assert g.components(edges).groupBy("component").count().collect() == [(1, n)]
+    assert g.components(edges.limit(0)).collect() == []
+
+
+def test_paths_from_both_ends(spark):
+    """Against breadth-first search from one end, on a random graph."""
+    import random
+
+    rng = random.Random(5)
+    edges = [(i, "r", rng.randrange(60), rng.randrange(60), None, None, 1.0, None) for i in range(70)]
+    near: dict[int, set[int]] = {}
+    for _, _, a, b, *_ in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    rels = spark.createDataFrame(edges, R).cache()
+    by_id = {e[0]: {e[2], e[3]} for e in edges}
+    for a, b in [(rng.randrange(60), rng.randrange(60)) for _ in range(8)]:
+        depth, level, seen = 0, {a}, {a}
+        while level and b not in seen:
+            level = {y for x in level for y in near.get(x, ())} - seen
+            seen |= level
+            depth += 1
+        want = depth if b in seen else None
+        path = g.shortest_path(rels, a, b, 20)
+        assert (None if path is None else len(path)) == want
+        assert all({x["from"], x["to"]} == by_id[x["relation_id"]] for x in path or [])
+        if path:
+            assert path[0]["from"] == a and path[-1]["to"] == b and all(x["to"] == y["from"] for x, y in zip(path, path[1:]))
+            assert g.shortest_path(rels, a, b, len(path) - 1) is None
+
+
+def test_large_levels_are_written(spark, monkeypatch, rows):
+    edges = [(i, "r", 0, i, None, None, 1.0, None) for i in range(1, 40)] + [(i + 100, "r", i, i + 100, None, None, 1.0, None) for i in range(1, 40)]
+    rels = spark.createDataFrame(edges, R)
+    plain = rows(g.k_hops(rels, seed(spark, 0), 2))
+    monkeypatch.setattr(g, "SMALL_LEVEL", 3)
+    assert rows(g.k_hops(rels, seed(spark, 0), 2)) == plain and len(plain) == 79
+
+
+def test_lists_come_in_blocks(spark):
+    edges = spark.createDataFrame([(i, "r", 1, i, None, None, 1.0, None) for i in range(2, 102)], R)
+    got = [r for r in g.adjacency(edges, 10).collect() if r["entity_id"] == 1]
+    assert len(got) == 10 and sorted(x for r in got for x in r["relation_ids"]) == list(range(2, 102))
+    assert all(r["relation_ids"] == sorted(r["relation_ids"]) for r in got)
+    assert {r["block"] for r in g.adjacency(edges).collect()} == {0}
+
+
+def test_edge_filters_without_effect(rels, rows):
+    assert rows(g.filter_edges(rels, g.EdgeFilter(doc_types=["law"], jurisdictions=["be"]))) == rows(g.filter_edges(rels))

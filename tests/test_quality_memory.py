@@ -142,3 +142,73 @@ def test_agent_projections(spark):
     assert ids(me.materialize_pack(p, "x")) == ["b", "c", "a"]
     assert ids(me.materialize_projections(p, "x", source_refs=[])) == []
     assert me.projection_relevance(p, "x", "beta", "alpha", workspace="w").first()[0] == pytest.approx(0.5)
+
+
+def spans(spark, data):
+    return spark.createDataFrame([(i, "owns", 1, t, b, e, 0.9, None) for i, t, b, e in data], R)
+
+
+def test_a_further_relation_hides_no_overlap(spark, rows):
+    three = spans(spark, [(1, 1, 0, 100), (2, 2, 0, 50), (3, 1, 10, 20)])
+    assert rows(qu.overlap_conflicts(three, ["owns"])) == {(2, 1), (3, 2)}
+    assert rows(qu.overlap_conflicts(three.where("relation_id != 1"), ["owns"])) == {(3, 2)}
+    assert rows(qu.overlap_pairs(three, ["owns"])) == {(1, 2, "different_target"), (1, 3, "same_target"), (2, 3, "different_target")}
+
+
+def test_overlaps_against_brute_force(spark, rows):
+    import random
+
+    rng = random.Random(9)
+    data = [(i, rng.randrange(4), rng.choice([None, rng.randrange(60)]), None) for i in range(60)]
+    data = [(i, t, b, rng.choice([None, (b or 0) + rng.randrange(12)])) for i, t, b, _ in data]
+    lo = lambda x: -(2**62) if x is None else x
+    hi = lambda x: 2**62 if x is None else x
+    want = {
+        i
+        for i, t, b, e in data
+        if any(t2 != t and (lo(b2), i2) < (lo(b), i) and hi(e2) >= lo(b) for i2, t2, b2, e2 in data)
+    }
+    got = rows(qu.overlap_conflicts(spans(spark, data), ["owns"]))
+    assert {r[0] for r in got} == want and len(got) == len(want)
+
+
+def test_intervals_and_granularity(spark, rows):
+    assert rows(qu.invalid_intervals(spans(spark, [(1, 1, 5, 4), (2, 1, 5, 5), (3, 1, None, 0), (4, 1, 5, None)])).select("relation_id")) == {(1,)}
+    ents = spark.createDataFrame([(1, "unit", "a", 1.0, None, None), (5, "country", "x", 1.0, None, None), (6, "city", "y", 1.0, None, None), (7, "city", "z", 1.0, None, None)], E)
+    tree = spark.createDataFrame([("city", "country"), ("country", None)], "entity_type string, parent_type string")
+    got = qu.granularity_conflicts(spans(spark, [(1, 5, None, None), (2, 6, None, None), (3, 7, None, None), (4, 5, None, None)]), ents, tree)
+    assert rows(got.select("relation_id", "coarse_relation_id", "n_coarse")) == {(2, 1, 2), (3, 1, 2)}
+    assert qu.granularity_conflicts(spans(spark, []), ents, tree).collect() == []
+
+
+def test_decisions_on_actions(spark, rows):
+    found = spark.createDataFrame([("w", "gap", "high", 0.9), ("w", "gap", "high", 0.9), ("v", "gap", "low", 0.5)], "workspace_id string, issue_type string, severity string, confidence double")
+    one = qu.propose_actions(None, found, "r1", 10)
+    assert one.count() == 2
+    two = qu.propose_actions(one, found, "r2", 20)
+    assert rows(two.select("run_id")) == {("r1",)} and two.count() == 2
+    ids = {r["workspace_id"]: r["action_id"] for r in one.collect()}
+    say = lambda *x: spark.createDataFrame([(*y, None) for y in x], "action_id string, decision string, actor string, note string")
+    decided = qu.decide_actions(two, say((ids["w"], "approved", "me"), (ids["v"], "rejected", "me")), 30)
+    assert rows(decided.select("workspace_id", "status", "decided_at")) == {("w", "approved", 30), ("v", "rejected", 30)}
+    done = qu.record_results(decided, spark.createDataFrame([(ids["w"], "applied", None)], "action_id string, status string, result_json string"), 40)
+    assert rows(done.select("workspace_id", "status", "applied_at", "result_json")) == {("w", "applied", 40, "{}"), ("v", "rejected", None, "{}")}
+    late = qu.decide_actions(done, say((ids["w"], "rejected", "you")), 50)
+    assert rows(late.select("workspace_id", "status")) == {("w", "applied"), ("v", "rejected")}
+    assert [r["workspace_id"] for r in qu.list_actions(done, "r1").collect()] == ["v", "w"] and qu.list_actions(done, "r1", "applied").count() == 1
+    assert rows(qu.list_runs(done).select("workspace_id", "n_actions", "n_open")) == {("w", 1, 0), ("v", 1, 0)}
+    for bad in (lambda: qu.decide_actions(done, say((ids["w"], "maybe", "me")), 1), lambda: qu.record_results(done, spark.createDataFrame([(ids["w"], "odd", None)], "action_id string, status string, result_json string"), 1)):
+        with pytest.raises(Exception, match="decision|status"):
+            bad().collect()
+
+
+def test_coverage_of_a_domain_and_decay(spark, rows):
+    facts = spark.createDataFrame([("w", "s", "x", "{}"), ("w", "s", "y", "{}"), ("v", "s", "x", "{}")], "workspace_id string, schema_id string, content string, facets_json string")
+    ents = spark.createDataFrame([("w", 1, "x", "t", None), ("w", 2, "y label", "t", None)], "workspace_id string, entity_id long, name string, entity_type string, deprecated_at long")
+    spaces = spark.createDataFrame([("w", "law", None), ("v", "law", None), ("law2", None, "L")], "workspace_id string, domain string, label string")
+    assert rows(qu.coverage_by_domain(facts, ents, spaces, "w", ("s",))) == {("w", 1, 2, 0.5)}
+    assert rows(qu.coverage_by_domain(facts, ents, spaces, "law", ("s",))) == {("v", 0, 1, 0.0)}
+    assert qu.coverage_by_domain(facts, ents, spaces, "nobody", ("s",)).collect() == []
+    gaps = spark.createDataFrame([("w", "y", "y label", "t", "normal"), ("w", "z", "z", "t", "normal")], "workspace_id string, id string, label string, entity_type string, criticality string")
+    decayed = spark.createDataFrame([(2, 0.4)], "entity_id long, decayed double")
+    assert rows(qu.decayed_gaps(gaps, ents, decayed).select("id", "decayed_confidence")) == {("y", 0.4), ("z", None)}

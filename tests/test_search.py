@@ -80,3 +80,54 @@ def test_stored_index(spark, index, rows, tmp_path):
     plan = stored.lookup(["graph"])._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [bucket" in plan.replace("isnotnull(bucket#", "bucket#") or "PartitionFilters: [" in plan
     assert "In(term, [graph])" in plan or "EqualTo(term,graph)" in plan
+
+
+def test_stems():
+    from tessera.functions.stemming import dutch, english, german
+
+    known = {"consistency": "consist", "knightly": "knight", "relational": "relat", "hoping": "hope", "hopping": "hop", "ties": "tie", "cries": "cri", "generously": "generous", "skies": "sky", "roll": "roll", "a": "a"}
+    assert {w: english(w) for w in known} == known
+    known = {"aufeinander": "aufeinand", "häusern": "haus", "kategorischen": "kategor", "regierungen": "regier", "ergebnisse": "ergebnis"}
+    assert {w: german(w) for w in known} == known
+    known = {"lichamelijke": "licham", "opheffing": "opheff", "mogelijkheden": "mogelijk", "maan": "man"}
+    assert {w: dutch(w) for w in known} == known
+
+
+def test_text_configurations(spark, rows):
+    docs = spark.createDataFrame([(1, "The owners were searching"), (2, "an owner searches"), (3, None), (4, "")], "doc_id long, text string")
+    index = se.configured_index(docs, "english")
+    assert rows(index.terms) == {("owner", 2, 2), ("search", 2, 2)}
+    assert se.configured_query(spark, "the OWNERS searched", "english") == "owner search"
+    assert rows(se.matching_documents(index, se.configured_query(spark, "Owning searches", "english"))) == {(1,), (2,)}
+    assert ("the", 1, 1) in rows(se.configured_index(docs, "simple").terms)
+    own = se.import_stopwords(None, spark.createDataFrame([("Owner ",), (" ",)], "word string"), "english")
+    assert rows(own) == {("english", "owner")} and "were" in {r["term"] for r in se.configured_index(docs, "english", stopwords=own).terms.collect()}
+    assert se.delete_stopwords(own, "english", ["x"]).count() == 1 and se.delete_stopwords(own, "english").count() == 0
+    with pytest.raises(ValueError):
+        se.configured_index(docs, "klingon")
+
+
+def test_stored_index_finds_the_same(spark, index, rows, tmp_path):
+    stored = se.StoredIndex.write(index, str(tmp_path / "index"), 4)
+    for how in ({}, {"prefix": True}, {"fuzzy": 0.3}, {"prefix": True, "fuzzy": 0.3}):
+        for text in ("vector graph", "vectr", "gra", "...", "bitmap bitmap"):
+            a, b = (sorted((r[0], round(r[1], 9)) for r in se.bm25_search(i, text, None, **how).collect()) for i in (index, stored))
+            assert a == b, (how, text)
+    assert stored.stats() == index.stats() and rows(stored.snapshot()) == rows(index.snapshot())
+    assert rows(stored.similar_terms("vektor", 0.0)) == rows(index.similar_terms("vektor", 0.0))
+    empty = se.StoredIndex.write(se.Index(index.postings.limit(0)), str(tmp_path / "none"), 4)
+    assert se.bm25_search(empty, "vector", None).collect() == [] and empty.stats() == (0, 1.0)
+
+
+def test_tables_vectors_and_contexts(spark, rows):
+    tables = spark.createDataFrame([("w", 7, "docs"), ("w", 9, "docs"), ("v", 8, "docs")], "workspace_id string, table_id long, table_name string")
+    assert [se.resolve_table(tables, "w", *x) for x in ((1,), (7,), (8,), (None, "docs"), (None, "none"), (None, ""), ())] == [1, 7, None, 7, None, None, 1]
+    vecs = spark.createDataFrame([(1, [1.0]), (2, [2.0])], "k long, v array<double>")
+    change = spark.createDataFrame([(1, [5.0], 1), (1, [6.0], 2), (2, None, 1), (3, [3.0], 1)], "k long, v array<double>, seq int")
+    assert {r["k"]: r["v"] for r in se.upsert_embeddings(vecs, change, ["k"], "seq").collect()} == {1: [6.0], 3: [3.0]}
+    chunks = spark.createDataFrame([(1, 0, "alpha"), (1, 1, "beta owner"), (1, 2, "gamma"), (2, 0, "owner"), (3, 0, None)], "doc_id long, chunk_index int, content string")
+    got = {(r["doc_id"], r["chunk_index"]): (r["content"], r["context"]) for r in se.contextual_search(chunks, "owner").collect()}
+    assert got == {(1, 1): ("beta owner", "alpha\nbeta owner\ngamma"), (2, 0): ("owner", "owner")}
+    near = spark.createDataFrame([(3, 0, [1.0, 0.0]), (2, 0, [0.0, 1.0])], "doc_id long, chunk_index int, values array<double>")
+    assert [r["doc_id"] for r in se.contextual_search(chunks, "nothing", 1, near, [1.0, 0.0]).collect()] == [3]
+    assert [tuple(r) for r in se.nearest(near, ["doc_id", "chunk_index"], "values", [0.0, 1.0], 1).collect()] == [(2, 0, 1.0)]

@@ -117,3 +117,34 @@ def test_rule_stream_and_queue(spark, tmp_path, rows):
     job = jobs.consume_queue(_stream(spark, src, "id long, ok boolean"), lambda b: seen.extend(r["id"] for r in b.collect()), str(tmp_path / "cp2"))
     job.trigger(availableNow=True).start().awaitTermination(120)
     assert sorted(seen) == [1, 1, 2]
+
+
+def test_state_in_buckets(spark, tmp_path, rows):
+    """Batches rewrite what they touch, may run again, and old versions go."""
+    state = jobs.Versions(spark, str(tmp_path / "s"), ["k"], 4, 2)
+    assert state.read() is None
+    add = lambda old, new: new if old is None else old.join(new.select("k"), "k", "left_anti").unionByName(new)
+    frame = lambda *data: spark.createDataFrame(list(data), "k long, v int")
+    want = {}
+    for n in range(12):
+        data = [(n % 5, n), (n + 100, n)]
+        state.change(frame(*data), n, add)
+        state.change(frame(*data), n, add)  # the same batch again
+        want.update(data)
+        assert rows(state.read()) == set(want.items())
+    state.change(frame(), 12, add)
+    assert len(state._touched()) < 12 and rows(jobs.Versions(spark, str(tmp_path / "s")).read()) == set(want.items())
+
+
+def test_folder_for_a_cluster(spark, monkeypatch):
+    from tessera import runtime
+
+    class Far:
+        master = "spark://host:7077"
+
+    class Cluster:
+        conf = type("C", (), {"get": staticmethod(lambda *a: None)})
+        sparkContext = Far
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        runtime.shared_dir(Cluster)

@@ -1,3 +1,5 @@
+from datetime import datetime, timedelta
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -6,6 +8,7 @@ from tessera.operators import ingest as ing
 from tessera.operators import ontology as on
 from tessera.operators import textprep as tp
 
+T0 = datetime(2024, 1, 1)
 LAW = "Ordinance\n\nArticle 1\nSee Decree 2024-10 and https://example.org/x).\n\nArticle 2\nAs in article 2 of this ordinance and more. Law\n\nart. 3 é"
 
 
@@ -185,3 +188,53 @@ def test_bridges_lose_no_pair(spark, rows):
     for threshold in (0.8, 0.7, 0.4):
         got = on.entity_bridges(ents, "a", "b", threshold).select("id_a", "id_b").collect()
         assert len(got) == len(set(got)) and {tuple(x) for x in got} == {k for k, v in score.items() if v >= threshold}
+
+
+def test_semantic_and_late_chunks(spark, rows):
+    import math
+
+    text = "One two. Three four. Five six. Seven. Eight nine ten."
+    docs = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "Alone here.")], "id long, text string")
+    sentences = ch.sentence_table(docs, "id", "text")
+    assert sentences.where("id = 1").count() == 5 and rows(sentences.select("id")) == {(1,), (4,)}
+    axis = {0: [1.0, 0.0], 1: [2.0, 0.1], 2: [0.0, 1.0], 3: [0.0, 0.0], 4: [0.0, 3.0]}
+    vectors = spark.createDataFrame([(1, i, v) for i, v in axis.items()], "id long, sentence_index int, values array<double>")
+    got = [(r["content"], r["token_count"]) for r in ch.semantic_chunks(docs, "id", "text", vectors).where("id = 1").orderBy("chunk_index").collect()]
+    assert got == [("One two. Three four.", 4), ("Five six.", 2), ("Seven.", 1), ("Eight nine ten.", 3)]
+    assert ch.semantic_chunks(docs, "id", "text", vectors, max_sentences=1).where("id = 1").count() == 5
+    assert [r["content"] for r in ch.semantic_chunks(docs, "id", "text", vectors).where("id = 4").collect()] == ["Alone here."]
+    tokens = spark.createDataFrame([(1, i, [float(i), 1.0]) for i in range(11)], "id long, token_index int, values array<double>")
+    windows = {r["chunk_index"]: r["values"] for r in ch.late_vectors(tokens, "id", 4, 1).collect()}
+    spans = [(m["chunk_index"], m["token_count"]) for m in ch.chunk(spark.createDataFrame([(1, " ".join("x" * 11))], "id long, text string"), "id", "text", "late", 4, 1).collect()]
+    assert sorted(windows) == sorted(k for k, _ in spans) and windows[0] == [5.0, 1.0]
+    for k, n in spans[1:]:
+        first = (k - 1) * 3
+        assert math.isclose(windows[k][0], sum(range(first, first + n)) / n)
+
+
+def test_one_step_ingest(spark, rows):
+    schema = "workspace_id string, collection_id string, doc_id long, doc_nanoid string, content string, updated_at timestamp, loaded_at timestamp"
+    at = lambda n: T0 + timedelta(days=n)
+    raw = spark.createDataFrame([("w", "c", 1, "pub", "old", at(1), at(1)), ("w", "c", 2, None, "same", at(1), at(1)), ("w", "c", 3, "", "late", at(9), at(9))], schema)
+    new = spark.createDataFrame([("w", "c", 1, None, "new words", at(2), at(2)), ("w", "c", 2, None, "same", at(2), at(2)), ("w", "c", 3, None, "stale", at(2), at(2)), ("w", "c", 4, None, None, at(2), at(2)), ("w", "c", None, None, "x", at(2), at(2))], schema)
+    step = ing.ingest_documents(raw, new, "sentence")
+    assert rows(step["report"]) == {(1, "changed"), (2, "same"), (3, "stale"), (4, "new")}
+    assert rows(step["documents"].select("doc_id", "content")) == {(1, "new words"), (2, "same"), (3, "late"), (4, None)}
+    assert rows(step["chunks"].select("doc_id", "content")) == {(1, "new words")} and step["postings"].count() == 2
+    assert set(ing.ingest_documents(raw, new, dry_run=True)) == {"report"}
+    ids = {r["doc_id"]: r["doc_nanoid"] for r in step["documents"].collect()}
+    assert ids[1] == "pub" and len(ids[4]) == 21
+    assert rows(ing.lookup_nanoid(step["documents"], "pub")) == {("w", "c", 1)} and ing.lookup_nanoid(raw, "").collect() == []
+
+
+def test_workspace_documents(spark):
+    import json
+
+    tables = spark.createDataFrame([("w", 1, "s", "t"), ("w", 1, "s", "t")], "workspace_id string, table_id long, table_schema string, table_name string")
+    columns = spark.createDataFrame([("w", 1, 5, "c", "text")], "workspace_id string, table_id long, column_semantic_id long, column_name string, data_type string")
+    relations = spark.createDataFrame([("v", 9, "t", "u", "k")], "workspace_id string, relation_semantic_id long, from_table string, to_table string, fk_column string")
+    model = ing.workspace_model(tables, columns, relations)
+    assert model.count() == 3
+    assert json.loads(ing.workspace_document(model, "w")) == {"tables": [{"table_id": 1, "table_schema": "s", "table_name": "t"}], "columns": [{"table_id": 1, "column_semantic_id": 5, "column_name": "c", "data_type": "text"}], "relations": []}
+    with pytest.raises(ValueError):
+        ing.workspace_document(model, "w", 1)
