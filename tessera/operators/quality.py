@@ -9,10 +9,10 @@ from __future__ import annotations
 import json
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import broadcast_small
+from ..runtime import broadcast_small, materialize, ranged
 from .graph import components, filter_edges
 
 # The issue types, "missing_required_relation", "too_many_relations", "endpoint_type_mismatch", "isolated_entity",
@@ -382,7 +382,7 @@ def granularity_conflicts(relations: DataFrame, entities: DataFrame, parents: Da
     )
 
 
-def overlap_conflicts(relations: DataFrame, types: list[str]) -> DataFrame:
+def overlap_conflicts(relations: DataFrame, types: list[str], hot_rows: int = 1_000_000) -> DataFrame:
     """(relation_id, other_id): relations of one source and type, to different targets, whose times overlap (null is open).
 
     Found by a sweep: within a source and type, by begin, a relation conflicts with the one of latest end among those
@@ -391,17 +391,54 @@ def overlap_conflicts(relations: DataFrame, types: list[str]) -> DataFrame:
     Relations without a target take no part.
 
     The sweep carries the latest end and the latest among the other targets: whenever two targets meet, the lesser of
-    the row and the latest before it stays a candidate for the second, whose target then never is that of the latest.
+    the row and the latest before it stays a candidate for the second, whose target then never is that of the latest. Groups of over
+    ``hot_rows`` relations are swept range by range, what the ranges before hold at best being carried over, so none is one task.
     """
-    from pyspark.sql import Window
+    key = ["source_id", "relation_type"]
+    rows = _spans(relations, types).withColumn("own", F.struct("e", "relation_id", "target_id"))
+    hot = rows.groupBy(*key).agg(F.count("*").alias("_n")).where(F.col("_n") > hot_rows).select(*key)
+    hot = materialize(hot.where(F.col("source_id").isNotNull()), "hot")
+    if hot.isEmpty():
+        last = _best_before(rows, key)
+    else:
+        small = broadcast_small(hot)
+        last = _best_before(rows.join(small, key, "left_anti"), key).unionByName(_carried(rows.join(small, key, "left_semi"), key))
+    return last.where(F.col("other.e") >= F.col("b")).select("relation_id", F.col("other.relation_id").alias("other_id"))
+
 
-    w = Window.partitionBy("source_id", "relation_type").orderBy("b", "relation_id").rowsBetween(Window.unboundedPreceding, -1)
-    own = F.struct("e", "relation_id", "target_id")
-    last = _spans(relations, types).withColumn("before", F.max(own).over(w))
+def _best_before(rows: DataFrame, key: list[str]) -> DataFrame:
+    """``rows`` with other: of those before each in its group, the one of latest end with another target."""
+    w = Window.partitionBy(*key).orderBy("b", "relation_id").rowsBetween(Window.unboundedPreceding, -1)
+    last = rows.withColumn("before", F.max("own").over(w))
     differs = F.col("before.target_id") != F.col("target_id")
-    second = F.max(F.when(differs, F.least(own, F.col("before")))).over(w)
-    last = last.withColumn("other", F.when(differs, F.col("before")).otherwise(second))
-    return last.where(F.col("other.e") >= F.col("b")).select("relation_id", F.col("other.relation_id").alias("other_id"))
+    second = F.max(F.when(differs, F.least("own", "before"))).over(w)
+    return last.withColumn("other", F.when(differs, F.col("before")).otherwise(second)).drop("before")
+
+
+def _carried(rows: DataFrame, key: list[str]) -> DataFrame:
+    """_best_before() for groups of many rows: within ranges of a group, then with what the ranges before hold at best, the latest
+    end and the latest with another target than that."""
+    parts = ranged(rows, key, ["b", "relation_id"])
+    at = [*key, "_p"]
+    best = parts.groupBy(*at).agg(F.max("own").alias("x"))
+    other = parts.join(best, at).where("own.target_id != x.target_id").groupBy(*at).agg(F.max("own").alias("y"))
+    tops = best.join(other, at, "left").groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("_p", "x", "y"))).alias("l"))
+    pick = lambda all_, t: F.array_max(F.filter(all_, lambda s: s.isNotNull() & (t.isNull() | (s["target_id"] != t))))
+    none = F.lit(None).cast("int")
+
+    def merge(acc: Column, r: Column) -> Column:
+        every = F.array(acc["x"], acc["y"], r["x"], r["y"])
+        first = pick(every, none)
+        state = F.struct(r["_p"].alias("_p"), acc["x"].alias("x"), acc["y"].alias("y"))  # what came before this range
+        return F.struct(first.alias("x"), pick(every, first["target_id"]).alias("y"), F.concat(acc["out"], F.array(state)).alias("out"))
+
+    kind = rows.schema["own"].dataType.simpleString()
+    null = F.lit(None).cast(kind)
+    start = F.struct(null.alias("x"), null.alias("y"), F.array().cast(f"array<struct<_p:int,x:{kind},y:{kind}>>").alias("out"))
+    before = tops.select(*key, F.inline(F.aggregate("l", start, merge)["out"]).alias("_p", "x", "y"))
+    within = _best_before(parts, at).join(before, at)
+    carried = F.when(F.col("x.target_id") != F.col("target_id"), F.col("x")).otherwise(F.col("y"))
+    return within.withColumn("other", F.greatest("other", carried)).drop("_p", "x", "y")
 
 
 def overlap_pairs(relations: DataFrame, types: list[str]) -> DataFrame:

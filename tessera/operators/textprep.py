@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import broadcast_small, running_sum
 from .search import ascii_lower
 
 BLOCK_TAGS = "p|br|div|li|h[1-6]|tr"
@@ -77,16 +78,21 @@ def prompt_limits(docs: DataFrame, group: str, key: str, length: str, budget: in
     """(group, key, length, char_limit, truncated): how much of each document of a group fits its budget of characters.
 
     All of it if the group fits; else each gets its share in proportion, and what rounding leaves goes one by one to
-    the first documents by key that are still short. Negative or null lengths count 0.
+    the first documents by key that are still short. Negative or null lengths count 0; keys are unique within a group. Sums
+    are pre-aggregated and turns counted range by range, so no task holds a whole group.
     """
     n = F.greatest(F.coalesce(F.col(length).cast("long"), F.lit(0)), F.lit(0))
     rows = docs.select(group, key, n.alias("length"))
-    by = Window.partitionBy(group)
-    rows = rows.withColumn("_all", F.sum("length").over(by))
+
+    def with_sum(df: DataFrame, value: str, name: str) -> DataFrame:
+        sums = broadcast_small(df.groupBy(group).agg(F.sum(value).alias(name)))
+        return df.alias("a").join(sums.alias("b"), F.col(f"a.{group}").eqNullSafe(F.col(f"b.{group}"))).select("a.*", f"b.{name}")
+
+    rows = with_sum(rows, "length", "_all")
     share = F.when(F.col("_all") <= budget, F.col("length")).otherwise(F.floor(F.col("length") * budget / F.col("_all")))
-    rows = rows.withColumn("_share", share.cast("long")).withColumn("_left", F.lit(budget) - F.sum("_share").over(by))
-    rows = rows.withColumn("_turn", F.sum((F.col("_share") < F.col("length")).cast("int")).over(by.orderBy(key).rowsBetween(Window.unboundedPreceding, 0)))
-    limit = F.col("_share") + F.when((F.col("_share") < F.col("length")) & (F.col("_turn") <= F.col("_left")), 1).otherwise(0)
+    rows = with_sum(rows.withColumn("_share", share.cast("long")), "_share", "_given")
+    rows = running_sum(rows, [group], [key], (F.col("_share") < F.col("length")).cast("long"), "_turn")
+    limit = F.col("_share") + F.when((F.col("_share") < F.col("length")) & (F.col("_turn") <= budget - F.col("_given")), 1).otherwise(0)
     return rows.select(group, key, "length", limit.alias("char_limit"), (F.col("_share") < F.col("length")).alias("truncated"))
 
 

@@ -7,8 +7,9 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Keys that hold at least 1/HOT_SHARE of all rows are "hot"; by counting there are at most
@@ -144,6 +145,30 @@ def blocked_lists(rows: DataFrame, keys: list[str], value: str, name: str, size:
     return parted.groupBy(*keys, block.alias("block")).agg(F.array_sort(F.collect_set(value)).alias(name))
 
 
+def ranged(rows: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+    """``rows`` with _p, written in ranges of (group, order): the rows of a group have rising _p in their order.
+
+    Work that goes through a group in order can be done within (group, _p), of which none holds a hot group, and then be carried over
+    from range to range, of which a group has no more than there are partitions.
+    """
+    return materialize(rows.repartitionByRange(*group, *order).withColumn("_p", F.spark_partition_id()), "ranged")
+
+
+def running_sum(rows: DataFrame, group: list[str], order: list[str], value: Column, name: str) -> DataFrame:
+    """``rows`` with the sum of ``value`` over the rows of their group up to each, in order (which must be unique within a group).
+
+    Null groups are one group. No task holds a hot group, see ranged().
+    """
+    parts = ranged(rows.withColumn("_v", value), group, order)
+    sums = parts.groupBy(*group, "_p").agg(F.sum("_v").alias("_s"))
+    before = Window.partitionBy(*group).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*group, "_p", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_o"))
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in [*group, "_p"]]
+    both = parts.alias("a").join(sums.alias("b"), reduce(lambda x, y: x & y, same)).select("a.*", "b._o")
+    within = Window.partitionBy(*group, "_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn(name, F.col("_o") + F.sum("_v").over(within)).drop("_v", "_p", "_o")
+
+
 def keyed_join(left: DataFrame, right: DataFrame, key: str, weight: str, total: int) -> DataFrame:
     """Inner join of ``left`` with ``right`` (unique ``key``), safe for keys that hold a large share of ``left``.
 

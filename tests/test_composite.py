@@ -69,3 +69,17 @@ def test_core_does_not_import_the_optional_subpackage():
             assert not re.search(r"\bllm\b", f.read_text()), f
     with pytest.raises(ModuleNotFoundError):
         import tessera.nothing  # noqa: F401
+
+
+def test_running_sums_without_a_task_per_group(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.runtime import running_sum
+
+    rows = spark.range(3000).selectExpr("if(id % 3 = 0, null, 'g') as g", "(id * 7919) % 3000 as k", "id % 4 as v").repartition(5)
+    got = running_sum(rows, ["g"], ["k"], F.col("v"), "total").collect()
+    want, sums = {}, {}
+    for r in sorted(rows.collect(), key=lambda r: r["k"]):
+        sums[r["g"]] = sums.get(r["g"], 0) + r["v"]
+        want[r["g"], r["k"]] = sums[r["g"]]
+    assert {(r["g"], r["k"]): r["total"] for r in got} == want

@@ -170,6 +170,7 @@ def test_overlaps_against_brute_force(spark, rows):
     }
     got = rows(qu.overlap_conflicts(spans(spark, data), ["owns"]))
     assert {r[0] for r in got} == want and len(got) == len(want)
+    assert rows(qu.overlap_conflicts(spans(spark, data), ["owns"], hot_rows=5)) == got  # range by range
 
 
 def test_intervals_and_granularity(spark, rows):
