@@ -90,7 +90,7 @@ def matches_scope(scope: str | None, *texts: str) -> Column:
 
 def _with_policy(rows: DataFrame, types: DataFrame) -> DataFrame:
     policy = types.withColumn("_t", F.upper("type_name")).select("_t", "aliases", "rank_bias", "pack_priority", "next_hop_multiplier", "structured")
-    return rows.withColumn("_t", F.upper("projection_type")).join(F.broadcast(policy), "_t", "left").drop("_t")
+    return rows.withColumn("_t", F.upper("projection_type")).join(policy, "_t", "left").drop("_t")
 
 
 def type_matches(requested: list[str] | None) -> Column:

@@ -120,8 +120,22 @@ def text_references(spark, d):
     return tp.extract_references(t(spark, d, "documents"), "doc_id", "text")
 
 
-@query()
+_VOTE = "len(list_filter(ws, lambda x: x IN ({words})))"
+_FR, _NL = (_VOTE.format(words=", ".join(f"'{w}'" for w in words)) for words in (tp.FRENCH, tp.DUTCH))
+_SIDE = "v > 0 OR (v = 0 AND fo <= no)"
+
+
+@query(rf"""WITH RECURSIVE ln AS (SELECT doc_id, i, l[i + 1] AS t FROM (SELECT doc_id, l, unnest(range(len(l))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL))),
+w AS (SELECT doc_id, i, t, regexp_split_to_array(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\r\n.,;:!?()\[\]{{}}"'']+') AS ws FROM ln),
+v AS (SELECT doc_id, i, {_FR} - {_NL} AS v, octet_length(encode(t)) + 1 AS o, length(t) + 1 AS c, length(regexp_replace(t, '[ \t\n\x0B\f\r]+', '', 'g')) AS s FROM w),
+r AS (SELECT doc_id, CAST(-1 AS BIGINT) AS i, 0::BIGINT AS fo, 0::BIGINT AS no, 0::BIGINT AS fc, 0::BIGINT AS nc, 0::BIGINT AS fs, 0::BIGINT AS ns FROM documents WHERE text IS NOT NULL
+  UNION ALL SELECT v.doc_id, v.i, fo + CASE WHEN {_SIDE} THEN o ELSE 0 END, no + CASE WHEN {_SIDE} THEN 0 ELSE o END, fc + CASE WHEN {_SIDE} THEN c ELSE 0 END,
+    nc + CASE WHEN {_SIDE} THEN 0 ELSE c END, fs + CASE WHEN {_SIDE} THEN s ELSE 0 END, ns + CASE WHEN {_SIDE} THEN 0 ELSE s END FROM r JOIN v ON v.doc_id = r.doc_id AND v.i = r.i + 1),
+last AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY i DESC) = 1)
+SELECT doc_id, 'fr' AS language, fc AS n_chars FROM last WHERE fs >= 32 AND ns >= 32 UNION ALL SELECT doc_id, 'nl', nc FROM last WHERE fs >= 32 AND ns >= 32
+UNION ALL SELECT doc_id, 'und', length(text) FROM documents JOIN last USING (doc_id) WHERE NOT (fs >= 32 AND ns >= 32)""")
 def text_french_dutch(spark, d):
+    """The lines of each language, by the words that vote for it, of the texts that have both."""
     return tp.split_french_dutch(t(spark, d, "documents"), "doc_id", "text").withColumn("n_chars", F.length("text")).drop("text")
 
 
