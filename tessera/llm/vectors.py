@@ -330,17 +330,54 @@ class Leaves:
                             row, node, home, chance = spread_out(
                                 u, axes[tree], need, node, part["home"].to_numpy(), part["chance"].to_numpy(), own, which, floor
                             )
+                            order = np.argsort(row, kind="stable")  # the rows of a vector stay together
+                            row, node, home, chance = row[order], node[order], home[order], chance[order]
                             yield part.drop(columns="heap", errors="ignore").iloc[row].assign(node=node, home=home, chance=chance)
 
         return rows.mapInPandas(run, ROUTED)
 
     def asked(self, points: DataFrame, least: float, crowded: float, most: float) -> DataFrame:
-        """The leaves, other than its own, that the window of each point (a, vec, need) meets with a chance of ``least``, or of
-        ``crowded`` where its need is below ``most``."""
+        """The leaves that the window of each point (a, vec, need) meets with a chance of ``least``, or of ``crowded`` where its need is
+        below ``most``, its own (home) among them."""
         rows = self.start(points)
         for stage in range(len(self.stages)):
             rows = self._stage(rows, stage, (least, crowded), most)
-        return rows.where("not home")
+        return rows
+
+    def bundled(self, asked: DataFrame) -> DataFrame:
+        """Rows of asked() put together by bundles of leaves: (tree, bundle, own, nodes, a, vec), so that a vector is shipped once for the
+        leaves of a bundle, not once for each. own is the vector's own leaf, if that is in the bundle, else -1.
+
+        A bundle is a subtree of up to 16 leaves, of fewer where there are few leaves for each core.
+        """
+        spark = asked.sparkSession
+        leaves = self.homes.select("tree", "node").distinct().count()
+        bits = int(np.clip(np.log2(max(1.0, leaves / (4 * spark.sparkContext.defaultParallelism))), 0, 4))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                node, home = pdf["node"].to_numpy(), pdf["home"].to_numpy()
+                level = _level(node)
+                key = pd.DataFrame({"tree": pdf["tree"].to_numpy(), "a": pdf["a"].to_numpy(), "bundle": node >> np.minimum(bits, level)})
+                group = key.groupby(["tree", "a", "bundle"], sort=False).ngroup().to_numpy()
+                order = np.argsort(group, kind="stable")
+                first = np.flatnonzero(np.append(True, np.diff(group[order]) > 0)) if len(order) else order
+                own = np.full(len(first), -1)
+                own[group[home]] = node[home]
+                away = np.split(np.where(home, -1, node)[order], first[1:]) if len(order) else []
+                at = order[first]
+                yield pd.DataFrame(
+                    {
+                        "tree": key["tree"].to_numpy()[at],
+                        "bundle": key["bundle"].to_numpy()[at],
+                        "own": own,
+                        "nodes": [x[x >= 0] for x in away],
+                        "a": key["a"].to_numpy()[at],
+                        "vec": pdf["vec"].to_numpy()[at],
+                    }
+                )
+
+        return asked.mapInPandas(run, "tree int, bundle long, own long, nodes array<long>, a long, vec binary")
 
 
 def similar_classes(
@@ -370,31 +407,39 @@ def similar_classes(
     leaves = Leaves(points, n, leaf_rows, trees, dim, sample_rows, seed)
     radius = float(np.sqrt(2 - 2 * min_similarity))
 
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64"), "cosine": pd.Series(dtype="float64")})
-        home = pdf["home"].to_numpy()
-        own, asked = pdf[home], pdf[~home] if not home.all() else pdf
-        if not len(own):
-            return none
-        q, d, cos = collisions(_matrix(own["vec"], dim), _matrix(asked["vec"], dim), k, radius, seed + 1)
-        out = pd.DataFrame({"a": asked["a"].to_numpy()[q], "b": own["a"].to_numpy()[d], "cosine": np.round(cos, 6)})
+    none = pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64"), "cosine": pd.Series(dtype="float64")})
+
+    def near(data: np.ndarray, b: np.ndarray, queries: np.ndarray, a: np.ndarray) -> pd.DataFrame:
+        q, d, cos = collisions(data, queries, k, radius, seed + 1)
+        out = pd.DataFrame({"a": a[q], "b": b[d], "cosine": np.round(cos, 6)})
         out = out[out["a"] != out["b"]]
-        if out.empty:
-            return none
-        return out.sort_values(["a", "cosine", "b"], ascending=[True, False, True]).groupby("a").head(k)
+        return out.sort_values(["a", "cosine", "b"], ascending=[True, False, True]).groupby("a").head(k) if len(out) else none
 
-    def search_asked(pdf: pd.DataFrame) -> pd.DataFrame:
-        return search(pdf.iloc[:0] if pdf["home"].all() else pdf)
+    def search(pdf: pd.DataFrame) -> pd.DataFrame:
+        u, a = _matrix(pdf["vec"], dim), pdf["a"].to_numpy()
+        return near(u, a, u, a)
+
+    def search_bundle(pdf: pd.DataFrame) -> pd.DataFrame:
+        u, a, own = _matrix(pdf["vec"], dim), pdf["a"].to_numpy(), pdf["own"].to_numpy()
+        size = pdf["nodes"].map(len).to_numpy()
+        row, node = np.repeat(np.arange(len(pdf)), size), np.concatenate(list(pdf["nodes"])) if size.sum() else np.zeros(0, dtype=np.int64)
+        found = [none]
+        for leaf in np.unique(own[own >= 0]):
+            data, asked = np.flatnonzero(own == leaf), row[node == leaf]
+            if len(asked):
+                found.append(near(u[data], a[data], u[asked], a[asked]))
+        return pd.concat(found)
 
     pairs = "a long, b long, cosine double"
-    rows = leaves.homes.select("tree", "node", "home", "a", "vec")
+    rows = leaves.homes.select("tree", "node", "a", "vec")
     first = materialize(rows.groupBy("tree", "node").applyInPandas(search, pairs), "near")
     best = Window.partitionBy("a").orderBy(F.desc("cosine"), "b")
     kth = first.distinct().withColumn("rank", F.row_number().over(best)).where(F.col("rank") == k)
+    kth = materialize(kth.select("a", F.col("cosine").alias("kth")), "kth")  # of known size, so that a small one is broadcast
     need = F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.coalesce(F.col("kth"), F.lit(min_similarity)))).alias("need")
-    asked = points.select("a", "vec").join(kth.select("a", F.col("cosine").alias("kth")), "a", "left").select("a", "vec", need)
-    second = rows.unionByName(leaves.asked(asked, least, crowded, radius - 1e-9).select("tree", "node", "home", "a", "vec"))
-    second = second.groupBy("tree", "node").applyInPandas(search_asked, pairs)
+    asked = points.select("a", "vec").join(kth, "a", "left").select("a", "vec", need)
+    second = leaves.bundled(leaves.asked(asked, least, crowded, radius - 1e-9))
+    second = second.groupBy("tree", "bundle").applyInPandas(search_bundle, pairs)
     both = materialize(first.unionByName(second), "near")
     both = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine"))
     both = both.groupBy("a", "b").agg(F.max("cosine").alias("cosine"))

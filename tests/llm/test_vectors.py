@@ -112,7 +112,23 @@ def test_stages_keep_leaves_small(spark, monkeypatch, broadcast):
     assert len(leaves.stages) > 1 and leaves.homes.count() == 6000
     assert leaves.homes.groupBy("node").count().where("count > 8").isEmpty()
     full = leaves.asked(points.selectExpr("a", "vec", "cast(1e9 as double) as need").where("a < 3"), 1e-9, 1e-9, 0.0)
+    assert full.where("home").count() == 3
+    full = full.where("not home")
     held = leaves.homes.select("node").distinct()  # a leaf that no vector fell into may be asked as well
     assert full.join(held, "node").count() == 3 * (held.count() - 1)
 
 
+
+
+def test_bundles_hold_what_was_asked(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    u = rng.standard_normal((4000, 8)).astype("<f4")
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    points = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in enumerate(u)], "a long, vec binary")
+    leaves = vectors.Leaves(points, 4000, 8, 1, 8, 4000, 3)
+    asked = leaves.asked(points.selectExpr("a", "vec", "cast(0.5 as double) as need"), 0.05, 0.05, 0.0)
+    want = {(r["a"], r["node"], r["home"]) for r in asked.select("a", "node", "home").collect()}
+    bundles = leaves.bundled(asked).select("bundle", "own", "nodes", "a").collect()
+    got = [(r["a"], n, False) for r in bundles for n in r["nodes"]] + [(r["a"], r["own"], True) for r in bundles if r["own"] >= 0]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert len(bundles) < len(want)
