@@ -7,6 +7,7 @@ digits and bytes of other characters. Null and empty texts have no chunks.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -24,11 +25,13 @@ HEADING = re.compile(rb"^#{1,6}[ \t].*$", re.MULTILINE)
 FENCE = re.compile(rb"^[ \t]*(?:```|~~~)[^\n]*(?:\n|\Z)", re.MULTILINE)
 ARTICLE = re.compile(rb"^[ \t\r]*(?:article\b|art\.|section\b)", re.MULTILINE | re.IGNORECASE)
 SEPARATORS = (b"\n\n", b"\n", b". ", b"? ", b"! ", b"; ", b", ", b" ")
+# So many bytes of chunks make a batch, whatever the number of texts.
+BATCH_BYTES = 4 << 20
 STRATEGIES = ("fixed_token", "sentence", "paragraph", "recursive_character", "structure_aware", "late", "legal")
 
 
 def count_tokens(text: bytes) -> int:
-    return sum(1 for _ in TOKEN.finditer(text))
+    return len(TOKEN.findall(text))
 
 
 def _trim(text: bytes, s: int, e: int) -> list[Span]:
@@ -178,19 +181,29 @@ def chunk(
     kind = texts.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["chunk_index", "offset_start", "offset_end", "token_count", "parent_chunk_index", "content"]
+        types = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string())
+
+        def made(keys: pa.Array, take: list[int], rows: list[tuple]) -> pa.RecordBatch:
+            cols = list(zip(*rows)) if rows else [()] * 6
+            arrays = [keys.take(pa.array(take, pa.int64()))] + [pa.array(c, ty) for c, ty in zip(cols, types)]
+            return pa.RecordBatch.from_arrays(arrays, names=[key, *names])
+
         for b in batches:
-            take, rows = [], []
-            for i, t in enumerate(b.column(1).to_pylist()):
-                raw = (t or "").encode()
-                for k, (s, e, parent) in enumerate(spans_of(raw, strategy, target_tokens, overlap_tokens, max_chars) if raw else []):
-                    part = raw[s:e]
+            take, rows, size = [], [], 0
+            for i, t in enumerate(b.column(1)):
+                raw = (t.as_py() or "").encode()
+                if not raw:
+                    continue
+                tokens = [m.start() for m in TOKEN.finditer(raw)]  # chunks begin and end between tokens
+                for k, (s, e, parent) in enumerate(spans_of(raw, strategy, target_tokens, overlap_tokens, max_chars)):
                     take.append(i)
-                    rows.append((k, s, e, count_tokens(part), parent, part.decode("utf-8", "replace")))
-            cols = list(zip(*rows)) if rows else [()] * 6
-            types = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string())
-            names = ["chunk_index", "offset_start", "offset_end", "token_count", "parent_chunk_index", "content"]
-            arrays = [b.column(0).take(pa.array(take, pa.int64()))] + [pa.array(c, ty) for c, ty in zip(cols, types)]
-            yield pa.RecordBatch.from_arrays(arrays, names=[key, *names])
+                    rows.append((k, s, e, bisect_left(tokens, e) - bisect_left(tokens, s), parent, raw[s:e].decode("utf-8", "replace")))
+                    size += e - s
+                if size > BATCH_BYTES:
+                    yield made(b.column(0), take, rows)
+                    take, rows, size = [], [], 0
+            yield made(b.column(0), take, rows)
 
     schema = f"`{key}` {kind}, chunk_index int, offset_start long, offset_end long, token_count long, parent_chunk_index int, content string"
     return spread(texts.select(key, text)).mapInArrow(run, schema).withColumn("strategy", F.lit(strategy))
